@@ -362,7 +362,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("flatten_run_history", "C20", f"""
     SELECT i.incident_id, pipeline, status, created_at, coalesce(trim(outcome), '') AS outcome, coalesce(failure_location, '') AS failure_location,
-      coalesce(root_cause, '') AS root_cause, coalesce(array_to_string(['line ' || x FOR x IN generate_series(1, least(p.k % 30 + 1, 20))], '|'), '') AS recent_logs,
+      coalesce(root_cause, '') AS root_cause, CASE WHEN p.k IS NULL THEN '' ELSE array_to_string(['line ' || x FOR x IN generate_series(1, least(p.k % 30 + 1, 20))], '|') END AS recent_logs,
       CASE WHEN p.k IS NULL THEN '' ELSE 'retry_pipeline,again,P1,low|act_' || p.k || ',,P2,high' END AS remedies,
       CASE WHEN p.k IS NULL THEN '' ELSE 'see log' END AS message_for_ui
     FROM v_incidents i LEFT JOIN v_payloads p USING (incident_id) WHERE i.source = 'PIPELINE_RUN'""")

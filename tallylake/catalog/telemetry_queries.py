@@ -235,8 +235,13 @@ def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return jobs.file_stream(spark, d, f"{name}.parquet", views.table(spark, d, name).schema)
 
 
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The event table as a stream; watermarks need a zoned time."""
+    return views.with_k(stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def telemetry_stream(spark: SparkSession, d: str) -> DataFrame:
-    return views.as_telemetry(views.with_k(stream(spark, d, "events")))
+    return views.as_telemetry(event_stream(spark, d))
 
 
 @query("stream_event_windows", "W1", f"""
@@ -251,7 +256,7 @@ _SLIDING = f"""SELECT unnest([{five_minutes()} - INTERVAL 5 MINUTES, {five_minut
 @query("stream_alerts", "W2", " UNION ALL ".join(_fired_sql(r, "ts", _SLIDING) for r in tel.ALERT_RULES if r.minutes == 10))
 def _(spark: SparkSession, d: str) -> DataFrame:
     events = telemetry_stream(spark, d)
-    metrics = views.as_metrics(views.with_k(stream(spark, d, "events")))
+    metrics = views.as_metrics(event_stream(spark, d))
     return jobs.alerts(events, metrics, shared_dir(spark, "stream-alerts"))
 
 

@@ -228,7 +228,7 @@ VIEWS["v_incidents"] = f"""
 SELECT 'INC-' || event_id AS incident_id, {tenant_of("user_id")} AS tenant_id, {PLATFORM} AS platform_id,
   CASE WHEN k % 7 = 0 THEN '' ELSE 'Flow_' || (k % 7) END AS pipeline, {pick(SEVERITIES, "k % 5")} AS severity,
   {pick(STATUSES, "event_id % 16")} AS status, 'Failure ' || k || ' of user ' || user_id AS problem,
-  CASE WHEN k % 2 = 0 THEN 'PIPELINE_RUN' ELSE 'ALERTS' END AS source, ts AS created_at, ts + to_hours(k) AS updated_at,
+  CASE WHEN k % 2 = 0 THEN 'PIPELINE_RUN' ELSE 'ALERTS' END AS source, ts AS created_at, ts + to_minutes(k) AS updated_at,
   event_id % 2 = 0 AS recovery_confirmed, event_id, user_id, k
 FROM v_events WHERE event_type = 'error'"""
 
@@ -259,7 +259,7 @@ SELECT 'wr_' || event_id AS workflow_run_id, 'INC-' || event_id AS incident_id,
   CASE WHEN user_id % 2 = 0 THEN ' Spark' ELSE 'adf' END AS platform_id, 'Flow_' || (k % 7) AS pipeline, 'run_' || user_id AS run_id,
   {pick(RUN_STATES, "k % 8")} AS state, CASE WHEN k % 2 = 0 THEN 'PipelineAgent' ELSE 'DiagnosisAgent' END AS current_agent,
   CASE WHEN k % 4 <> 0 THEN 'key_' || user_id || '_' || (k % 3) END AS idempotency_key, ts AS started_at,
-  ts + INTERVAL 40 MINUTES AS deadline_at, CASE WHEN k % 3 <> 0 THEN ts + to_hours(k) END AS completed_at
+  ts + INTERVAL 40 MINUTES AS deadline_at, CASE WHEN k % 3 <> 0 THEN ts + to_minutes(k) END AS completed_at
 FROM v_events WHERE event_type = 'signup'"""
 
 VIEWS["v_diagnoses"] = f"""
@@ -347,4 +347,6 @@ def with_views(sql: str) -> str:
     if not ordered:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in ordered)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    own = body.removeprefix("WITH ")
+    return f"WITH {ctes},\n{own}" if own != body else f"WITH {ctes}\n{body}"

@@ -101,12 +101,12 @@ def similar_incidents(
 
     def spread(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
-        placed = df.join(blocks, "tenant_id").select(
-            "tenant_id", id_column, "embedding",
+        # aliased, because queries and memory may come from the same table
+        return df.join(blocks, "tenant_id").select(
+            *[F.col(c).alias(c) for c in ("tenant_id", id_column, "embedding")],
             F.expr(f"CAST(pmod(xxhash64({id_column}), {own}_blocks) AS INT)").alias(f"{own}_block"),
             F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
         )
-        return placed
 
     keys = ["tenant_id", "q_block", "m_block"]
     left = spread(queries.filter(F.col("embedding").isNotNull()), "query_id", "q", "m")

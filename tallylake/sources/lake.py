@@ -103,7 +103,8 @@ def partition_overwrite_sink(df: DataFrame, path: str, partitions: Iterable[str]
     columns = list(partitions)
     if files_per_partition:
         # salted by the row itself: a retried task must send every row where it went before
-        salt = F.expr(f"pmod(xxhash64(*), {files_per_partition})")
+        hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        salt = F.pmod(F.xxhash64(*hashed), F.lit(files_per_partition))
         df = df.repartition(*[F.col(c) for c in columns], salt)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
