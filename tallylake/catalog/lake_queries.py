@@ -136,7 +136,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("merge_increment", "S12", f"""
     SELECT product_id, tenant_id, product_name, unit_price, status, updated_at FROM (
       SELECT product_id, tenant_id, product_name, unit_price, status, updated_at FROM v_products
-      UNION ALL SELECT product_id, tenant_id, NULL, unit_price + 1, status, updated_at + INTERVAL 1 DAY FROM v_products WHERE updated_at >= TIMESTAMP '2024-01-20')
+      UNION ALL SELECT product_id, tenant_id, NULL, CAST(unit_price + 1 AS DECIMAL(18,4)), status, updated_at + INTERVAL 1 DAY FROM v_products WHERE updated_at >= TIMESTAMP '2024-01-20')
     QUALIFY row_number() OVER (PARTITION BY tenant_id, product_id ORDER BY updated_at DESC) = 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     current = views.products(spark, d).select("product_id", "tenant_id", "product_name", "unit_price", "status", "updated_at")
@@ -324,7 +324,7 @@ def _metrics_sql(dataset: str, source: str, view: str) -> str:
     return f"""
     SELECT '{dataset}' AS dataset, s.tenant_id, s.n AS input_record_count, s.n - c.n AS duplicate_record_count, c.ok AS valid_record_count,
       c.n - c.ok AS invalid_record_count, c.ok AS output_record_count, c.nulls AS null_violation_count,
-      c.rules AS business_rule_violation_count, 0 AS referential_integrity_failure_count
+      c.rules AS business_rule_violation_count, CAST(0 AS BIGINT) AS referential_integrity_failure_count
     FROM (SELECT tenant_id, count(*) AS n FROM {source} GROUP BY 1) s
     JOIN (SELECT tenant_id, count(*) AS n, count(*) FILTER (len(errors) = 0) AS ok, count(*) FILTER ({null}) AS nulls,
             count(*) FILTER ({rule}) AS rules FROM {view} GROUP BY 1) c USING (tenant_id)"""

@@ -11,7 +11,6 @@ from tallylake.functions import pricing, text
 from tallylake.operators import enrich, quality, retail
 from tallylake.plans import gold
 from tallylake.plans.silver import silver_valid
-from tallylake.operators.quality import valid_rows, validation_errors
 from tallylake.operators.cleanse import dedup_items, normalize_categoricals
 from tallylake.sources import views
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
@@ -62,7 +61,7 @@ def clean(spark: SparkSession, d: str, name: str) -> DataFrame:
         rows = dedup_items(rows.select(
             "tenant_id", "order_item_id", "order_id", "product_id", "quantity", "unit_price", "discount_amount", "tax_amount", "line_total"
         ), spec(name))
-    return valid_rows(validation_errors(rows, spec(name)))
+    return quality.valid_only(rows, spec(name))
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tallylake.operators.cleanse import first_per_key
 from tallylake.operators.quality import require_tenant_column
 
-PRODUCT = ["tenant_id", "product_id"]
+# the selective column leads, because sorting compares the first bytes of the first column and tenant ids look alike
+PRODUCT = ["product_id", "tenant_id"]
+ORDER = ["order_id", "tenant_id"]
+PROMOTION = ["promotion_id", "tenant_id"]
 
 
 def active_promotions_on(promotions: DataFrame, business_date: str) -> DataFrame:
@@ -29,12 +32,12 @@ def promo_links_active(links: DataFrame, promotions: DataFrame, business_date: s
     active = active_promotions_on(promotions, business_date).select(
         "tenant_id", "promotion_id", "promotion_type", "discount_type", "discount_value", "maximum_discount"
     )
-    return links.select("tenant_id", "promotion_id", "product_id").join(active, ["tenant_id", "promotion_id"])
+    return links.select("tenant_id", "promotion_id", "product_id").join(active, PROMOTION)
 
 
 def best_promotion(active_links: DataFrame) -> DataFrame:
     """Highest discount_value per product (percentages and amounts compare as plain numbers), then lowest id."""
-    return first_per_key(active_links, PRODUCT, [F.col("discount_value").desc(), F.col("promotion_id").asc()])
+    return first_per_key(active_links, ["tenant_id", "product_id"], [F.col("discount_value").desc(), F.col("promotion_id").asc()])
 
 
 def products_best_promo(products: DataFrame, best: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def products_inventory(products: DataFrame, available: DataFrame) -> DataFrame:
 def items_of_known_orders(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Items whose order survived silver. Orders are unique, so a semi join equals the inner join and carries no columns."""
     require_tenant_column(items, orders)
-    return items.join(orders.select("tenant_id", "order_id"), ["tenant_id", "order_id"], "left_semi")
+    return items.join(orders.select(*ORDER), ORDER, "left_semi")
 
 
 def items_of_known_products(items: DataFrame, products: DataFrame) -> DataFrame:

@@ -33,10 +33,25 @@ def cast_errors(df: DataFrame) -> Column:
     return F.transform(LOST, lambda c: F.concat(c, F.lit(" has invalid type")))
 
 
+def row_is_valid(df: DataFrame, spec: DatasetSpec) -> Column:
+    """The verdict alone, as one boolean expression without building any message."""
+    tests = [F.col(c).isNotNull() for c in spec.required]
+    tests += [~F.coalesce(F.expr(predicate), F.lit(False)) for _, predicate in spec.rules]
+    if LOST in df.columns:
+        tests.append(F.size(LOST) == 0)
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
 def validation_errors(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Add ``validation_errors``: all messages in order, empty for a valid row."""
+    """Add ``validation_errors``: all messages in order, empty for a valid row (which costs the verdict only)."""
+    none = F.array().cast("array<string>")
     errors = F.concat(required_field_errors(spec), rule_errors(spec), cast_errors(df))
-    return df.withColumn("validation_errors", errors).drop(LOST)
+    return df.withColumn("validation_errors", F.when(row_is_valid(df, spec), none).otherwise(errors)).drop(LOST)
+
+
+def valid_only(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """Valid rows where nobody asks for messages: equals ``valid_rows(validation_errors(df, spec))``."""
+    return df.filter(row_is_valid(df, spec)).drop(LOST)
 
 
 def valid_rows(validated: DataFrame) -> DataFrame:
@@ -67,7 +82,7 @@ def orphan_counts(child: DataFrame, spec: DatasetSpec, parents: dict[str, DataFr
         keys = parents[parent_name].select("tenant_id", F.col(parent_column).alias(column))
         # pre-aggregated: one row per key value goes into the join, whatever the number of children
         used = child.filter(F.col(column).isNotNull()).groupBy("tenant_id", column).agg(F.count(F.lit(1)).alias("_n"))
-        orphans = used.join(keys, ["tenant_id", column], "left_anti")
+        orphans = used.join(keys, [column, "tenant_id"], "left_anti")
         counts.append(
             orphans.groupBy("tenant_id").agg(F.sum("_n").alias("orphans"), F.count(F.lit(1)).alias("orphan_keys"))
             .withColumn("foreign_key", F.lit(f"{spec.name}.{column} -> {parent_name}.{parent_column}"))
@@ -225,12 +240,12 @@ def identifier_check(rows: DataFrame, *columns: str) -> DataFrame:
 def order_total_reconciliation(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Order amounts next to the amounts of their items; an order without items is compared with zero."""
     money = "decimal(18,4)"
-    sums = items.groupBy("tenant_id", "order_id").agg(
+    sums = items.groupBy("order_id", "tenant_id").agg(
         F.sum(F.col("unit_price") * F.col("quantity")).alias("_total"),
         F.sum("discount_amount").alias("_discount"),
         F.sum("tax_amount").alias("_tax"),
     )
-    joined = orders.join(sums, ["tenant_id", "order_id"], "left")
+    joined = orders.join(sums, ["order_id", "tenant_id"], "left")
 
     def amount(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast(money)

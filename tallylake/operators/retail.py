@@ -97,7 +97,8 @@ def orders_by_filters(
 
 def lookup(entity: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose (tenant, id) is wanted; the id of another tenant finds nothing."""
-    return entity.join(wanted.select(*keys), keys, "left_semi")
+    selective_first = list(reversed(keys))
+    return entity.join(wanted.select(*keys), selective_first, "left_semi")
 
 
 def orders_with_products(orders: DataFrame, items: DataFrame, wanted_products: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def orders_with_products(orders: DataFrame, items: DataFrame, wanted_products: D
 def promotions_of_products(promotions: DataFrame, links: DataFrame, products: DataFrame) -> DataFrame:
     """Promotion rows per wanted product, whatever their status; repeated links give one row."""
     pairs = lookup(links, products, ["tenant_id", "product_id"]).select("tenant_id", "product_id", "promotion_id").distinct()
-    return pairs.join(promotions, ["tenant_id", "promotion_id"])
+    return pairs.join(promotions, ["promotion_id", "tenant_id"])
 
 
 def transactions_nested(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,8 +119,8 @@ def transactions_nested(orders: DataFrame, items: DataFrame) -> DataFrame:
     The array is one order's own lines, so its length is bounded by the order, not by the table.
     """
     fields = [c for c in items.columns if c not in ("tenant_id", "order_id")]
-    nested = items.groupBy("tenant_id", "order_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
-    joined = orders.join(nested, ["tenant_id", "order_id"], "left")
+    nested = items.groupBy("order_id", "tenant_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+    joined = orders.join(nested, ["order_id", "tenant_id"], "left")
     return joined.withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType)))
 
 

@@ -145,16 +145,19 @@ def memory_get(memory: DataFrame, wanted: DataFrame) -> DataFrame:
 def failure_pattern_scan(incidents: DataFrame, text_column: str, patterns: dict[str, tuple[str, ...]]) -> DataFrame:
     """Signatures found in a text: how many of their indicators occur, ignoring case, and which share that is.
 
-    Signatures are a handful of constants, so each is an expression on the row: one pass over the text, no join.
+    Signatures are a handful of constants, so they are expressions on the row: one pass over the text, no join, and an
+    indicator that several signatures share is searched once.
     """
-    lowered = F.col("_text")
+    words = sorted({i.lower() for indicators in patterns.values() for i in indicators})
+    searched = incidents.select("tenant_id", "incident_id", F.lower(text_column).alias("_text")).select(
+        "tenant_id", "incident_id", F.array(*[F.contains("_text", F.lit(w)).cast("int") for w in words]).alias("_found")
+    )
 
     def matched(name: str, indicators: tuple[str, ...]) -> Column:
-        hits = sum((F.contains(lowered, F.lit(i.lower())).cast("int") for i in indicators), F.lit(0))
+        hits = sum((F.get("_found", F.lit(words.index(i.lower()))) for i in indicators), F.lit(0))
         return F.struct(
             F.lit(name).alias("pattern"), hits.alias("hits"), F.round(hits / F.lit(len(indicators)), 4).alias("hit_ratio")
         )
 
-    found = F.array(*[matched(n, i) for n, i in patterns.items()])
-    scanned = incidents.withColumn("_text", F.lower(text_column)).withColumn("_p", F.explode(found)).filter("_p.hits > 0")
-    return scanned.select("tenant_id", "incident_id", "_p.pattern", "_p.hits", "_p.hit_ratio")
+    scored = F.filter(F.array(*[matched(n, i) for n, i in patterns.items()]), lambda p: p["hits"] > 0)
+    return searched.select("tenant_id", "incident_id", F.inline(scored))

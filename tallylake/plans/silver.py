@@ -10,17 +10,21 @@ from tallylake.operators.cleanse import (
     normalize_categoricals,
     normalize_timestamps,
 )
-from tallylake.operators.quality import valid_rows, validation_errors
+from tallylake.operators.quality import valid_only, validation_errors
 from tallylake.specs import spec
 
 
-def silver_checked(raw: DataFrame, dataset: str) -> DataFrame:
-    """Typed, normalised and de-duplicated rows with their ``validation_errors``."""
+def silver_typed(raw: DataFrame, dataset: str) -> DataFrame:
+    """Typed, normalised and de-duplicated rows."""
     rules = spec(dataset)
     typed = cast_to_schema(raw, rules, mark_lost=True)
-    typed = normalize_categoricals(normalize_timestamps(typed, rules), rules)
-    return validation_errors(dedup_latest(typed, rules), rules)
+    return dedup_latest(normalize_categoricals(normalize_timestamps(typed, rules), rules), rules)
+
+
+def silver_checked(raw: DataFrame, dataset: str) -> DataFrame:
+    """The same rows with their ``validation_errors``."""
+    return validation_errors(silver_typed(raw, dataset), spec(dataset))
 
 
 def silver_valid(raw: DataFrame, dataset: str) -> DataFrame:
-    return valid_rows(silver_checked(raw, dataset))
+    return valid_only(silver_typed(raw, dataset), spec(dataset))
