@@ -71,9 +71,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     target = shared_dir(spark, "overwrite")
     orders = views.sales(spark, d).select("order_id", "tenant_id", "order_status")
-    lake.partition_overwrite_sink(orders, target, ["tenant_id"], files_per_partition=4)
+    lake.partition_overwrite_sink(orders, target, ["tenant_id"], rebalance=True)
     again = retail.tenant_scope(orders, "tenant_001").withColumn("order_status", F.lit("replaced"))
-    lake.partition_overwrite_sink(again, target, ["tenant_id"], files_per_partition=4)
+    lake.partition_overwrite_sink(again, target, ["tenant_id"], rebalance=True)
     return lake.tenant_parquet_scan(spark, target).select("order_id", "tenant_id", "order_status")
 
 

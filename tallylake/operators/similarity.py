@@ -42,7 +42,10 @@ _CHUNK = 256
 # distances are compared at nine decimals, so that the order does not hang on the last bits of a sum
 _DIGITS = 9
 
-_CANDIDATES = "tenant_id string, query_id string, incident_id string, distance double"
+# tenants up to this number are sent to every executor as a table of block counts, beyond it they are joined by shuffle
+_BROADCAST_TENANTS = 100_000
+
+_CANDIDATES = "tenant_id string, query_id string, incident_id string, matches boolean, distance double"
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -60,6 +63,7 @@ def _nearest_in_block(fetch: int):
         if len(queries) and len(memory):
             q, m = _unit_rows(queries["embedding"]), _unit_rows(memory["embedding"]).T
             ids, names = memory["incident_id"].to_numpy(), queries["query_id"].to_numpy()
+            kinds, wanted = memory["adapter"].to_numpy(), queries["adapter"].to_numpy()
             for start in range(0, len(q), _CHUNK):
                 distances = np.round(1.0 - q[start:start + _CHUNK] @ m, _DIGITS)
                 for row, d in enumerate(distances):
@@ -68,11 +72,13 @@ def _nearest_in_block(fetch: int):
                         # every row up to the limit distance, ties included; the sort below settles them by id
                         hits = np.flatnonzero(d <= np.partition(d, fetch - 1)[fetch - 1])
                     order = np.lexsort((ids[hits].astype(str), d[hits]))[:fetch]
+                    near, asked = hits[order], wanted[start + row]
                     parts.append(pd.DataFrame({
-                        "tenant_id": key[0], "query_id": names[start + row], "incident_id": ids[hits[order]], "distance": d[hits[order]],
+                        "tenant_id": key[0], "query_id": names[start + row], "incident_id": ids[near],
+                        "matches": [asked is not None and k == asked for k in kinds[near]], "distance": d[near],
                     }))
         if not parts:
-            return pd.DataFrame({"tenant_id": [], "query_id": [], "incident_id": [], "distance": []})
+            return pd.DataFrame({"tenant_id": [], "query_id": [], "incident_id": [], "matches": [], "distance": []})
         return pd.concat(parts, ignore_index=True)
 
     return nearest
@@ -98,12 +104,14 @@ def similar_incidents(
         return df.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
     blocks = block_count(queries, query_block, "q_blocks").join(block_count(memory, memory_block, "m_blocks"), "tenant_id")
+    if blocks.limit(_BROADCAST_TENANTS + 1).count() <= _BROADCAST_TENANTS:
+        blocks = F.broadcast(blocks)
 
     def spread(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""
         # aliased, because queries and memory may come from the same table
         return df.join(blocks, "tenant_id").select(
-            *[F.col(c).alias(c) for c in ("tenant_id", id_column, "embedding")],
+            *[F.col(c).alias(c) for c in ("tenant_id", id_column, "adapter", "embedding")],
             F.expr(f"CAST(pmod(xxhash64({id_column}), {own}_blocks) AS INT)").alias(f"{own}_block"),
             F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"),
         )
@@ -115,15 +123,11 @@ def similar_incidents(
 
     query_key = ["tenant_id", "query_id"]
     nearest = first_per_key(candidates, query_key, [F.col("distance").asc(), F.col("incident_id").asc()], fetch)
+    similarity = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.col("distance"))), 4)
+    order = [F.col("matches").desc(), F.col("similarity").desc(), F.col("distance").asc(), F.col("incident_id").asc()]
+    best = first_per_key(nearest.withColumn("similarity", similarity), query_key, order, top_k).drop("matches", "distance")
     facts = memory.select("tenant_id", "incident_id", "adapter", *[c for c in ("pipeline", "root_cause") if c in memory.columns])
-    asked = queries.select("tenant_id", "query_id", F.col("adapter").alias("_adapter"))
-    described = nearest.join(asked, query_key).join(facts, ["tenant_id", "incident_id"])
-    ranked = described.withColumns({
-        "similarity": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - F.col("distance"))), 4),
-        "_match": F.col("adapter").eqNullSafe(F.col("_adapter")) & F.col("_adapter").isNotNull(),
-    })
-    best = [F.col("_match").desc(), F.col("similarity").desc(), F.col("distance").asc(), F.col("incident_id").asc()]
-    return first_per_key(ranked, query_key, best, top_k).drop("_match", "_adapter", "distance")
+    return best.join(facts, ["incident_id", "tenant_id"])
 
 
 def memory_upsert(writes: DataFrame) -> DataFrame:

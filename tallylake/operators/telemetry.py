@@ -172,8 +172,9 @@ def run_overview(events: DataFrame, metrics: DataFrame, as_of: str, minutes: int
     durations = in_lookback(named(metrics, "pipeline_duration_seconds"), as_of, minutes).agg(
         money_ratio(F.sum("value"), F.count("value")).alias("avg_duration")
     )
-    # both sides are single aggregate rows
-    return runs.withColumn("_one", F.lit(1)).join(durations.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # two single rows become one without a join: each column is known in one of them only
+    both = runs.unionByName(durations, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 # --- alerts ----------------------------------------------------------------------------------------------------------

@@ -51,7 +51,7 @@ class Run:
     business_date: str
     tenant_id: str | None = None
     invalid_rate_limit: float = INVALID_RATE_LIMIT
-    files_per_partition: int | None = None
+    rebalance: bool = True
 
     def path(self, layer: str, dataset: str) -> str:
         return f"{self.root}/{layer}/{dataset}"
@@ -64,7 +64,7 @@ def run_bronze(spark: SparkSession, run: Run, sources: dict[str, tuple[str, Call
     def write(name: str, df: DataFrame) -> None:
         tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp)
         tagged = tagged.withColumn("run", F.lit(run.run_id))
-        partition_overwrite_sink(tagged, run.path("bronze", name), ("tenant_id", "ingestion_date", "run"), run.files_per_partition)
+        partition_overwrite_sink(tagged, run.path("bronze", name), ("tenant_id", "ingestion_date", "run"))
 
     return ingest_all(spark, sources, write)
 
@@ -100,7 +100,7 @@ def run_silver(spark: SparkSession, run: Run) -> DataFrame:
             "run": F.lit(run.run_id),
         }).drop("validation_errors")
         partition_overwrite_sink(
-            out, run.path("silver", name), ("tenant_id", "processing_date", "run", "quality"), run.files_per_partition
+            out, run.path("silver", name), ("tenant_id", "processing_date", "run", "quality"), run.rebalance
         )
     return reduce(DataFrame.unionByName, [_measure(spark, run, name) for name in SILVER_DATASETS])
 
@@ -140,7 +140,7 @@ def run_gold(spark: SparkSession, run: Run, failed_tenants: DataFrame) -> DataFr
     sales = gold_product_sales(silver("products"), silver("inventory"), totals, *stamp)
     for name, table in (("pricing", staged), ("product_sales", sales)):
         dated = publish_gate(table, staged).withColumn("business_date", F.lit(run.business_date))
-        partition_overwrite_sink(dated, run.path("gold", name), ("tenant_id", "business_date"), run.files_per_partition)
+        partition_overwrite_sink(dated, run.path("gold", name), ("tenant_id", "business_date"), run.rebalance)
     return gold_checks(staged, "tenant_id")
 
 

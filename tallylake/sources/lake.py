@@ -94,19 +94,16 @@ def tenant_parquet_scan(spark: SparkSession, path: str, tenant_id: str | None =
     return rows if tenant_id in (None, ALL_TENANTS) else rows.filter(F.col("tenant_id") == tenant_id)
 
 
-def partition_overwrite_sink(df: DataFrame, path: str, partitions: Iterable[str], files_per_partition: int | None = None) -> None:
+def partition_overwrite_sink(df: DataFrame, path: str, partitions: Iterable[str], rebalance: bool = False) -> None:
     """Replace the partitions that occur in ``df`` and leave all others.
 
-    ``files_per_partition`` spreads each partition value over that many tasks first: without it every writing task
-    opens a file per partition value, and with a plain repartition on the value a third of the table would be one task.
+    After a shuffle on other keys every task holds rows of every partition and would open a file for each. ``rebalance``
+    gathers rows by partition first; AQE then cuts a partition value that holds a third of the table into many tasks of
+    the advisory size, and merges small ones.
     """
     columns = list(partitions)
-    if files_per_partition:
-        # salted by the row itself: a retried task must send every row where it went before
-        hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        salt = F.pmod(F.xxhash64(*hashed), F.lit(files_per_partition))
-        df = df.repartition(*[F.col(c) for c in columns], salt)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    rows = df.hint("rebalance", *columns) if rebalance else df
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
 def append_sink(df: DataFrame, path: str, partitions: Iterable[str] = ()) -> None:

@@ -49,7 +49,7 @@ def test_overwrite_replaces_only_touched_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "tenant_id string, v int")
     lake.partition_overwrite_sink(df, path, ["tenant_id"])
-    lake.partition_overwrite_sink(df.filter("tenant_id = 'a'").withColumn("v", F.lit(9)), path, ["tenant_id"], 2)
+    lake.partition_overwrite_sink(df.filter("tenant_id = 'a'").withColumn("v", F.lit(9)), path, ["tenant_id"], True)
     assert {(r.tenant_id, r.v) for r in lake.tenant_parquet_scan(spark, path).collect()} == {("a", 9), ("b", 2), ("c", 3)}
     lake.append_sink(df.filter("tenant_id = 'b'"), path, ["tenant_id"])
     assert lake.tenant_parquet_scan(spark, path, "b").count() == 2
@@ -100,7 +100,7 @@ def sources_of(spark, sf):
 
 def test_whole_run_then_an_increment(spark, sf, tmp_path):
     root = str(tmp_path / "lake")
-    run = medallion.Run(root, "p", "20240125_060000_000001", "2024-01-25T06:00:00Z", BUSINESS_DATE, invalid_rate_limit=0.4, files_per_partition=2)
+    run = medallion.Run(root, "p", "20240125_060000_000001", "2024-01-25T06:00:00Z", BUSINESS_DATE, invalid_rate_limit=0.4)
     status = medallion.run_all(spark, run, sources_of(spark, sf))
     assert {(r.tenant_id, r.overall_status) for r in status.collect()} == {(f"tenant_00{n}", "SUCCESS") for n in (1, 2, 3)}
     pricing = spark.read.parquet(f"{root}/gold/pricing")
