@@ -9,10 +9,12 @@ from tallylake.catalog.registry import query
 from tallylake.catalog.views_sql import MONEY, VIEWS, columns_of, ratio
 from tallylake.functions import pricing, text
 from tallylake.operators import enrich, quality, retail
-from tallylake.plans import gold
+from tallylake.plans import gold, medallion
 from tallylake.plans.silver import silver_valid
 from tallylake.operators.cleanse import dedup_items, normalize_categoricals
+from tallylake.session import shared_dir
 from tallylake.sources import views
+from tallylake.sources.lake import tenant_parquet_scan
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
 from tallylake.specs import KEYS, spec
 
@@ -392,3 +394,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     status = text.promotion_status_on("start_date", "end_date", "2024-01-15 12:00:00").alias("status")
     return views.promotions(spark, d).select("tenant_id", "promotion_id", status)
+
+
+# --- the whole run ---------------------------------------------------------------------------------------------------
+
+
+@query("lakehouse_run", "S14 V13 V14", "SELECT * FROM v_gold_pricing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Bronze, silver and gold of all tenants through written tables; the result is the published pricing table."""
+    run = medallion.Run(shared_dir(spark, "run"), PIPELINE_ID, RUN_ID, STAMP, BUSINESS_DATE, invalid_rate_limit=0.5)
+    readers = {n: (lambda n=n: RETAIL[n](spark, d)) for n in medallion.BRONZE_DATASETS}
+    readers["sales"] = lambda: retail.transactions_nested(views.sales(spark, d), views.sales_items(spark, d))
+    medallion.run_all(spark, run, {n: ("retail_source", read) for n, read in readers.items()})
+    return tenant_parquet_scan(spark, run.path("gold", "pricing")).drop("business_date")

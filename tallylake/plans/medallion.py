@@ -31,6 +31,7 @@ from tallylake.sources.lake import (
     ingest_all,
     log_record_sink,
     partition_overwrite_sink,
+    side_by_side,
     tenant_parquet_scan,
 )
 from tallylake.specs import FOREIGN_KEYS, INVALID_RATE_LIMIT, spec
@@ -89,7 +90,7 @@ def run_silver(spark: SparkSession, run: Run) -> DataFrame:
 
     One write per dataset serves both outputs, so the check (with its shuffle) runs once and nothing has to be cached.
     """
-    for name in SILVER_DATASETS:
+    def check(name: str) -> None:
         checked = silver_checked(bronze_rows(spark, run, name), name)
         bad = F.size("validation_errors") > 0
         out = checked.withColumns({
@@ -102,6 +103,8 @@ def run_silver(spark: SparkSession, run: Run) -> DataFrame:
         partition_overwrite_sink(
             out, run.path("silver", name), ("tenant_id", "processing_date", "run", "quality"), run.rebalance
         )
+
+    side_by_side(check, list(SILVER_DATASETS))
     return reduce(DataFrame.unionByName, [_measure(spark, run, name) for name in SILVER_DATASETS])
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,15 +176,23 @@ def ingest_all(
 ) -> DataFrame:
     """Ingest every dataset; one that fails is reported and does not stop the others.
 
-    ``sources`` maps a dataset to its source system and a reader. Rows are counted while they are written, not again.
+    ``sources`` maps a dataset to its source system and a reader. Rows are counted while they are written, not again, and
+    a few datasets are written at a time, so that the tail of one does not leave the cluster idle.
     """
-    status = []
-    for name, (system, read) in sources.items():
+    def ingest(item: tuple[str, tuple[str, Callable[[], DataFrame]]]) -> tuple:
+        name, (system, read) = item
         try:
             seen = Observation()
             write(name, read().observe(seen, F.count(F.lit(1)).alias("rows")))
             rows = seen.get["rows"]
-            status.append((name, system, rows, rows, "SUCCESS", None))
+            return name, system, rows, rows, "SUCCESS", None
         except Exception as error:  # noqa: BLE001 - reported in the status table
-            status.append((name, system, 0, 0, "FAILED", str(error).split("\n")[0]))
-    return spark.createDataFrame(status, INGEST_STATUS)
+            return name, system, 0, 0, "FAILED", str(error).split("\n")[0]
+
+    return spark.createDataFrame(side_by_side(ingest, list(sources.items())), INGEST_STATUS)
+
+
+def side_by_side(action: Callable, items: list, at_once: int = 4) -> list:
+    """Results of independent Spark actions, a few of them running at the same time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(action), items))
