@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.operators.cleanse import first_per_key
+from tallylake.operators.sizing import broadcast_if_small
 
 # --- fixed values: result size, and the failure signatures of the two adapters ---------------------------------------
 
@@ -42,9 +43,6 @@ _CHUNK = 256
 # distances are compared at nine decimals, so that the order does not hang on the last bits of a sum
 _DIGITS = 9
 
-# tenants up to this number are sent to every executor as a table of block counts, beyond it they are joined by shuffle
-_BROADCAST_TENANTS = 100_000
-
 _CANDIDATES = "tenant_id string, query_id string, incident_id string, matches boolean, distance double"
 
 
@@ -59,27 +57,30 @@ def _nearest_in_block(fetch: int):
     """Nearest ``fetch`` memory rows per query, inside one (query block, memory block) pair."""
 
     def nearest(key: tuple, queries: pd.DataFrame, memory: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+        asked, near, far = [], [], []
         if len(queries) and len(memory):
             q, m = _unit_rows(queries["embedding"]), _unit_rows(memory["embedding"]).T
-            ids, names = memory["incident_id"].to_numpy(), queries["query_id"].to_numpy()
-            kinds, wanted = memory["adapter"].to_numpy(), queries["adapter"].to_numpy()
+            ids = memory["incident_id"].to_numpy().astype(str)
             for start in range(0, len(q), _CHUNK):
                 distances = np.round(1.0 - q[start:start + _CHUNK] @ m, _DIGITS)
-                for row, d in enumerate(distances):
-                    hits = np.arange(len(d))
-                    if len(d) > fetch:
-                        # every row up to the limit distance, ties included; the sort below settles them by id
-                        hits = np.flatnonzero(d <= np.partition(d, fetch - 1)[fetch - 1])
-                    order = np.lexsort((ids[hits].astype(str), d[hits]))[:fetch]
-                    near, asked = hits[order], wanted[start + row]
-                    parts.append(pd.DataFrame({
-                        "tenant_id": key[0], "query_id": names[start + row], "incident_id": ids[near],
-                        "matches": [asked is not None and k == asked for k in kinds[near]], "distance": d[near],
-                    }))
-        if not parts:
-            return pd.DataFrame({"tenant_id": [], "query_id": [], "incident_id": [], "matches": [], "distance": []})
-        return pd.concat(parts, ignore_index=True)
+                if len(ids) > fetch:
+                    bounds = np.partition(distances, fetch - 1, axis=1)[:, fetch - 1]
+                else:
+                    bounds = np.full(len(distances), np.inf)
+                for row, (d, bound) in enumerate(zip(distances, bounds)):
+                    # every row up to the bound, ties included; the sort settles them by id
+                    hits = np.flatnonzero(d <= bound)
+                    kept = hits[np.lexsort((ids[hits], d[hits]))[:fetch]]
+                    asked.append(np.full(len(kept), start + row))
+                    near.append(kept)
+                    far.append(d[kept])
+        rows = [np.concatenate(x) if x else np.array([], dtype=kind) for x, kind in ((asked, int), (near, int), (far, float))]
+        question, answer = queries.iloc[rows[0]], memory.iloc[rows[1]]
+        wanted, found = question["adapter"].to_numpy(), answer["adapter"].to_numpy()
+        return pd.DataFrame({
+            "tenant_id": key[0], "query_id": question["query_id"].to_numpy(), "incident_id": answer["incident_id"].to_numpy(),
+            "matches": (wanted == found) & ~pd.isna(wanted), "distance": rows[2],
+        })
 
     return nearest
 
@@ -104,8 +105,7 @@ def similar_incidents(
         return df.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
     blocks = block_count(queries, query_block, "q_blocks").join(block_count(memory, memory_block, "m_blocks"), "tenant_id")
-    if blocks.limit(_BROADCAST_TENANTS + 1).count() <= _BROADCAST_TENANTS:
-        blocks = F.broadcast(blocks)
+    blocks = broadcast_if_small(blocks)
 
     def spread(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""

@@ -1,0 +1,16 @@
+"""Broadcasts that are decided on a count, never on hope."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks narrow ``df`` for broadcast if it has at most ``rows`` rows; otherwise the join shuffles it.
+
+    For reduced tables (one row per tenant, per list) whose size estimate is that of the large table they come from.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -104,7 +104,7 @@ def run_silver(spark: SparkSession, run: Run) -> DataFrame:
             out, run.path("silver", name), ("tenant_id", "processing_date", "run", "quality"), run.rebalance
         )
 
-    side_by_side(check, list(SILVER_DATASETS))
+    side_by_side(spark, check, list(SILVER_DATASETS))
     return reduce(DataFrame.unionByName, [_measure(spark, run, name) for name in SILVER_DATASETS])
 
 

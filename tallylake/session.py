@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app: str = "tallylake", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # AQE skips the sorts of a join whose every partition was measured to be smaller than this
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+        # pages far down a list are sorted instead of kept in memory as a top-k
+        "spark.sql.execution.topKSortFallbackThreshold": "100000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,

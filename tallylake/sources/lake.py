@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallylake.operators.retail import lookup, updated_since
+from tallylake.operators.sizing import broadcast_if_small
 from tallylake.specs import KEYS
 
 PAGE_METADATA = "struct<tenant_id: string, source_system: string, entity: string, schema_version: string, record_count: int>"
@@ -39,7 +40,8 @@ def paged_source_read(spark: SparkSession, path: str, record: T.StructType, sinc
     last = (F.coalesce(F.size("data"), F.lit(0)) <= 0) | ~F.coalesce("_more", F.lit(False))
     # page headers only: one row per list and mapper leaves the partial aggregation
     ends = where.groupBy("_tenant", "_entity").agg(F.min(F.when(last, F.col("_offset"))).alias("_end"))
-    kept = where.join(ends.select("_tenant", "_entity", "_end"), (where._tenant.eqNullSafe(ends._tenant)) & (where._entity.eqNullSafe(ends._entity)))
+    ends = broadcast_if_small(ends.select(F.col("_tenant").alias("_t"), F.col("_entity").alias("_e"), "_end"))
+    kept = where.join(ends, F.col("_tenant").eqNullSafe(F.col("_t")) & F.col("_entity").eqNullSafe(F.col("_e")))
     kept = kept.filter(F.col("_end").isNull() | (F.col("_offset") <= F.col("_end")))
     return updated_since(kept.select(F.inline("data")), since)
 
@@ -159,9 +161,12 @@ def merge_increment(current: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def derive_promotion_links(raw_links: DataFrame, products: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Distinct links between ingested products and known promotions, in one join instead of one call per product."""
-    known = lookup(lookup(raw_links, products, ["tenant_id", "product_id"]), promotions, ["tenant_id", "promotion_id"])
-    return known.select(*KEYS["promotion_products"]).distinct()
+    """Distinct links between ingested products and known promotions, in one join instead of one call per product.
+
+    Repeats collapse first, before and not after the joins, so a product that is asked for often is no hot key there.
+    """
+    links = raw_links.select(*KEYS["promotion_products"]).distinct()
+    return lookup(lookup(links, products, ["tenant_id", "product_id"]), promotions, ["tenant_id", "promotion_id"])
 
 
 INGEST_STATUS = T.StructType([
@@ -189,10 +194,10 @@ def ingest_all(
         except Exception as error:  # noqa: BLE001 - reported in the status table
             return name, system, 0, 0, "FAILED", str(error).split("\n")[0]
 
-    return spark.createDataFrame(side_by_side(ingest, list(sources.items())), INGEST_STATUS)
+    return spark.createDataFrame(side_by_side(spark, ingest, list(sources.items())), INGEST_STATUS)
 
 
-def side_by_side(action: Callable, items: list, at_once: int = 4) -> list:
+def side_by_side(spark: SparkSession, action: Callable, items: list, at_once: int = 4) -> list:
     """Results of independent Spark actions, a few of them running at the same time."""
     with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(action), items))
+        return list(pool.map(inheritable_thread_target(spark)(action), items))

@@ -123,7 +123,10 @@ def events_once(events: DataFrame, target: str, keys: tuple[str, ...] = ("run_id
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = read_batches(batch.sparkSession, target, schema).filter(F.col("batch_id") < batch_id).select(*keys)
-        fresh = event_once(batch, keys).join(known, list(keys), "left_anti").select(*schema.fieldNames())
+        first = event_once(batch, keys)
+        # the batch is small and the table is not: reduce the table to the keys of the batch, so it is never shuffled whole
+        seen = known.join(first.select(*keys), list(keys), "left_semi")
+        fresh = first.join(seen, list(keys), "left_anti").select(*schema.fieldNames())
         fresh.write.mode("overwrite").parquet(batch_folder(target, batch_id))
 
     run_batches(events, target, write)
