@@ -133,7 +133,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return marks
 
 
-@query("merge_increment", "S12", f"""
+@query("merge_increment", "S12 U2", f"""
     SELECT product_id, tenant_id, product_name, unit_price, status, updated_at FROM (
       SELECT product_id, tenant_id, product_name, unit_price, status, updated_at FROM v_products
       UNION ALL SELECT product_id, tenant_id, NULL, CAST(unit_price + 1 AS DECIMAL(18,4)), status, updated_at + INTERVAL 1 DAY FROM v_products WHERE updated_at >= TIMESTAMP '2024-01-20')

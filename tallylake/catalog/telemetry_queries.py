@@ -173,6 +173,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tel.missing_success(views.telemetry_events(spark, d), "2024-01-01 00:00:00", AS_OF, 2)
 
 
+@query("duration_anomalies", "M14", f"""
+    SELECT b AS window_start, tenant_id, avg_duration FROM (SELECT b, tenant_id, {ratio('s', 'n')} AS avg_duration FROM (
+      SELECT date_trunc('day', ts) AS b, tenant_id, sum(value) AS s, count(value) AS n FROM v_metrics WHERE name = 'pipeline_duration_seconds' GROUP BY ALL))
+    WHERE avg_duration NOT BETWEEN 30 AND 60""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return tel.duration_anomalies(views.telemetry_metrics(spark, d), "30", "60")
+
+
 def _sum_text(name: str, extra: str = "true") -> str:
     return f"CAST(CAST(coalesce(sum(value) FILTER (name = '{name}' AND {extra}), 0) AS {MONEY}) AS VARCHAR)"
 

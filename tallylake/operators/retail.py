@@ -73,9 +73,14 @@ def low_stock(inventory: DataFrame) -> DataFrame:
     return inventory.filter("quantity_available <= reorder_level")
 
 
+def instant(written: str, column: str, df: DataFrame) -> Column:
+    """A time given as text, with or without zone, as a constant of the column's own type, so the test reaches the scan."""
+    return F.lit(written).cast("timestamp").cast(df.schema[column].dataType)
+
+
 def updated_since(df: DataFrame, since: str | None, column: str = "updated_at") -> DataFrame:
-    """Rows changed at or after ``since``; the literal takes the column's own type, so the test reaches the scan."""
-    return df if not since else df.filter(F.col(column) >= F.lit(since).cast(df.schema[column].dataType))
+    """Rows changed at or after ``since``."""
+    return df if not since else df.filter(F.col(column) >= instant(since, column, df))
 
 
 def orders_by_filters(
@@ -87,11 +92,10 @@ def orders_by_filters(
     since: str | None = None,
 ) -> DataFrame:
     found = where_given(orders, store_id=store_id, order_status=status)
-    when = orders.schema["order_date"].dataType
     if date_from:
-        found = found.filter(F.col("order_date") >= F.lit(date_from).cast(when))
+        found = found.filter(F.col("order_date") >= instant(date_from, "order_date", orders))
     if date_to:
-        found = found.filter(F.col("order_date") <= F.lit(date_to).cast(when))
+        found = found.filter(F.col("order_date") <= instant(date_to, "order_date", orders))
     return updated_since(found, since)
 
 

@@ -235,6 +235,15 @@ def missing_success(events: DataFrame, start: str, end: str, hours: int = 2) ->
     return slots.join(done, "window_start", "left_anti")
 
 
+def duration_anomalies(metrics: DataFrame, low: str, high: str, bucket: str = "1 day") -> DataFrame:
+    """Windows per tenant whose mean run duration lies outside the expected range."""
+    grouped = named(metrics, "pipeline_duration_seconds").groupBy(F.window("ts", bucket).alias("w"), "tenant_id").agg(
+        money_ratio(F.sum("value"), F.count("value")).alias("avg_duration")
+    )
+    expected = F.col("avg_duration").between(F.lit(low).cast(MONEY), F.lit(high).cast(MONEY))
+    return grouped.filter(~expected).select(F.col("w.start").alias("window_start"), "tenant_id", "avg_duration")
+
+
 def monitoring_checks(
     events: DataFrame, metrics: DataFrame, service: str, pipeline_id: str, tenant_id: str, as_of: str, unit_minutes: int = 30
 ) -> DataFrame:

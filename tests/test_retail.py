@@ -51,6 +51,9 @@ def test_dates_are_inclusive_and_updates_too(spark):
                       UNION ALL SELECT 'b', 's', 'x', TIMESTAMP'2026-01-02 00:00:00', TIMESTAMP'2026-01-06 00:00:00'""")
     assert retail.orders_by_filters(df, date_from="2026-01-01", date_to="2026-01-02").count() == 2
     assert [r.order_id for r in retail.orders_by_filters(df, since="2026-01-06").collect()] == ["b"]
+    plain = df.withColumn("updated_at", df.updated_at.cast("timestamp_ntz"))
+    assert [r.order_id for r in retail.updated_since(plain, "2026-01-06T02:00:00+02:00").collect()] == ["b"]
+    assert retail.updated_since(plain, "2026-01-06T00:00:00.000001Z").count() == 0
 
 
 def test_transactions_keep_orders_without_items(spark):
