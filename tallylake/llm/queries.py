@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylake.llm import chat, fingerprint, langid, packing, sharding
+from tallylake.llm import ann, chat, fingerprint, langid, packing, quality, sharding
 from tallylake.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -60,6 +60,16 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(with_control_conversation(table(spark, sf_dir, "conversations"))))
 
 
+@query("op2_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
