@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylake.llm import ann, chat, fingerprint, langid, packing, quality, sharding
+from tallylake.llm import ann, chat, fingerprint, langid, packing, quality, segment, sharding
 from tallylake.llm.common import table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,6 +76,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op4_sampled_segmentation")
+def sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segmentation_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
