@@ -47,13 +47,13 @@ def _identity(paragraphs: Column) -> Column:
 
 def _likeness(pieces: Column) -> Column:
     hashes = F.transform(pieces, lambda p: F.array(*[F.xxhash64(p, F.lit(100 + k)) for k in range(HASHES)]))
-    lanes = F.array(*[F.struct(F.lit(k).alias("hash"), F.lit(shift).alias("shift")) for k in range(HASHES) for shift in range(SPACING)])
 
-    def bit(h: Column, lane: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(h, lane["hash"]), lane["shift"]).bitwiseAND(_long(ONES))
+    def lanes(h: Column) -> Column:
+        return F.array(*[
+            F.call_function("shiftrightunsigned", F.get(h, F.lit(k)), F.lit(shift)).bitwiseAND(_long(ONES))
+            for k in range(HASHES) for shift in range(SPACING)])
 
-    return F.aggregate(
-        hashes, F.array_repeat(_long(0), LIKENESS), lambda acc, h: F.zip_with(acc, lanes, lambda a, lane: _add(a, bit(h, lane))))
+    return F.aggregate(hashes, F.array_repeat(_long(0), LIKENESS), lambda acc, h: F.zip_with(acc, lanes(h), _add))
 
 
 def vector(text: Column) -> Column:
@@ -102,12 +102,18 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """2<a,b> / (<a,a> + <b,b>) of the signed lanes, held within 0 and 1."""
-    x, y = _signed(a), _signed(b)
-    both = _dot(x, x) + _dot(y, y)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * _dot(x, y) / both))
-    return F.when(a == b, F.lit(1.0)).when(both > 0, share).otherwise(F.lit(0.0))
+def likeness(rows: DataFrame, own: str, others: dict[str, str]) -> DataFrame:
+    """``rows`` plus, per item (out, other) of ``others``, the likeness of the fingerprints in ``own`` and ``other``:
+    2<a,b> / (<a,a> + <b,b>) of the signed lanes, held within 0 and 1. Steps in columns of their own, so each is computed once."""
+    names = [own, *others.values()]
+    rows = rows.withColumns({f"_lanes_{n}": _signed(F.col(n)) for n in names})
+    rows = rows.withColumns({f"_norm_{n}": _dot(F.col(f"_lanes_{n}"), F.col(f"_lanes_{n}")) for n in names}
+                            | {f"_dot_{n}": _dot(F.col(f"_lanes_{own}"), F.col(f"_lanes_{n}")) for n in others.values()})
+    both = {n: F.col(f"_norm_{own}") + F.col(f"_norm_{n}") for n in others.values()}
+    share = {n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.col(f"_dot_{n}") / F.nullif(both[n], F.lit(0.0)))) for n in others.values()}
+    rows = rows.withColumns({
+        out: F.when(F.col(own) == F.col(n), F.lit(1.0)).otherwise(F.coalesce(share[n], F.lit(0.0))) for out, n in others.items()})
+    return rows.drop(*[f"{kind}_{n}" for kind in ("_lanes", "_norm", "_dot") for n in names])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -137,30 +143,30 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     Edited: the last floor(n_chars / 4) code points give way to as many (or all) of the first ones of the next document.
     Texts move once, by doc_id; what a document needs of the next one is cut out where that one lies and sent over.
     """
-    # rows whose id is null would all meet in one partition of the joins; they are the same key, so one neighbour row
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")
-    rows = docs.select("doc_id", text_or_empty().alias("text"), key)
-    following = next_ids(docs).select(
-        key, F.coalesce(F.col("next_id").cast("string"), F.lit("null")).alias("_next"))
+    # one key for joins, null included; with nothing but key and text on both sides, the texts are shuffled once for both joins
+    key = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    rows = docs.select(key.alias("_key"), text_or_empty().alias("text"))
+    next_key = F.coalesce(F.concat(F.lit("i"), F.col("next_id").cast("string")), F.lit("n"))
+    following = next_ids(docs).select(key.alias("_key"), next_key.alias("_next"))
     needs = (
         rows.select("_key", F.floor(F.length("text") / 4).cast("int").alias("_need")).groupBy("_key").agg(F.max("_need").alias("_need"))
         .join(following, "_key").select(F.col("_key").alias("_previous"), F.col("_next").alias("_key"), "_need")
     )
     sent = (
-        rows.select("_key", "text").join(needs, "_key")
+        rows.join(needs, "_key")
         .select("_previous", F.struct(F.left(F.col("text"), F.col("_need")).alias("head"), vector(F.col("text")).alias("fingerprint")).alias("_other"))
         .groupBy("_previous").agg(F.min("_other").alias("_other"))
     )
     share = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.left(F.col("text"), F.length("text") - share), F.left(F.col("_other.head"), share))
-    return (
+    compared = likeness(
         rows.join(sent, F.col("_key") == F.col("_previous"))
         .select(
-            "doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("_edited"),
-            vector(F.col("text")).alias("_own"), F.col("_other.fingerprint").alias("_next"))
-        .withColumn("_changed", vector(F.col("_edited")))
-        .select(
-            "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), as_text(F.col("_own")).alias("fingerprint"),
-            as_text(F.col("_changed")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_changed")).alias("near_edited"),
-            likeness(F.col("_own"), F.col("_next")).alias("near_next"))
-    )
+            "_key", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"),
+            vector(F.col("text")).alias("own"), F.col("_other.fingerprint").alias("next"))
+        .withColumn("changed", vector(F.col("edited"))),
+        "own", {"near_edited": "changed", "near_next": "next"})
+    doc_id = F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)).cast(docs.schema["doc_id"].dataType)
+    return compared.select(
+        doc_id.alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
