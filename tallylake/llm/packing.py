@@ -34,9 +34,9 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the closing one, cut into pieces."""
 
     def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tallylake.llm.tokens import WordIds
+        from tallylake.llm.tokens import word_ids
 
-        coder = WordIds(tokenizer_path)
+        coder = word_ids(tokenizer_path)
         for batch in batches:
             for at in range(0, len(batch), TEXTS_AT_ONCE):
                 part = batch.iloc[at:at + TEXTS_AT_ONCE]

@@ -1,19 +1,20 @@
 """Exact token ids of a lower-casing word BPE, with the words of a batch encoded once.
 
 Such a tokenizer never joins characters across white space, so the ids of a text are those of its blank-separated chunks one
-after another. Chunks repeat a lot: each task keeps the ids of the chunks it has met (at most ``MOST_KEPT``, then it starts over)
-and hands only new ones to the tokenizer. Texts with control characters that Python and the tokenizer may class differently
+after another. Chunks repeat a lot: each Python worker keeps the ids of the chunks it has met (at most ``MOST_KEPT``, then it starts
+over) from task to task and hands only new ones to the tokenizer. Texts with control characters that Python and the tokenizer may class differently
 go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
 import numpy as np
 
-MOST_KEPT = 600_000
+MOST_KEPT = 1_000_000
 TAIL = ".,;:!?"
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -87,3 +88,9 @@ class WordIds:
         for word, end in zip(words, ends.tolist(), strict=True):
             self.words[word] = ids[start:end].tobytes()
             start = end
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's coder, kept from task to task."""
+    return WordIds(path)
