@@ -7,6 +7,7 @@ slot) leads to node + slot + 1. Backward sums turn piece probabilities into each
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -111,6 +112,12 @@ class Vocabulary:
         return np.concatenate([*parts, ids[start:]])
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str, temperature: float = 1.0) -> Vocabulary:
+    """The worker's vocabulary, kept from task to task."""
+    return Vocabulary(path, temperature)
+
+
 class Lattices:
     def __init__(self, vocabulary: Vocabulary, chunks: list[str]) -> None:
         v = vocabulary

@@ -113,7 +113,7 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, bucket_rows: int = 65536) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, bucket_rows: int = 8192) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``; reads its input more than once, so give it stored rows."""
     spark = pieces.sparkSession
     counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

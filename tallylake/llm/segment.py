@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylake.llm.lattice import Lattices, Vocabulary
+from tallylake.llm.lattice import Lattices, Vocabulary, vocabulary
 
 CHARS_AT_ONCE = 2_500_000
 LEAST_MASS = -80.0
@@ -220,24 +220,24 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]
 
 def _run(docs: DataFrame, model_path: str, k: int, seed: int, temperature: float, schema: str, row_of) -> DataFrame:
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(model_path, temperature)
-        segment = Segmenter(vocabulary, k, seed)
+        pieces = vocabulary(model_path, temperature)
+        segment = Segmenter(pieces, k, seed)
         names = [part.split()[0] for part in schema.split(", ")]
         for keys, texts in _batches(frames):
             found = segment([key or 0 for key in keys], texts)
-            rows = [row_of(vocabulary, key, text, i, *one) for key, text, samples in zip(keys, texts, found, strict=True) for i, one in enumerate(samples)]
+            rows = [row_of(pieces, key, text, i, *one) for key, text, samples in zip(keys, texts, found, strict=True) for i, one in enumerate(samples)]
             for at in range(0, len(rows), 1000):
                 yield pd.DataFrame(rows[at:at + 1000], columns=names).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sample, schema)
 
 
-def _sample_row(vocabulary, key, text, i, ids, logp, number, inclusion):
+def _sample_row(pieces, key, text, i, ids, logp, number, inclusion):
     return key, i, ids, logp, number, inclusion
 
 
-def _digest_row(vocabulary, key, text, i, ids, logp, number, inclusion):
-    return (key, i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, number, inclusion, vocabulary.decode(ids) == text)
+def _digest_row(pieces, key, text, i, ids, logp, number, inclusion):
+    return (key, i, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), logp, number, inclusion, pieces.decode(ids) == text)
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 5, temperature: float = 1.0) -> DataFrame:
@@ -254,8 +254,8 @@ def decode(samples: DataFrame, model_path: str) -> DataFrame:
     """All columns of ``samples`` plus ``text``, the decoded ``ids``."""
     @F.pandas_udf("string")
     def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(model_path)
+        pieces = vocabulary(model_path)
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else vocabulary.decode(np.asarray(ids)))
+            yield batch.map(lambda ids: None if ids is None else pieces.decode(np.asarray(ids)))
 
     return samples.withColumn("text", plain("ids"))
