@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylake.llm import ann, chat, fingerprint, jaccard, langid, packing, quality, segment, sharding
+from tallylake.llm import ann, chat, fingerprint, jaccard, langid, linededup, packing, quality, segment, sharding
 from tallylake.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -81,6 +81,11 @@ def sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segmentation_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
 
 
+@query("op5_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
