@@ -146,7 +146,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals() -> str:
-    return f"""SELECT ts, event_type AS name, CAST(1 AS {MONEY}) AS value FROM v_telemetry UNION ALL SELECT ts, name, value FROM v_metrics"""
+    return f"""SELECT ts, pipeline_id, event_type AS name, CAST(1 AS {MONEY}) AS value FROM v_telemetry
+      UNION ALL SELECT ts, pipeline_id, name, value FROM v_metrics"""
 
 
 def _fired_sql(rule: tel.AlertRule, start: str, rows: str) -> str:
@@ -154,9 +155,9 @@ def _fired_sql(rule: tel.AlertRule, start: str, rows: str) -> str:
     names = [f"'{n}'" for n in (rule.numerator, rule.denominator) if n]
     base = f"greatest(coalesce(sum(value) FILTER (name = '{rule.denominator}'), 0), 1)" if rule.denominator else "1"
     top = f"coalesce(sum(value) FILTER (name = '{rule.numerator}'), 0)"
-    return f"""SELECT w AS window_start, w + INTERVAL {rule.minutes} MINUTES AS window_end, '{rule.name}' AS alert, '{rule.level}' AS level,
+    return f"""SELECT pipeline_id, w AS window_start, w + INTERVAL {rule.minutes} MINUTES AS window_end, '{rule.name}' AS alert, '{rule.level}' AS level,
         round(CAST(n AS DOUBLE) / CAST(b AS DOUBLE), 4) AS observed
-      FROM (SELECT {start} AS w, {top} AS n, {base} AS b FROM ({rows}) WHERE name IN ({', '.join(names)}) GROUP BY 1)
+      FROM (SELECT pipeline_id, {start} AS w, {top} AS n, {base} AS b FROM ({rows}) WHERE name IN ({', '.join(names)}) GROUP BY 1, 2)
       WHERE n > CAST(b AS DECIMAL(38,4)) * CAST({rule.threshold} AS DECIMAL(10,4))"""
 
 
@@ -239,12 +240,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
+FILES_PER_BATCH = 1000
+
+
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return jobs.file_stream(spark, d, f"{name}.parquet", views.table(spark, d, name).schema)
+    return jobs.file_stream(spark, d, f"{name}.parquet", views.table(spark, d, name).schema, FILES_PER_BATCH)
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The event table as a stream; watermarks need a zoned time."""
+    """The event table as a stream, with zoned times."""
     return views.with_k(stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -258,10 +262,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return jobs.event_windows(telemetry_stream(spark, d), shared_dir(spark, "stream-windows"))
 
 
-_SLIDING = f"""SELECT unnest([{five_minutes()} - INTERVAL 5 MINUTES, {five_minutes()}]) AS ts, name, value FROM ({_signals()})"""
+_SLIDING = f"""SELECT unnest([{five_minutes()} - INTERVAL 5 MINUTES, {five_minutes()}]) AS ts, pipeline_id, name, value FROM ({_signals()})"""
+_TUMBLING = f"SELECT {five_minutes()} AS ts, pipeline_id, name, value FROM ({_signals()})"
 
 
-@query("stream_alerts", "W2", " UNION ALL ".join(_fired_sql(r, "ts", _SLIDING) for r in tel.ALERT_RULES if r.minutes == 10))
+@query("stream_alerts", "W2", " UNION ALL ".join(_fired_sql(r, "ts", _SLIDING if r.minutes == 10 else _TUMBLING) for r in tel.ALERT_RULES))
 def _(spark: SparkSession, d: str) -> DataFrame:
     events = telemetry_stream(spark, d)
     metrics = views.as_metrics(event_stream(spark, d))
@@ -271,7 +276,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_loss_of_signal", "W3", f"""
     SELECT tenant_id, silent_from FROM (
       SELECT tenant_id, ts AS silent_from, lead(ts) OVER (PARTITION BY tenant_id ORDER BY ts) AS nxt, max(ts) OVER () AS newest FROM v_telemetry)
-    WHERE (nxt - silent_from > INTERVAL {_GAP} MINUTES OR nxt IS NULL) AND silent_from + INTERVAL {_GAP} MINUTES <= newest - INTERVAL 10 MINUTES""")
+    WHERE coalesce(nxt, newest) - silent_from > INTERVAL {_GAP} MINUTES""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return jobs.loss_of_signal(telemetry_stream(spark, d), shared_dir(spark, "stream-silence"), _GAP)
 

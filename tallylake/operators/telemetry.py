@@ -180,18 +180,34 @@ def run_overview(events: DataFrame, metrics: DataFrame, as_of: str, minutes: int
 # --- alerts ----------------------------------------------------------------------------------------------------------
 
 
+def _signal_names() -> list[str]:
+    return sorted({n for r in ALERT_RULES for n in (r.numerator, r.denominator) if n})
+
+
 def signals(events: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Events (each counts 1) and metrics in one long shape, reduced to the names some alert rule reads."""
-    names = {n for r in ALERT_RULES for n in (r.numerator, r.denominator) if n}
-    counted = events.select("ts", F.col("event_type").alias("name"), F.lit(1).cast(MONEY).alias("value"))
-    measured = metrics.select("ts", "name", F.col("value").cast(MONEY).alias("value"))
-    return counted.unionByName(measured).filter(F.col("name").isin(*sorted(names)))
+    """Events (each counts 1) and metrics of all pipelines in one long shape, reduced to the names some alert rule reads."""
+    counted = events.select("ts", "pipeline_id", F.col("event_type").alias("name"), F.lit(1).cast(MONEY).alias("value"))
+    measured = metrics.select("ts", "pipeline_id", "name", F.col("value").cast(MONEY).alias("value"))
+    return counted.unionByName(measured).filter(F.col("name").isin(*_signal_names()))
+
+
+def signal_sums(signal_rows: DataFrame) -> DataFrame:
+    """Sums of every signal per pipeline and 5-minute window, one column each."""
+    grouped = signal_rows.groupBy("pipeline_id", F.window("ts", "5 minutes").alias("w")).agg(*metric_sum(*_signal_names()))
+    return grouped.select("pipeline_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_signal_names())
+
+
+def sum_windows(sums: DataFrame) -> DataFrame:
+    """One row per pipeline and window from partial sums."""
+    return sums.groupBy("pipeline_id", "window_start", "window_end").agg(*[F.sum(n).cast(MONEY).alias(n) for n in _signal_names()])
 
 
-def window_sums(signal_rows: DataFrame, window: Column) -> DataFrame:
-    names = sorted({n for r in ALERT_RULES for n in (r.numerator, r.denominator) if n})
-    grouped = signal_rows.groupBy(window.alias("w")).agg(*metric_sum(*names))
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names)
+def alerts_of_windows(five: DataFrame, sliding: bool) -> DataFrame:
+    """Alert rows of all rules from 5-minute sums; 10-minute windows tumble, or slide by five minutes."""
+    window = F.window("window_start", "10 minutes", "5 minutes") if sliding else F.window("window_start", "10 minutes")
+    ten = five.groupBy("pipeline_id", window.alias("w")).agg(*[F.sum(n).cast(MONEY).alias(n) for n in _signal_names()])
+    ten = ten.select("pipeline_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *_signal_names())
+    return fired(five, 5).unionByName(fired(ten, 10))
 
 
 def fired(sums: DataFrame, minutes: int) -> DataFrame:
@@ -205,20 +221,15 @@ def fired(sums: DataFrame, minutes: int) -> DataFrame:
         observed = F.round(total.cast("double") / base.cast("double"), 4)
         alerts.append(F.when(breach, F.struct(F.lit(r.name).alias("alert"), F.lit(r.level).alias("level"), observed.alias("observed"))))
     exploded = sums.withColumn("a", F.explode(F.array_compact(F.array(*alerts))))
-    return exploded.select("window_start", "window_end", "a.alert", "a.level", "a.observed")
+    return exploded.select("pipeline_id", "window_start", "window_end", "a.alert", "a.level", "a.observed")
 
 
 def alert_conditions(events: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Alert rows of all rules over tumbling windows.
+    """Alert rows of all rules per pipeline over tumbling windows.
 
     Raw telemetry is summed once into 5-minute windows; the 10-minute windows are sums of those few rows.
     """
-    five = window_sums(signals(events, metrics), F.window("ts", "5 minutes"))
-    names = [c for c in five.columns if c not in ("window_start", "window_end")]
-    ten = five.groupBy(F.window("window_start", "10 minutes").alias("w")).agg(
-        *[F.sum(n).cast(MONEY).alias(n) for n in names]
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *names)
-    return fired(five, 5).unionByName(fired(ten, 10))
+    return alerts_of_windows(signal_sums(signals(events, metrics)), sliding=False)
 
 
 def missing_success(events: DataFrame, start: str, end: str, hours: int = 2) -> DataFrame:
@@ -300,17 +311,41 @@ def event_once(events: DataFrame, keys: tuple[str, ...] = ("run_id", "event_type
     return first_per_key(events, keys, [F.col("ts").asc(), F.col("event_id").asc()])
 
 
+def bucket_edges(events: DataFrame, minutes: int) -> DataFrame:
+    """First and last event time of each tenant in every bucket of ``minutes``."""
+    bucket = F.window("ts", f"{minutes} minutes")
+    edges = events.groupBy("tenant_id", bucket.alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return edges.select("tenant_id", F.col("w.start").alias("bucket"), "first", "last")
+
+
+def combine_edges(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("tenant_id", "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def gaps_of_edges(edges: DataFrame, minutes: int, as_of: str | None = None, still_open: bool = False) -> DataFrame:
+    """Gaps between bucket edges; with ``still_open`` also the last one of a tenant, if ``as_of`` (None: the newest event) is that far on.
+
+    The window runs over the bucket edges of one tenant: one row per bucket, bounded by the time span and not by the number of events.
+    """
+    following = F.lead("first").over(Window.partitionBy("tenant_id").orderBy("last"))
+    if still_open:
+        now = edges.agg(F.max("last").alias("now")) if as_of is None else edges.sparkSession.range(1).select(
+            F.lit(as_of).cast(edges.schema["last"].dataType).alias("now"))
+        edges = edges.withColumn("until", following).crossJoin(now)  # one row
+    else:
+        edges = edges.withColumn("until", following).withColumn("now", F.lit(None).cast(edges.schema["last"].dataType))
+    end = F.coalesce("until", "now")
+    gaps = edges.filter(end - F.col("last") > F.make_dt_interval(mins=F.lit(minutes)))
+    return gaps.select("tenant_id", F.col("last").alias("silent_from"), F.col("until").alias("silent_until"))
+
+
 def silent_gaps(events: DataFrame, minutes: int) -> DataFrame:
     """Times in which a tenant sent nothing for longer than ``minutes``.
 
     Events are first reduced to the first and last of every bucket of that length: inside one bucket no gap can be long
     enough, so only bucket edges are compared, and a busy tenant costs one row per bucket.
     """
-    bucket = F.window("ts", f"{minutes} minutes")
-    edges = events.groupBy("tenant_id", bucket.alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    following = F.lead("first").over(Window.partitionBy("tenant_id").orderBy("last"))
-    gaps = edges.withColumn("until", following).filter(F.col("until") - F.col("last") > F.make_dt_interval(mins=F.lit(minutes)))
-    return gaps.select("tenant_id", F.col("last").alias("silent_from"), F.col("until").alias("silent_until"))
+    return gaps_of_edges(bucket_edges(events, minutes), minutes)
 
 
 def late_rows(events: DataFrame, arrived_column: str, delay_minutes: int = 10) -> DataFrame:
