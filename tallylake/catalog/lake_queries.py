@@ -318,16 +318,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lake.tenant_parquet_scan(spark, target).select(*rows.columns)
 
 
+# what the orphan count of a dataset looks into: valid rows only, on both sides
+_VALID = {n: f"(SELECT * FROM v_checked_{n} WHERE len(errors) = 0)" for n in ("products", "sales", "sales_items", "suppliers")}
+
+
 def _metrics_sql(dataset: str, source: str, view: str) -> str:
     null = "len(list_filter(errors, lambda m: m LIKE '% is required')) > 0"
     rule = "len(list_filter(errors, lambda m: NOT m LIKE '% is required')) > 0"
+    broken = "SELECT NULL AS tenant_id, 0 AS orphans"
+    if dataset in FOREIGN_KEYS:
+        broken = _orphans_sql(dataset, _VALID[dataset], _VALID)
     return f"""
     SELECT '{dataset}' AS dataset, s.tenant_id, s.n AS input_record_count, s.n - c.n AS duplicate_record_count, c.ok AS valid_record_count,
       c.n - c.ok AS invalid_record_count, c.ok AS output_record_count, c.nulls AS null_violation_count,
-      c.rules AS business_rule_violation_count, CAST(0 AS BIGINT) AS referential_integrity_failure_count
+      c.rules AS business_rule_violation_count, CAST(coalesce(o.orphans, 0) AS BIGINT) AS referential_integrity_failure_count
     FROM (SELECT tenant_id, count(*) AS n FROM {source} GROUP BY 1) s
     JOIN (SELECT tenant_id, count(*) AS n, count(*) FILTER (len(errors) = 0) AS ok, count(*) FILTER ({null}) AS nulls,
-            count(*) FILTER ({rule}) AS rules FROM {view} GROUP BY 1) c USING (tenant_id)"""
+            count(*) FILTER ({rule}) AS rules FROM {view} GROUP BY 1) c USING (tenant_id)
+    LEFT JOIN (SELECT tenant_id, sum(orphans) AS orphans FROM ({broken}) GROUP BY 1) o USING (tenant_id)"""
 
 
 def _orphans_sql(dataset: str, view: str, parents: dict[str, str]) -> str:
@@ -352,11 +360,14 @@ _QUALITY_SQL = " UNION ALL ".join([
 
 
 def all_metrics(spark: SparkSession, d: str) -> DataFrame:
-    frames = []
-    for name in ("products", "sales", "sales_items", "inventory", "promotions", "suppliers"):
-        source = views.raw_products(spark, d) if name == "products" else RETAIL[name](spark, d)
-        frames.append(quality.quality_metrics(source, silver.silver_checked(source, name), spec(name)))
-    return views.union_all(frames)
+    sources = {n: views.raw_products(spark, d) if n == "products" else RETAIL[n](spark, d)
+               for n in ("products", "sales", "sales_items", "inventory", "promotions", "suppliers")}
+    checked = {n: silver.silver_checked(rows, n, "source_copies") for n, rows in sources.items()}
+    valid = {n: quality.valid_rows(rows) for n, rows in checked.items()}
+    return views.union_all([
+        quality.quality_metrics(rows, spec(n), quality.orphan_counts(valid[n], spec(n), valid) if n in FOREIGN_KEYS else None)
+        for n, rows in checked.items()
+    ])
 
 
 @query("quality_metrics", "V10", _QUALITY_SQL)
@@ -373,12 +384,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return quality.invalid_rate_gate(all_metrics(spark, d), 0.03)
 
 
-@query("stage_rollup", "V14", """
-    SELECT run_id, tenant_id, CASE WHEN b THEN 'SUCCESS' ELSE 'FAILED' END AS bronze_status, CASE WHEN s THEN 'SUCCESS' ELSE 'FAILED' END AS silver_status,
-      CASE WHEN g THEN 'SUCCESS' ELSE 'FAILED' END AS gold_status, CASE WHEN b AND s AND g THEN 'SUCCESS' ELSE 'FAILED' END AS overall_status
-    FROM (SELECT run_id, tenant_id, coalesce(bool_and(status = 'SUCCESS') FILTER (stage = 'bronze'), false) AS b,
-            coalesce(bool_and(status = 'SUCCESS') FILTER (stage = 'silver'), false) AS s,
-            coalesce(bool_and(status = 'SUCCESS') FILTER (stage = 'gold'), false) AS g FROM v_telemetry GROUP BY ALL)""")
+_STAGE_SQL = ("CASE WHEN {s}_n = 0 THEN CASE WHEN {before} THEN 'FAILED' ELSE 'SKIPPED' END WHEN {s}_good = {s}_n THEN 'SUCCESS' "
+              "WHEN {s}_skipped = {s}_n THEN 'SKIPPED' ELSE 'FAILED' END")
+_STAGE_COUNTS = ", ".join(
+    f"count(*) FILTER (stage = '{s}') AS {s}_n, count(*) FILTER (stage = '{s}' AND status = 'SUCCESS') AS {s}_good, "
+    f"count(*) FILTER (stage = '{s}' AND status = 'SKIPPED') AS {s}_skipped" for s in ("bronze", "silver", "gold"))
+
+
+@query("stage_rollup", "V14", f"""
+    SELECT *, CASE WHEN bronze_status = 'SUCCESS' AND silver_status = 'SUCCESS' AND gold_status = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAILED' END AS overall_status
+    FROM (SELECT run_id, tenant_id, bronze_status, silver_status,
+            {_STAGE_SQL.format(s='gold', before="bronze_status = 'SUCCESS' AND silver_status = 'SUCCESS'")} AS gold_status
+          FROM (SELECT *, {_STAGE_SQL.format(s='silver', before="bronze_status = 'SUCCESS'")} AS silver_status
+                FROM (SELECT *, {_STAGE_SQL.format(s='bronze', before='true')} AS bronze_status
+                      FROM (SELECT run_id, tenant_id, {_STAGE_COUNTS} FROM v_telemetry GROUP BY ALL))))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return quality.stage_rollup(views.telemetry_events(spark, d))
 

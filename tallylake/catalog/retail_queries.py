@@ -310,7 +310,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     spoiled = rows.join(first, ["tenant_id", "product_id"], "left").withColumn(
         "final_price", F.when(F.col("_bad"), F.lit(-1).cast("decimal(18,4)")).otherwise(F.col("final_price"))
     )
-    return quality.publish_gate(rows, spoiled).select("tenant_id", "product_id", "final_price")
+    path = shared_dir(spark, "gate")
+    quality.failing(quality.gold_checks(spoiled, "tenant_id")).select("tenant_id").write.parquet(path)
+    return quality.publish_gate(rows, spark.read.schema("tenant_id string").parquet(path)).select("tenant_id", "product_id", "final_price")
 
 
 @query("best_promotion", "G1", "SELECT * FROM v_best")

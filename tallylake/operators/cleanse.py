@@ -67,20 +67,33 @@ def first_per_key(df: DataFrame, keys: list[str] | tuple[str, ...], order: list[
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
-def dedup_latest(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """Latest row per business key; without an order column only exact key repeats collapse."""
+def one_per_key(df: DataFrame, keys: list[str] | tuple[str, ...], order: list[Column], copies: str | None = None) -> DataFrame:
+    """The first row of every key, for keys that are nearly unique: one shuffle and one sort.
+
+    An early cut would sort the whole table before the shuffle and remove next to nothing; the count of a key's rows, kept in the same
+    window, rules it out and is there for ``copies``. Keys that may be hot take :func:`first_per_key`.
+    """
+    by_key = Window.partitionBy(*reversed(keys)).orderBy(*order)
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = df.withColumns({"_rank": F.row_number().over(by_key), copies or "_copies": F.count(F.lit(1)).over(whole)})
+    return counted.filter((F.col("_rank") == 1) & (F.col(copies or "_copies") > 0)).drop("_rank", *([] if copies else ["_copies"]))
+
+
+def dedup_latest(df: DataFrame, spec: DatasetSpec, copies: str | None = None) -> DataFrame:
+    """Latest row per business key, with the number of its rows in ``copies`` if named; without an order column only exact key
+    repeats collapse."""
     if spec.order_column is None or spec.order_column not in df.columns:
-        return dedup_items(df, spec)
-    return first_per_key(df, spec.keys, _newest_first(df, spec.keys, spec.order_column))
+        return dedup_items(df, spec, copies)
+    return one_per_key(df, spec.keys, _newest_first(df, spec.keys, spec.order_column), copies)
 
 
-def dedup_items(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+def dedup_items(df: DataFrame, spec: DatasetSpec, copies: str | None = None) -> DataFrame:
     """One row per key when rows carry no change time: the last ingested, then the smallest in column order."""
     rest = [c for c in df.columns if c not in spec.keys]
     if not rest:
-        return df.distinct()
+        return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies)) if copies else df.distinct()
     ingested = [F.col(c).desc_nulls_last() for c in rest if c == "ingestion_timestamp"]
-    return first_per_key(df, spec.keys, ingested + [F.col(c).asc_nulls_last() for c in rest if c != "ingestion_timestamp"])
+    return one_per_key(df, spec.keys, ingested + [F.col(c).asc_nulls_last() for c in rest if c != "ingestion_timestamp"], copies)
 
 
 def explode_order_items(orders: DataFrame) -> DataFrame:

@@ -91,22 +91,23 @@ def orphan_counts(child: DataFrame, spec: DatasetSpec, parents: dict[str, DataFr
 
 
 def quality_metrics(
-    source: DataFrame, validated: DataFrame, spec: DatasetSpec, orphans: DataFrame | None = None
+    checked: DataFrame, spec: DatasetSpec, orphans: DataFrame | None = None, tenants: DataFrame | None = None, copies: str = "source_copies"
 ) -> DataFrame:
-    """Counts per tenant: one pass over the source keys and one over the validated frame."""
-    received = source.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("input_record_count"))
-    checked = validated.withColumns({
-        "_null": F.size(F.filter("validation_errors", lambda m: m.endswith(" is required"))) > 0,
-        "_rule": F.size(F.filter("validation_errors", lambda m: ~m.endswith(" is required"))) > 0,
-        "_ok": F.size("validation_errors") == 0,
-    })
-    judged = checked.groupBy("tenant_id").agg(
+    """Counts per tenant in one pass over checked rows, each of which knows how many source rows it stands for (``copies``).
+
+    With ``tenants`` every tenant has a row, of zeros where the dataset has none of its records.
+    """
+    required = F.exists("validation_errors", lambda m: m.endswith(" is required"))
+    rule = F.exists("validation_errors", lambda m: ~m.endswith(" is required"))
+    result = checked.groupBy("tenant_id").agg(
+        F.sum(copies).alias("input_record_count"),
         F.count(F.lit(1)).alias("_distinct"),
-        F.count_if("_ok").alias("valid_record_count"),
-        F.count_if("_null").alias("null_violation_count"),
-        F.count_if("_rule").alias("business_rule_violation_count"),
+        F.count_if(F.size("validation_errors") == 0).alias("valid_record_count"),
+        F.count_if(required).alias("null_violation_count"),
+        F.count_if(rule).alias("business_rule_violation_count"),
     )
-    result = received.join(judged, "tenant_id", "left")
+    if tenants is not None:
+        result = tenants.select("tenant_id").distinct().join(result, "tenant_id", "left")
     if orphans is not None:
         broken = orphans.groupBy("tenant_id").agg(F.sum("orphans").alias("referential_integrity_failure_count"))
         result = result.join(broken, "tenant_id", "left")
@@ -120,8 +121,8 @@ def quality_metrics(
     return result.select(
         F.lit(spec.name).alias("dataset"),
         "tenant_id",
-        "input_record_count",
-        (F.col("input_record_count") - number("_distinct")).alias("duplicate_record_count"),
+        number("input_record_count").alias("input_record_count"),
+        (number("input_record_count") - number("_distinct")).alias("duplicate_record_count"),
         number("valid_record_count").alias("valid_record_count"),
         (number("_distinct") - number("valid_record_count")).alias("invalid_record_count"),
         number("valid_record_count").alias("output_record_count"),
@@ -144,6 +145,7 @@ def invalid_rate_gate(metrics: DataFrame, limit: float = INVALID_RATE_LIMIT) ->
     )
 
 
+# --- fixed values: failure texts of the gold checks
 GOLD_CHECKS = {
     "null_tenant": "tenant_id is null for one or more records",
     "null_product": "product_id is null for one or more records",
@@ -180,38 +182,63 @@ def failing(checks: DataFrame) -> DataFrame:
     return checks.filter(" + ".join(GOLD_CHECKS) + " > 0")
 
 
-def publish_gate(gold: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Rows of ``gold`` of the tenants whose pricing passes every check; a tenant with any failure publishes nothing."""
-    failed = failing(gold_checks(pricing, "tenant_id")).select(F.col("tenant_id").alias("_tenant"))
-    return gold.join(failed, F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left_anti")
+def without_tenants(rows: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Rows of all other tenants. Hand in ``tenants`` read back from a file: its size is then known, so Spark can send the few names
+    to the rows and never has to gather a tenant's rows in one place."""
+    names = tenants.select(F.col("tenant_id").alias("_tenant"))
+    return rows.join(names, F.col("tenant_id").eqNullSafe(F.col("_tenant")), "left_anti")
+
+
+def publish_gate(gold: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows of ``gold`` of the tenants whose pricing passes every check; a tenant in ``failed`` publishes nothing."""
+    return without_tenants(gold, failed)
+
+
+def gold_failures() -> Column:
+    """Failure texts of a :func:`gold_checks` row, as an array."""
+    texts = [F.when(F.col(name) > 0, F.replace(F.lit(text), F.lit("{}"), F.col(name).cast("string"))) for name, text in GOLD_CHECKS.items()]
+    return F.array_compact(F.array(*texts))
 
 
-def gold_failures(checks_row: dict[str, int]) -> list[str]:
-    """Failure texts of one :func:`gold_checks` row."""
-    return [text.format(checks_row[name]) for name, text in GOLD_CHECKS.items() if checks_row[name] > 0]
+def quality_failures(gate: DataFrame) -> Column:
+    """Text of a breached :func:`invalid_rate_gate` row."""
+    return F.when(F.col("breached"), F.concat(
+        "dataset", F.lit(": invalid rate "), F.format_number(F.col("invalid_rate") * 100, 2), F.lit("% exceeds the limit ("),
+        F.col("invalid_record_count").cast("string"), F.lit("/"), F.col("input_record_count").cast("string"), F.lit(" records quarantined)")))
 
 
 def duplicate_keys(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def stage_rollup(records: DataFrame) -> DataFrame:
-    """Stage status per run from dataset statuses (run_id, tenant_id, stage, status), overall status beside it."""
-    stages = records.groupBy("run_id", "tenant_id").agg(
-        *[
-            F.coalesce(F.bool_and(F.when(F.col("stage") == s, F.col("status") == "SUCCESS")), F.lit(False)).alias(f"_{s}")
-            for s in ("bronze", "silver", "gold")
-        ]
-    )
+STAGES = ("bronze", "silver", "gold")
+
 
-    def word(flag: Column) -> Column:
-        return F.when(flag, "SUCCESS").otherwise("FAILED")
+def stage_rollup(records: DataFrame) -> DataFrame:
+    """Stage status per run from dataset statuses (run_id, tenant_id, stage, status), overall status beside it.
 
-    flags = {s: F.col(f"_{s}") for s in ("bronze", "silver", "gold")}
-    return stages.select(
-        "run_id", "tenant_id",
-        *[word(flag).alias(f"{s}_status") for s, flag in flags.items()],
-        word(flags["bronze"] & flags["silver"] & flags["gold"]).alias("overall_status"),
+    A stage without records is SKIPPED if an earlier one did not succeed, else FAILED; one whose records are all SKIPPED is SKIPPED.
+    """
+    counts = records.groupBy("run_id", "tenant_id").agg(*[
+        F.struct(
+            F.count_if(F.col("stage") == s).alias("n"),
+            F.count_if((F.col("stage") == s) & (F.col("status") == "SUCCESS")).alias("good"),
+            F.count_if((F.col("stage") == s) & (F.col("status") == "SKIPPED")).alias("skipped"),
+        ).alias(f"_{s}")
+        for s in STAGES
+    ])
+    earlier = F.lit(True)
+    for s in STAGES:
+        n = F.col(f"_{s}")
+        status = (
+            F.when(n["n"] == 0, F.when(earlier, "FAILED").otherwise("SKIPPED"))
+            .when(n["good"] == n["n"], "SUCCESS").when(n["skipped"] == n["n"], "SKIPPED").otherwise("FAILED")
+        )
+        counts = counts.withColumn(f"{s}_status", status)
+        earlier = earlier & (F.col(f"{s}_status") == "SUCCESS")
+    return counts.select(
+        "run_id", "tenant_id", *[f"{s}_status" for s in STAGES],
+        F.when(earlier, "SUCCESS").otherwise("FAILED").alias("overall_status"),
     )
 
 

@@ -12,23 +12,31 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallylake.operators.cleanse import explode_order_items, orders_without_items
 from tallylake.operators.enrich import sales_by_product
 from tallylake.operators.quality import (
     failing,
     gold_checks,
+    gold_failures,
     invalid_rate_gate,
     orphan_counts,
     publish_gate,
+    quality_failures,
     quality_metrics,
     stage_rollup,
+    without_tenants,
 )
+from tallylake.operators.telemetry import metrics_from_logs
 from tallylake.plans.gold import gold_pricing, gold_product_sales
 from tallylake.plans.silver import silver_checked
 from tallylake.sources.lake import (
+    ALL_TENANTS,
     bronze_metadata,
+    full_overwrite_sink,
     ingest_all,
+    lake_table,
     log_record_sink,
     partition_overwrite_sink,
     side_by_side,
@@ -58,119 +66,225 @@ class Run:
         return f"{self.root}/{layer}/{dataset}"
 
 
+    @property
+    def one_tenant(self) -> str | None:
+        return None if self.tenant_id in (None, ALL_TENANTS) else self.tenant_id
+
+    def work(self, name: str) -> str:
+        return f"{self.root}/work/{self.run_id}/{name}"
+
+
 def run_bronze(spark: SparkSession, run: Run, sources: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
-    """Land every source; partitioned by run too, so a second run of a day adds to the first instead of replacing it."""
+    """Land every source; partitioned by run too, so a second run of a day adds to the first instead of replacing it.
+
+    A run for one tenant lands that tenant's records only and stamps them with its name.
+    """
     systems = {name: system for name, (system, _) in sources.items()}
 
     def write(name: str, df: DataFrame) -> None:
-        tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp)
+        if run.one_tenant and "tenant_id" in df.columns:
+            df = df.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") == run.one_tenant))
+        tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp, run.one_tenant)
         tagged = tagged.withColumn("run", F.lit(run.run_id))
         partition_overwrite_sink(tagged, run.path("bronze", name), ("tenant_id", "ingestion_date", "run"))
 
     return ingest_all(spark, sources, write)
 
 
+def bronze_schema(dataset: str) -> T.StructType:
+    """What a bronze table without any rows looks like."""
+    fields = list(spec(dataset).schema)
+    if dataset == "sales":
+        fields.append(T.StructField("items", T.ArrayType(spec("sales_items").schema)))
+    return T.StructType(fields + [T.StructField(c, T.StringType()) for c in ("ingestion_date", "run") if c not in spec(dataset).schema.fieldNames()])
+
+
 def bronze_rows(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
     """Everything landed so far for a dataset; silver keeps the latest row per key."""
+    name = "sales" if dataset == "sales_items" else dataset
+    rows = tenant_parquet_scan(spark, run.path("bronze", name), run.tenant_id, bronze_schema(name))
     if dataset == "sales_items":
-        return explode_order_items(tenant_parquet_scan(spark, run.path("bronze", "sales"), run.tenant_id))
-    rows = tenant_parquet_scan(spark, run.path("bronze", dataset), run.tenant_id)
+        return explode_order_items(rows)
     return orders_without_items(rows) if dataset == "sales" else rows
 
 
+def silver_rows(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
+    """The checked rows of a dataset as they are written: good and quarantined side by side."""
+    checked = silver_checked(bronze_rows(spark, run, dataset), dataset, "source_copies")
+    bad = F.size("validation_errors") > 0
+    return checked.withColumns({
+        "quality": F.when(bad, "quarantined").otherwise("valid"),
+        "validation_error": F.when(bad, F.array_join("validation_errors", "; ")),
+        "validation_timestamp": F.when(bad, F.lit(run.stamp)),
+        "processing_date": F.lit(run.business_date),
+        "run": F.lit(run.run_id),
+    }).drop("validation_errors")
+
+
+def _silver_path(run: Run, dataset: str) -> str:
+    """The folder a run owns: all of its run partition, or its tenant's part of that."""
+    own = f"{run.path('silver', dataset)}/run={run.run_id}"
+    return f"{own}/tenant_id={run.one_tenant}" if run.one_tenant else own
+
+
+def silver_written(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
+    """What this run wrote, never what other runs or dates did."""
+    empty = silver_rows(spark, run, dataset).schema
+    rows = tenant_parquet_scan(spark, run.path("silver", dataset), run.tenant_id, empty)
+    return rows.filter(F.col("run") == run.run_id)
+
+
 def silver_table(spark: SparkSession, run: Run, dataset: str, quality: str = "valid") -> DataFrame:
-    """Valid (or quarantined) rows of this run only, never of other processing dates."""
-    rows = tenant_parquet_scan(spark, run.path("silver", dataset), run.tenant_id)
-    rows = rows.filter((F.col("run") == run.run_id) & (F.col("quality") == quality))
-    return rows.drop("run", "quality", *(["validation_error", "validation_timestamp"] if quality == "valid" else []))
+    """Valid (or quarantined) rows of this run."""
+    rows = silver_written(spark, run, dataset).filter(F.col("quality") == quality)
+    return rows.drop("run", "quality", "source_copies", *(["validation_error", "validation_timestamp"] if quality == "valid" else []))
 
 
-def run_silver(spark: SparkSession, run: Run) -> DataFrame:
+def run_silver(spark: SparkSession, run: Run, tenants: DataFrame) -> DataFrame:
     """Check every dataset and write good and quarantined rows side by side, then measure what was written.
 
-    One write per dataset serves both outputs, so the check (with its shuffle) runs once and nothing has to be cached.
+    One write per dataset serves both outputs, so the check (with its shuffle) runs once and nothing has to be cached. The write
+    replaces everything an earlier try of the same run left. Rows know how many source rows they stand for, so measuring reads the
+    written table only.
     """
     def check(name: str) -> None:
-        checked = silver_checked(bronze_rows(spark, run, name), name)
-        bad = F.size("validation_errors") > 0
-        out = checked.withColumns({
-            "quality": F.when(bad, "quarantined").otherwise("valid"),
-            "validation_error": F.when(bad, F.array_join("validation_errors", "; ")),
-            "validation_timestamp": F.when(bad, F.lit(run.stamp)),
-            "processing_date": F.lit(run.business_date),
-            "run": F.lit(run.run_id),
-        }).drop("validation_errors")
-        partition_overwrite_sink(
-            out, run.path("silver", name), ("tenant_id", "processing_date", "run", "quality"), run.rebalance
-        )
+        columns = ("processing_date", "quality") if run.one_tenant else ("tenant_id", "processing_date", "quality")
+        out = silver_rows(spark, run, name).drop("run", *(["tenant_id"] if run.one_tenant else []))
+        out = out.hint("rebalance", *columns) if run.rebalance else out
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(_silver_path(run, name))
 
     side_by_side(spark, check, list(SILVER_DATASETS))
-    return reduce(DataFrame.unionByName, [_measure(spark, run, name) for name in SILVER_DATASETS])
+    return reduce(DataFrame.unionByName, [_measure(spark, run, name, tenants) for name in SILVER_DATASETS])
 
 
-def _measure(spark: SparkSession, run: Run, name: str) -> DataFrame:
-    checked = tenant_parquet_scan(spark, run.path("silver", name), run.tenant_id).filter(F.col("run") == run.run_id)
-    checked = checked.select(
-        "tenant_id", *[c for c, _, _ in FOREIGN_KEYS.get(name, ())],
+def _measure(spark: SparkSession, run: Run, name: str, tenants: DataFrame) -> DataFrame:
+    checked = silver_written(spark, run, name).select(
+        "tenant_id", "source_copies", *[c for c, _, _ in FOREIGN_KEYS.get(name, ())],
         F.when(F.col("quality") == "valid", F.array().cast("array<string>")).otherwise(F.split("validation_error", "; ")).alias("validation_errors"),
     )
     orphans = None
     if name in FOREIGN_KEYS:
         parents = {p: silver_table(spark, run, p) for _, p, _ in FOREIGN_KEYS[name]}
-        good = checked.filter(F.size("validation_errors") == 0)
-        orphans = orphan_counts(good, spec(name), parents)
-    return quality_metrics(bronze_rows(spark, run, name), checked, spec(name), orphans)
+        orphans = orphan_counts(checked.filter(F.size("validation_errors") == 0), spec(name), parents)
+    return quality_metrics(checked, spec(name), orphans, tenants)
 
 
 def run_gold(spark: SparkSession, run: Run, failed_tenants: DataFrame) -> DataFrame:
     """Build both gold tables for the tenants that passed silver and publish those that pass the gold checks.
 
-    Returns the failure counts per tenant. Unchecked rows only ever exist in the run's work folder.
+    Returns the failure counts per tenant, written once. Unchecked rows only ever exist in the run's work folder.
     """
     def silver(name: str) -> DataFrame:
-        return silver_table(spark, run, name).join(failed_tenants, "tenant_id", "left_anti")
-
-    work = f"{run.root}/work/{run.run_id}"
-    sales_by_product(silver("sales_items"), silver("sales")).write.mode("overwrite").parquet(f"{work}/totals")
-    totals = spark.read.parquet(f"{work}/totals")
+        return without_tenants(silver_table(spark, run, name), failed_tenants)
 
+    totals = stored(spark, sales_by_product(silver("sales_items"), silver("sales")), run.work("totals"))
     stamp = (run.pipeline_id, run.run_id, run.stamp)
     pricing = gold_pricing(
         silver("products"), silver("promotion_products"), silver("promotions"), silver("inventory"), totals, run.business_date, *stamp
     )
-    pricing.write.mode("overwrite").parquet(f"{work}/pricing")
-    staged = spark.read.parquet(f"{work}/pricing")
+    staged = stored(spark, pricing, run.work("pricing"))
+    checks = stored(spark, gold_checks(staged, "tenant_id"), run.work("gold_checks"))
+    failed = stored(spark, failing(checks).select("tenant_id"), run.work("gold_failed"))
     sales = gold_product_sales(silver("products"), silver("inventory"), totals, *stamp)
     for name, table in (("pricing", staged), ("product_sales", sales)):
-        dated = publish_gate(table, staged).withColumn("business_date", F.lit(run.business_date))
+        dated = publish_gate(table, failed).withColumn("business_date", F.lit(run.business_date))
         partition_overwrite_sink(dated, run.path("gold", name), ("tenant_id", "business_date"), run.rebalance)
-    return gold_checks(staged, "tenant_id")
+    return checks
+
+
+def stored(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """The same rows read back from a written table, whose size Spark then knows."""
+    full_overwrite_sink(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _tried(stage: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
+    """The result of a stage, or the first line of what stopped it."""
+    try:
+        return stage(), None
+    except Exception as error:  # noqa: BLE001 - becomes a FAILED status record
+        return None, str(error).split("\n")[0]
+
+
+def _tenants(spark: SparkSession, run: Run) -> DataFrame:
+    """Every tenant with bronze data of any dataset; the tenant of a one-tenant run in any case."""
+    names = [lake_table(spark, run.path("bronze", n), bronze_schema(n)).select("tenant_id") for n in BRONZE_DATASETS]
+    known = reduce(DataFrame.unionByName, names)
+    if run.one_tenant:
+        known = spark.range(1).select(F.lit(run.one_tenant).alias("tenant_id"))
+    return stored(spark, known.filter(F.col("tenant_id").isNotNull()).distinct(), run.work("tenants"))
 
 
 def run_all(spark: SparkSession, run: Run, sources: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
-    """The whole run; returns stage statuses and the overall status per tenant and writes them, with all metrics, as logs."""
-    ingested = run_bronze(spark, run, sources)
-    # the written log is what later steps read, so nothing is computed twice
+    """The whole run; returns stage statuses and the overall status per tenant and writes them, with all metrics, as logs.
+
+    A stage that fails becomes FAILED records with its reason, and the status is written all the same. Gold is SKIPPED for tenants that
+    silver stopped. Beside the quality and status logs the run writes its own telemetry: an event per stage and tenant, and every
+    count as a metric row.
+    """
     logs = f"{run.root}/logs"
-    tenants = tenant_parquet_scan(spark, run.path("bronze", "products"), run.tenant_id).select("tenant_id").distinct()
-    tenants.write.mode("overwrite").parquet(f"{run.root}/work/{run.run_id}/tenants")
-    tenants = spark.read.parquet(f"{run.root}/work/{run.run_id}/tenants")
-    tagged = {"run_id": F.lit(run.run_id), "pipeline_id": F.lit(run.pipeline_id)}
-
-    bronze_ok = ingested.agg(F.bool_and(F.col("status") == "SUCCESS").alias("ok")).first()["ok"]
-    statuses = [tenants.withColumns({"stage": F.lit("bronze"), "status": F.lit("SUCCESS" if bronze_ok else "FAILED")})]
-    if bronze_ok:
-        log_record_sink(run_silver(spark, run).withColumns(tagged), logs, "quality")
-        metrics = spark.read.json(f"{logs}/quality").filter(F.col("run_id") == run.run_id).drop("run_id", "pipeline_id")
+    ingested = stored(spark, run_bronze(spark, run, sources), run.work("ingested"))
+    tenants = _tenants(spark, run)
+    landed = ingested.agg(F.collect_list(F.struct("dataset", "status", F.col("error_message").alias("reason"))).alias("d"))  # one per source
+    statuses = [tenants.crossJoin(landed).select("tenant_id", F.lit("bronze").alias("stage"), F.inline("d"))]
+
+    def all_of(stage: str, status: str, reason: str | None) -> DataFrame:
+        return tenants.select("tenant_id", F.lit(stage).alias("stage"), F.lit("all").alias("dataset"), F.lit(status).alias("status"),
+                              F.lit(reason).cast("string").alias("reason"))
+
+    bronze_failed = not ingested.filter("status <> 'SUCCESS'").isEmpty()
+    metrics, silver_error = (None, None) if bronze_failed else _tried(
+        lambda: stored(spark, run_silver(spark, run, tenants), run.work("quality")))
+    if bronze_failed:
+        statuses += [all_of("silver", "SKIPPED", "bronze failed"), all_of("gold", "SKIPPED", "bronze failed")]
+    elif metrics is None:
+        statuses += [all_of("silver", "FAILED", silver_error), all_of("gold", "SKIPPED", "silver failed")]
+    else:
+        log_record_sink(metrics.withColumns({"run_id": F.lit(run.run_id), "pipeline_id": F.lit(run.pipeline_id)}), logs, "quality")
         gate = invalid_rate_gate(metrics, run.invalid_rate_limit)
-        statuses.append(gate.select("tenant_id", F.lit("silver").alias("stage"), "status"))
-        failed = gate.filter("breached").select("tenant_id").distinct()
-        checks = run_gold(spark, run, failed)
-        gold_status = failing(checks).select("tenant_id", F.lit("FAILED").alias("_gold"))
-        gold = tenants.join(failed, "tenant_id", "left_anti").join(gold_status, "tenant_id", "left")
-        statuses.append(gold.select("tenant_id", F.lit("gold").alias("stage"), F.coalesce("_gold", F.lit("SUCCESS")).alias("status")))
-
-    records = reduce(DataFrame.unionByName, statuses).withColumn("run_id", F.lit(run.run_id))
-    status = stage_rollup(records).withColumns({"pipeline_id": F.lit(run.pipeline_id), "written_at": F.lit(run.stamp)})
+        statuses.append(gate.select("tenant_id", F.lit("silver").alias("stage"), "dataset", "status", quality_failures(gate).alias("reason")))
+        failed = stored(spark, gate.filter("breached").select("tenant_id").distinct(), run.work("silver_failed"))
+        checks, gold_error = _tried(lambda: run_gold(spark, run, failed))
+        passed = without_tenants(tenants, failed)
+        skipped = failed.select("tenant_id", F.lit("SKIPPED").alias("status"), F.lit("silver failed").alias("reason"))
+        if checks is None:
+            judged = passed.select("tenant_id", F.lit("FAILED").alias("status"), F.lit(gold_error).alias("reason"))
+        else:
+            reasons = failing(checks).select("tenant_id", F.array_join(gold_failures(), "; ").alias("reason"))
+            judged = passed.join(reasons, "tenant_id", "left").select(
+                "tenant_id", F.when(F.col("reason").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), "reason")
+        statuses.append(judged.unionByName(skipped).select("tenant_id", F.lit("gold").alias("stage"), F.lit("all").alias("dataset"), "status", "reason"))
+
+    records = stored(spark, reduce(DataFrame.unionByName, statuses).withColumn("run_id", F.lit(run.run_id)), run.work("statuses"))
+    reasons = records.filter("reason IS NOT NULL AND status = 'FAILED'").groupBy("run_id", "tenant_id").agg(*[
+        F.sort_array(F.collect_set(F.when(F.col("stage") == s, F.col("reason")))).alias(f"{s}_failures") for s in ("bronze", "silver", "gold")
+    ])  # a few per dataset
+    empty = F.array().cast("array<string>")
+    status = stage_rollup(records).join(reasons, ["run_id", "tenant_id"], "left").withColumns({
+        **{f"{s}_failures": F.coalesce(f"{s}_failures", empty) for s in ("bronze", "silver", "gold")},
+        "pipeline_id": F.lit(run.pipeline_id), "written_at": F.lit(run.stamp)})
     log_record_sink(status, logs, "status")
-    return spark.read.json(f"{logs}/status").filter(F.col("run_id") == run.run_id)
+    _write_telemetry(run, records, metrics, status)
+    # the tenants' columns are declared, so text stays text
+    return spark.read.schema(status.schema).json(f"{logs}/status").filter(F.col("run_id") == run.run_id)
+
+
+MEASURED = ("input_record_count", "valid_record_count", "invalid_record_count", "duplicate_record_count")
+
+
+def _write_telemetry(run: Run, records: DataFrame, metrics: DataFrame | None, status: DataFrame) -> None:
+    """Events (stage results, end of the run) and metrics (all counts) of this run, as two tables that the telemetry operators read."""
+    tags = {"ts": F.lit(run.stamp).cast("timestamp"), "pipeline_id": F.lit(run.pipeline_id), "run_id": F.lit(run.run_id)}
+    stages = records.select(
+        "tenant_id", "stage", "dataset", "status", F.coalesce("reason", F.lit("")).alias("message"),
+        F.concat(F.upper("stage"), F.when(F.col("status") == "FAILED", "_FAILURE").when(F.col("status") == "SKIPPED", "_SKIPPED").otherwise("_END")).alias("event_type"))
+    end = status.select(
+        "tenant_id", F.lit("pipeline").alias("stage"), F.lit("all").alias("dataset"), F.col("overall_status").alias("status"), F.lit("").alias("message"),
+        F.when(F.col("overall_status") == "SUCCESS", "PIPELINE_END").otherwise("PIPELINE_FAILURE").alias("event_type"))
+    events = stages.unionByName(end).withColumns(tags)
+    events = events.withColumn("event_id", F.xxhash64("run_id", "tenant_id", "stage", "dataset"))
+    partition_overwrite_sink(events, f"{run.root}/telemetry/events", ("run_id", "tenant_id"))
+    if metrics is not None:
+        rows = metrics_from_logs(metrics.withColumn("stage", F.lit("silver")), ["tenant_id", "dataset", "stage"], list(MEASURED)).withColumns(tags)
+        rows = rows.withColumn("name", F.concat(F.lit("silver_"), F.replace(F.col("name"), F.lit("_record_count"), F.lit("_records"))))
+        partition_overwrite_sink(rows, f"{run.root}/telemetry/metrics", ("run_id", "tenant_id"))

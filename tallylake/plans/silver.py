@@ -14,16 +14,16 @@ from tallylake.operators.quality import valid_only, validation_errors
 from tallylake.specs import spec
 
 
-def silver_typed(raw: DataFrame, dataset: str) -> DataFrame:
-    """Typed, normalised and de-duplicated rows."""
+def silver_typed(raw: DataFrame, dataset: str, copies: str | None = None) -> DataFrame:
+    """Typed, normalised and de-duplicated rows; ``copies`` names a column for the number of source rows each stands for."""
     rules = spec(dataset)
     typed = cast_to_schema(raw, rules, mark_lost=True)
-    return dedup_latest(normalize_categoricals(normalize_timestamps(typed, rules), rules), rules)
+    return dedup_latest(normalize_categoricals(normalize_timestamps(typed, rules), rules), rules, copies)
 
 
-def silver_checked(raw: DataFrame, dataset: str) -> DataFrame:
+def silver_checked(raw: DataFrame, dataset: str, copies: str | None = None) -> DataFrame:
     """The same rows with their ``validation_errors``."""
-    return validation_errors(silver_typed(raw, dataset), spec(dataset))
+    return validation_errors(silver_typed(raw, dataset, copies), spec(dataset))
 
 
 def silver_valid(raw: DataFrame, dataset: str) -> DataFrame:

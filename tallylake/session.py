@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "tallylake", **conf: str
         # pages far down a list are sorted instead of kept in memory as a top-k
         "spark.sql.execution.topKSortFallbackThreshold": "100000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -43,7 +44,7 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="tallylake-")
         context.setCheckpointDir(root)

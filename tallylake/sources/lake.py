@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,12 +90,28 @@ def bronze_metadata(
     return df.withColumns(columns)
 
 
-def tenant_parquet_scan(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
+#: Partition columns that are text, whatever their values look like.
+TEXT_PARTITIONS = ("tenant_id", "ingestion_date", "processing_date", "business_date", "run", "run_id", "quality")
+
+
+def lake_table(spark: SparkSession, path: str, empty: T.StructType | None = None) -> DataFrame:
+    """A lake table by a declared schema, so that partition values like ``007`` stay text in any session.
+
+    ``empty`` is the schema of a table that may not have been written yet or holds no files: it then has no rows.
+    """
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as error:
+        if empty is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], empty)
+    declared = T.StructType([T.StructField(f.name, T.StringType()) if f.name in TEXT_PARTITIONS else f for f in found])
+    return spark.read.schema(declared).parquet(path)
+
+
+def tenant_parquet_scan(spark: SparkSession, path: str, tenant_id: str | None = None, empty: T.StructType | None = None) -> DataFrame:
     """A lake table, of one tenant if given; the tenant is a partition column, so other tenants' files are not opened."""
-    rows = spark.read.parquet(path)
-    # tenant and date partitions are text, whatever their values look like
-    partitions = [c for c in ("tenant_id", "ingestion_date", "processing_date", "business_date", "run_id") if c in rows.columns]
-    rows = rows.withColumns({c: F.col(c).cast("string") for c in partitions if dict(rows.dtypes)[c] != "string"})
+    rows = lake_table(spark, path, empty)
     return rows if tenant_id in (None, ALL_TENANTS) else rows.filter(F.col("tenant_id") == tenant_id)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallylake.operators import retail
@@ -131,4 +132,72 @@ def test_breached_tenants_publish_no_gold(spark, sf, tmp_path):
     root = str(tmp_path / "strict")
     run = medallion.Run(root, "p", "20240125_060000_000003", "2024-01-25T06:00:00Z", BUSINESS_DATE, invalid_rate_limit=0.0001)
     status = medallion.run_all(spark, run, sources_of(spark, sf)).collect()
-    assert {(r.bronze_status, r.silver_status, r.gold_status, r.overall_status) for r in status} == {("SUCCESS", "FAILED", "FAILED", "FAILED")}
+    assert {(r.bronze_status, r.silver_status, r.gold_status, r.overall_status) for r in status} == {("SUCCESS", "FAILED", "SKIPPED", "FAILED")}
+    assert all(any("invalid rate" in reason for reason in r.silver_failures) and not r.gold_failures for r in status)
+
+
+def make(root, number, **more):
+    return medallion.Run(root, "p", f"20240125_060000_{number:06d}", "2024-01-25T06:00:00Z", BUSINESS_DATE, invalid_rate_limit=0.9, **more)
+
+
+def numbered_tenants(spark, sf):
+    """The sources with tenants 007 and 010, whose names look like numbers."""
+    name = F.when(F.col("tenant_id") == "tenant_001", "007").when(F.col("tenant_id") == "tenant_002", "010")
+    return {n: (s, lambda read=read: read().withColumn("tenant_id", name).where("tenant_id IS NOT NULL")) for n, (s, read) in sources_of(spark, sf).items()}
+
+
+def test_tenants_that_look_like_numbers(spark, sf, tmp_path):
+    run = make(str(tmp_path / "lake"), 11)
+    status = medallion.run_all(spark, run, numbered_tenants(spark, sf)).collect()
+    assert {(r.tenant_id, r.overall_status) for r in status} == {("007", "SUCCESS"), ("010", "SUCCESS")}
+    assert medallion.tenant_parquet_scan(spark, run.path("gold", "pricing"), "007").count() > 0
+    events = lake.lake_table(spark, f"{run.root}/telemetry/events")
+    ends = {(r.tenant_id, r.status) for r in events.where("event_type = 'PIPELINE_END'").collect()}
+    assert ends == {("007", "SUCCESS"), ("010", "SUCCESS")}
+    metrics = lake.lake_table(spark, f"{run.root}/telemetry/metrics").where("name = 'silver_input_records' AND tenant_id = '007'")
+    assert metrics.count() == len(medallion.SILVER_DATASETS)
+
+
+def test_a_run_for_one_tenant_lands_that_tenant_only(spark, sf, tmp_path):
+    run = make(str(tmp_path / "lake"), 12, tenant_id="tenant_001")
+    status = medallion.run_all(spark, run, sources_of(spark, sf)).collect()
+    assert [(r.tenant_id, r.overall_status) for r in status] == [("tenant_001", "SUCCESS")]
+    for name in medallion.BRONZE_DATASETS:
+        assert {r.tenant_id for r in lake.lake_table(spark, run.path("bronze", name)).select("tenant_id").distinct().collect()} == {"tenant_001"}
+
+
+@pytest.mark.parametrize("empty", ["sales", "promotions"])
+def test_an_empty_dataset_is_no_failure(spark, sf, tmp_path, empty):
+    run = make(str(tmp_path / "lake"), 13)
+    sources = sources_of(spark, sf)
+    system, read = sources[empty]
+    sources[empty] = (system, lambda: read().limit(0))
+    status = medallion.run_all(spark, run, sources).collect()
+    assert {(r.tenant_id, r.bronze_status, r.silver_status, r.gold_status) for r in status} == {(f"tenant_00{n}", *["SUCCESS"] * 3) for n in (1, 2, 3)}
+    zero = [r for r in spark.read.json(f"{run.root}/logs/quality").collect() if r.dataset == empty]
+    assert len(zero) == 3 and all(r.input_record_count == r.valid_record_count == 0 for r in zero)
+
+
+def test_a_failing_source_and_a_failing_stage_are_statuses(spark, sf, tmp_path, monkeypatch):
+    sources = sources_of(spark, sf)
+    run = make(str(tmp_path / "lake"), 14)
+    broken = {**sources, "stores": ("s", lambda: spark.read.parquet(str(tmp_path / "nowhere")))}
+    for r in medallion.run_all(spark, run, broken).collect():
+        assert (r.bronze_status, r.silver_status, r.gold_status, r.overall_status) == ("FAILED", "SKIPPED", "SKIPPED", "FAILED") and r.bronze_failures
+    monkeypatch.setattr(medallion, "run_gold", lambda *_: 1 / 0)
+    again = make(str(tmp_path / "lake"), 15)
+    for r in medallion.run_all(spark, again, sources).collect():
+        assert (r.silver_status, r.gold_status, r.overall_status) == ("SUCCESS", "FAILED", "FAILED") and r.gold_failures == ["division by zero"]
+
+
+def test_a_retried_run_leaves_nothing_of_the_first_try(spark, sf, tmp_path):
+    run = make(str(tmp_path / "lake"), 16)
+    sources = sources_of(spark, sf)
+    system, read = sources["stores"]
+    sources["stores"] = (system, lambda: read().withColumn("store_id", F.lit(None).cast("string")))
+    medallion.run_all(spark, run, sources)
+    assert medallion.silver_table(spark, run, "stores", "quarantined").count() > 0
+    medallion.run_all(spark, run, {**sources, "stores": (system, read)})
+    assert medallion.silver_table(spark, run, "stores", "quarantined").count() == 0
+    measured = spark.read.parquet(run.work("quality")).where("dataset = 'stores'").collect()
+    assert measured and all(r.duplicate_record_count >= 0 and r.invalid_record_count == 0 for r in measured)
