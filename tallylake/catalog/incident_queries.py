@@ -84,7 +84,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 def retail_tenants(spark: SparkSession, d: str) -> DataFrame:
     tenants = views.customers(spark, d).select("tenant_id").distinct()
-    return tenants.filter("tenant_id <> 'tenant_002'").select(
+    return tenants.select(
         F.col("tenant_id").alias("id"), F.concat(F.lit("Retailer "), F.substring("tenant_id", 8, 3)).alias("label")
     )
 
@@ -94,7 +94,7 @@ _LABEL = "list_aggregate([upper(w[1]) || lower(w[2:]) FOR w IN string_split(repl
 
 @query("catalog_merge", "J14", f"""
     SELECT id, coalesce(r.label, i.label) AS label FROM (SELECT DISTINCT tenant_id AS id, {_LABEL.format('tenant_id')} AS label FROM v_incidents) i
-    FULL JOIN (SELECT DISTINCT tenant_id AS id, 'Retailer ' || substr(tenant_id, 8, 3) AS label FROM v_customers WHERE tenant_id <> 'tenant_002') r USING (id)""")
+    FULL JOIN (SELECT DISTINCT tenant_id AS id, 'Retailer ' || substr(tenant_id, 8, 3) AS label FROM v_customers) r USING (id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return inc.catalog_merge(inc.distinct_scopes(views.incidents(spark, d), "tenant_id"), retail_tenants(spark, d))
 

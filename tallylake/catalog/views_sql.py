@@ -111,7 +111,7 @@ FROM (SELECT *, CASE WHEN i % 19 = 4 THEN d2 ELSE d1 END AS start_date, CASE WHE
 
 VIEWS["v_promotion_links"] = f"""
 SELECT 'promo_' || l_suppkey AS promotion_id, {tenant_of("l_orderkey")} AS tenant_id, 'prod_' || l_partkey AS product_id
-FROM lineitem WHERE l_discount > 0.085"""
+FROM lineitem"""
 
 VIEWS["v_promotion_products"] = "SELECT DISTINCT * FROM v_promotion_links"
 

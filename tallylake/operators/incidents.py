@@ -161,7 +161,7 @@ def remediation_allowlist(actions: DataFrame) -> DataFrame:
 def incident_owner_check(requests: DataFrame, incidents: DataFrame) -> DataFrame:
     """Each requested (incident, tenant, platform) with found / not found."""
     keys = ["incident_id", "tenant_id", "platform_id"]
-    owned = incidents.select(*keys).withColumn("_hit", F.lit(True))
+    owned = incidents.select(*keys).distinct().withColumn("_hit", F.lit(True))  # a repeated incident must not repeat requests
     return requests.join(owned, keys, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

@@ -28,10 +28,8 @@ def test_incremental_filter_reaches_the_scan(spark, sf):
     assert "GreaterThanOrEqual(o_orderdate,1999-06-01T00:00" in text
 
 
-def test_link_filter_and_columns_reach_the_scan(spark, sf):
-    text = plan(views.promotion_links(spark, sf))
-    assert "GreaterThan(l_discount,0.085)" in text
-    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_discount:double>" in text
+def test_link_columns_reach_the_scan(spark, sf):
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint>" in plan(views.promotion_links(spark, sf))
 
 
 @pytest.mark.parametrize("name", ["best_promotion", "event_once", "run_drilldown", "latest_diagnosis", "log_tail"])
