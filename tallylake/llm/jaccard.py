@@ -4,7 +4,8 @@ Documents link when 100 * |A and B| >= 75 * |A or B| over their sets of five-wor
 sketch of many blocks; the Hamming distance of two sketches is at most the sets' symmetric difference, so by the pigeonhole
 principle linked sets agree in one of any (largest difference + 1) filled blocks: those are join keys (``shingles.py``). How fine the
 blocks are is settled per band from all sets, so that every set fills enough of them. Blocks of shingles that many documents share
-come last. Candidates are verified on the full sets.
+come last. A candidate pair is dropped if its sizes or the
+Hamming distance of whole sketches rule a link out; the others are verified on the full sets, made from the texts again.
 
 Copies and skew: equal sets are one class, linked without a comparison. The rows of one key are read as a sorted run and give pairs with the
 run's first document only, so a key that n documents share costs n rows, not n squared. A link within a run whose ends both
@@ -28,23 +29,23 @@ from pyspark.sql import functions as F
 
 from tallylake.llm.common import cut
 from tallylake.llm.components import components
-from tallylake.llm.shingles import Bands, block_keys, least_level, linked, mix, shingle_set
+from tallylake.llm.shingles import Bands, block_keys, least_level, linked, may_link, mix, shingle_set, sketch
 from tallylake.session import shared_dir
 
 MOST_FREQUENT = 1 << 18
 COUNTED_AT_ONCE, LEAST_COUNT = 4_000_000, 8
 STARS = 3
-MEASURES = "kind int, doc_id long, n_shingles long, s1 long, s2 long, scheme int, level int"
+MEASURES = "kind int, doc_id long, n_shingles long, s1 long, s2 long, scheme int, level int, sketch array<long>"
 
 
 def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Kind 0: a document's set size and signature. Kind 1: level needed by a scheme. Kind 2: a frequent shingle and its count."""
+    """Kind 0: a document's set size, signature and sketch. Kind 1: level needed by a scheme. Kind 2: a frequent shingle and its count."""
     held: list[np.ndarray] = []
     count = 0
     levels: dict[int, int] = {}
 
-    def frame(kind, doc_id, n, s1=0, s2=0, scheme=0, level=0):
-        out = pd.DataFrame({"kind": kind, "doc_id": doc_id, "n_shingles": n, "s1": s1, "s2": s2, "scheme": scheme, "level": level})
+    def frame(kind, doc_id, n, s1=0, s2=0, scheme=0, level=0, sketches=None):
+        out = pd.DataFrame({"kind": kind, "doc_id": doc_id, "n_shingles": n, "s1": s1, "s2": s2, "scheme": scheme, "level": level, "sketch": sketches})
         return out.astype({"doc_id": "Int64"})
 
     def frequent() -> pd.DataFrame:
@@ -57,7 +58,8 @@ def _measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             first = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
             second = np.array([mix(s ^ np.uint64(1)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-        yield frame(0, batch["doc_id"].to_numpy(), np.array([len(s) for s in sets], dtype=np.int64), first, second)
+        yield frame(0, batch["doc_id"].to_numpy(), np.array([len(s) for s in sets], dtype=np.int64), first, second,
+                    sketches=[sketch(s).view(np.int64) for s in sets])
         for s in sets:
             for scheme, difference in Bands.of(len(s)) if len(s) else ():
                 if levels.get(scheme, 0) < Bands.LEVELS - 1:
@@ -156,23 +158,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keys = _keys(texts.where("doc_id is not null"), levels, np.sort(often))
     runs = cut(keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_runs, "key long, leader long, doc_id long").distinct())
     members = _by_class(runs, of_class)
-    first_pairs = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
-    first_pairs = cut(_fitting(first_pairs, of_class))
-    held = _texts_of(first_pairs, members, texts, spark)
-    links = cut(_verified(first_pairs, held).union(_same_document(of_class)))
+    sketches = cut(of_class.where("doc_id = first").join(
+        measured.where("kind = 0").select("doc_id", "n_shingles", "sketch").distinct(), ["doc_id", "n_shingles"]).select("doc_id", "n_shingles", "sketch"))
+    pairs = _possible(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sketches)
+    held = _Texts(texts)
+    links = cut(held.verified(pairs).union(_same_document(of_class)))
     large = members.where("key != 0")
     large = cut(large.select("key", "doc_id").union(large.select("key", F.col("leader").alias("doc_id"))).distinct())
-    done = first_pairs
+    done = pairs
     for turn in range(STARS + 1):
-        labels = components(links)
-        open_runs = cut(_open_runs(large, labels))
+        open_runs = cut(_open_runs(large, components(links)))
         if open_runs.isEmpty():
             break
-        pairs = cut(_fitting(_star(open_runs) if turn < STARS else _across(open_runs), of_class).join(done, ["a", "b"], "left_anti"))
-        done = done.union(pairs)
-        links = cut(links.union(_verified(pairs, held)))
-    labels = components(links)
-    return _with_components(sizes, of_class, labels)
+        pairs = _possible(_star(open_runs) if turn < STARS else _across(open_runs, sketches), sketches, done)
+        if not pairs.isEmpty():
+            done = done.union(pairs)
+            links = cut(links.union(held.verified(pairs)))
+    return _with_components(sizes, of_class, components(links))
 
 
 def _same_document(of_class: DataFrame) -> DataFrame:
@@ -189,23 +191,46 @@ def _by_class(runs: DataFrame, of_class: DataFrame) -> DataFrame:
                .where("leader != doc_id").distinct())
 
 
-def _fitting(pairs: DataFrame, of_class: DataFrame) -> DataFrame:
-    """Pairs in a fixed order whose sizes allow a link."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    size = of_class.groupBy("doc_id").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    a = size.select(F.col("doc_id").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    b = size.select(F.col("doc_id").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
-    return ordered.join(a, "a").join(b, "b").where("4 * ma >= 3 * lb and 4 * mb >= 3 * la").select("a", "b")
-
+def _possible(pairs: DataFrame, sketches: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Pairs in a fixed order, not ``done`` yet, that sizes and sketches don't rule out."""
+    def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in frames:
+            keep = [
+                may_link(na, np.asarray(sa).view(np.uint64), nb, np.asarray(sb).view(np.uint64))
+                for na, sa, nb, sb in zip(batch["na"], batch["sa"], batch["nb"], batch["sb"], strict=True)]
+            yield batch.loc[keep, ["a", "b"]]
 
-def _texts_of(pairs: DataFrame, members: DataFrame, texts: DataFrame, spark) -> DataFrame:
-    """Texts of every document that any round may compare, stored once."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    large = members.where("key != 0")
-    ids = ids.union(large.select("doc_id")).union(large.select(F.col("leader").alias("doc_id"))).distinct()
-    path = shared_dir(spark, "jaccard-texts")
-    texts.join(ids, "doc_id", "left_semi").write.parquet(path)
-    return spark.read.schema(texts.schema).parquet(path)
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    if done is not None:
+        ordered = ordered.join(done, ["a", "b"], "left_anti")
+    first = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    second = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    fitting = ordered.join(first, "a").join(second, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
+    return cut(fitting.mapInPandas(possible, "a long, b long").distinct())
+
+
+class _Texts:
+    """Texts of the documents that are compared, stored once each as they are first needed."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts, self.spark = texts, texts.sparkSession
+        self.held: DataFrame | None = None
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        if self.held is not None:
+            ids = ids.join(self.held.select("doc_id"), "doc_id", "left_anti")
+        place = shared_dir(self.spark, "jaccard-ids")
+        ids.write.parquet(place)  # a file, so that Spark knows its size when it picks the join
+        new = self.spark.read.schema("doc_id long").parquet(place)
+        if not new.isEmpty():
+            place = shared_dir(self.spark, "jaccard-texts")
+            self.texts.join(new, "doc_id", "left_semi").write.parquet(place)
+            more = self.spark.read.schema(self.texts.schema).parquet(place)
+            self.held = more if self.held is None else self.held.union(more)
+        if self.held is None:
+            return pairs
+        return _verified(pairs, self.held)
 
 
 def _open_runs(large: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,11 +247,23 @@ def _star(open_runs: DataFrame) -> DataFrame:
     return open_runs.join(centres, "key").where("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _across(open_runs: DataFrame) -> DataFrame:
-    """All pairs of a run from different components."""
-    other = open_runs.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_component"))
-    return open_runs.join(other, "key").where((F.col("doc_id") < F.col("b")) & (F.col("component") != F.col("_component"))).select(
-        F.col("doc_id").alias("a"), "b")
+def _across(open_runs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of a run from different components that sizes and sketches don't rule out; others leave the join at once."""
+    half = F.transform(F.sequence(F.lit(0), F.floor(F.size("sketch") / 2).cast("int") - 1), lambda i: F.get("sketch", i).bitwiseXOR(F.get("sketch", i + F.floor(F.size("sketch") / 2).cast("int"))))
+    folded = sketches.withColumn("half", F.when(F.size("sketch") > 1, half).otherwise(F.col("sketch")))
+    rows = open_runs.select("key", "doc_id", "component").join(folded, "doc_id")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "component", "n_shingles", "sketch", "half")])
+
+    def apart(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
+
+    words, words_2 = F.size("sketch"), F.size("sketch_2")
+    distance = F.when(words == words_2, apart("sketch", "sketch_2")).when(words > words_2, apart("half", "sketch_2")).otherwise(apart("sketch", "half_2"))
+    fits = (4 * F.col("n_shingles") >= 3 * F.col("n_shingles_2")) & (4 * F.col("n_shingles_2") >= 3 * F.col("n_shingles"))
+    fits = (F.col("doc_id") < F.col("doc_id_2")) & (F.col("component") != F.col("component_2")) & fits
+    near = F.when(fits, 7 * distance <= F.col("n_shingles") + F.col("n_shingles_2")).otherwise(F.lit(False))
+    keyed = rows.withColumnRenamed("key", "_key")
+    return keyed.join(other, (F.col("_key") == F.col("key")) & near).select(F.col("doc_id").alias("a"), F.col("doc_id_2").alias("b"))
 
 
 def _with_components(sizes: DataFrame, of_class: DataFrame, labels: DataFrame) -> DataFrame:

@@ -85,19 +85,32 @@ def block_keys(shingles: np.ndarray, scheme: int, level: int, difference: int, f
     return mix(value ^ mix(place[starts[:difference + 1]] + salt))
 
 
-def sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """Packed parity sketch: every shingle toggles one of ``bits`` bits."""
-    return np.packbits(np.bincount((shingles >> np.uint64(20)) % np.uint64(bits), minlength=bits).astype(np.int64) & 1)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch in 64-bit words: every shingle toggles one bit; as many bits as the power of two above twice the shingles, at
+    least a word."""
+    bits = max(64, 1 << (2 * len(shingles)).bit_length())
+    return np.packbits(np.bincount((shingles >> np.uint64(20)) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, after the cheap bounds: sizes, then the Hamming distance of parity sketches."""
-    small, large = sorted((len(a), len(b)))
+def fold(words: np.ndarray) -> np.ndarray:
+    """The sketch of half as many bits (itself if it is one word)."""
+    return words[:len(words) // 2] ^ words[len(words) // 2:] if len(words) > 1 else words
+
+
+def may_link(size_a: int, sketch_a: np.ndarray, size_b: int, sketch_b: np.ndarray) -> bool:
+    """False only if the sets can't link: by their sizes, or because the Hamming distance of the sketches, which is at most the
+    symmetric difference, is too large. The longer sketch is folded to the shorter one's bits."""
+    small, large = sorted((size_a, size_b))
     if not small or 4 * small < 3 * large:
         return False
-    bits = 1 << (2 * large).bit_length()
-    apart = int(np.unpackbits(sketch(a, bits) ^ sketch(b, bits)).sum())
-    if 7 * apart > small + large:
-        return False
+    while len(sketch_a) > len(sketch_b):
+        sketch_a = fold(sketch_a)
+    while len(sketch_b) > len(sketch_a):
+        sketch_b = fold(sketch_b)
+    return 7 * int(np.bitwise_count(sketch_a ^ sketch_b).sum()) <= size_a + size_b
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (small + large - both)
+    return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
