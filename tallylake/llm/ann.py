@@ -32,17 +32,20 @@ from pyspark.sql import functions as F
 from tallylake.llm.common import cut
 
 
+QUERIES_AT_ONCE = 64  # bounds the estimates held at a time
+
+
 @dataclass
 class Settings:
     top: int = 20
     sample: int = 20000
     most_centroids: int = 1024
-    centroid_rows: int = 1024
+    centroid_rows: int = 8192
     sample_queries: int = 400
     sample_recall: float = 0.98
-    block_rows: int = 4096
+    block_rows: int = 16384
     block_queries: int = 1024
-    sigmas: float = 3.0
+    sigmas: float = 2.5
     seed: int = 11
 
 
@@ -102,13 +105,17 @@ class CodedBlock:
 
     def search(self, queries: np.ndarray, top: int, sigmas: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query: the vectors that may be among the best ``top``, and their exact inner products."""
-        estimate, width = self.estimate(queries, sigmas)
         found = []
-        for query, middle, half in zip(queries, estimate, width, strict=True):
-            low = middle - half
-            bar = np.partition(low, len(low) - top)[len(low) - top] if len(low) > top else -np.inf
-            picked = np.flatnonzero(middle + half >= bar)
-            found.append((picked, (self.vectors[picked] * query).sum(axis=1)))
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            part = queries[at:at + QUERIES_AT_ONCE]
+            for query, middle, half in zip(part, *self.estimate(part, sigmas), strict=True):
+                low = middle - half
+                bar = np.partition(low, len(low) - top)[len(low) - top] if len(low) > top else -np.inf
+                picked = np.flatnonzero(middle + half >= bar)
+                products = self.vectors[picked] @ query
+                if len(picked) > top:  # all that can be among the best, ties included
+                    picked = picked[products >= np.partition(products, len(picked) - top)[len(picked) - top] - 1e-9 * np.linalg.norm(query)]
+                found.append((picked, (self.vectors[picked] * query).sum(axis=1)))
         return found
 
 
