@@ -43,7 +43,9 @@ class Vocabulary:
             else:
                 pieces[piece] = i
                 rank[i] = min(max(-model.get_score(i), 0.0), float(self.size))
-        self.raw = raw
+        self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_length = np.array([len(piece) for piece in raw], dtype=np.int64)
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
         weight = -np.log(rank + 10.0)
         self.logp = ((weight - np.log(np.exp(weight).sum())) / temperature).astype(np.float64)
         self.byte_logp = float(self.logp[self.byte_id[0]])
@@ -96,7 +98,10 @@ class Vocabulary:
         return CHUNK.findall(BLANK + text.replace(BLANK, HELD).replace(" ", BLANK)) if text else []
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        length = self.raw_length[ids]
+        end = np.cumsum(length)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.raw_start[ids] - end + length, length)
+        return self.raw[at].tobytes().decode("utf-8", "replace")[1:]
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """Ids with characters outside the vocabulary (size + code point) as their bytes' ids."""
@@ -190,7 +195,7 @@ class Lattices:
         live = ~self.is_end[nodes]
         which, nodes = which[live], nodes[live]
         while len(which):
-            slots = (self.cumulative[nodes] <= draw(which, nodes)[:, None]).sum(axis=1)
+            slots = (self.cumulative[nodes] > draw(which, nodes).astype(np.float32)[:, None]).argmax(axis=1)
             taken.append((which, nodes, slots))
             count[which] += 1
             nodes = nodes + slots + 1

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallylake.llm.lattice import Lattices, Vocabulary, vocabulary
 
-CHARS_AT_ONCE = 2_500_000
+CHARS_AT_ONCE = 5_000_000
 LEAST_MASS = -80.0
 
 
