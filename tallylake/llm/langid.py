@@ -120,7 +120,7 @@ def as_windows(data: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def training_windows(docs: DataFrame, per_language: int = 1000, most_languages: int = 64, least_documents: int = 20) -> DataFrame:
+def training_windows(docs: DataFrame, per_language: int = 1000, most_languages: int = 64, least_documents: int = 5) -> DataFrame:
     """(lang, piece): two stretches of each sampled document of the training folds."""
     labelled = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
