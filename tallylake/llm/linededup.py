@@ -43,6 +43,7 @@ def shortest_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nda
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row per position: rows repeated in full are reduced to one here, as lines, which are smaller to shuffle than texts."""
     def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -59,7 +60,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 yield pd.DataFrame(dict(zip(("doc_id", "th", "n", "h1", "h2", "len_a", "len_b"), columns, strict=True)))
 
     slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return slim.mapInPandas(lines, LINES)
+    return slim.mapInPandas(lines, LINES).dropDuplicates(list(RUN))
 
 
 def _ranked(keys: DataFrame, *order: str) -> DataFrame:

@@ -58,3 +58,15 @@ def test_defined_cases(spark):
     assert sorted(got, key=str) == sorted(
         [(None, long, 0), (1, None, 0), (2, "", 0), (3, long, 0), (4, "", 3000), (4, "", 3000), (5, "\n\n", 0)], key=str)
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_rows_repeated_in_full_enter_the_rounds_once(spark):
+    run_of_lines = [f"w{i}" for i in range(40)]
+    first, later = "\n".join(["own a", *run_of_lines, "end a"]), "\n".join(["own b", *run_of_lines, "", "end b"])
+    docs = documents(spark, [(1, first)] * 20 + [(2, later)] * 20 + [(3, "only once\n\nhere")] * 20)
+    lines = linededup._lines(docs, 40)
+    assert lines.count() == 42 + 43 + 3
+    rounds = linededup.prefix_doubling(lines, 40)
+    assert [step.count() for step in rounds] == [82, 78, 74, 66, 50, 18]
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs, 40).collect())
+    assert got == [(1, first, 0)] * 20 + [(2, "own b\n\nend b", 40)] * 20 + [(3, "only once\n\nhere", 0)] * 20
