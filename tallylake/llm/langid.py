@@ -2,8 +2,9 @@
 
 Network: filters of several widths slide over the bytes of a fixed-length window; each filter's maximum over the window, after a
 rectifier, feeds one softmax layer over the languages. A filter of width w is a table of w x 256 weights, so it takes the bytes as they
-are. It is trained with Adam in numpy, on the driver, from a bounded sample: about ``per_language`` documents of each language
-(the ``most_languages`` largest), drawn by a hash, two windows each.
+are. It is trained with Adam in numpy, on the driver, from a sample of about ``per_language`` documents of each language, drawn by
+a hash, two windows each. Every language of the training folds is learned, however few its documents; all of them where it has
+no more than ``per_language``. So the driver's memory and the steps grow with the number of languages, not of documents.
 
 Use: a document's whole text is cut into windows of ``WINDOW`` bytes, the last padded with zeros; the windows' probabilities are
 averaged by their lengths. Filters are applied through tables over byte pairs, so a filter of width 4 costs two look-ups.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 128
 AT_ONCE = 512  # windows
 FOLDS = 5
+LEAST_STEPS, STEPS_PER_LANGUAGE = 1200, 20
 UNKNOWN = "und"
 
 
@@ -120,18 +122,15 @@ def as_windows(data: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def training_windows(docs: DataFrame, per_language: int = 1000, most_languages: int = 64, least_documents: int = 5) -> DataFrame:
+def training_windows(docs: DataFrame, per_language: int = 1000) -> DataFrame:
     """(lang, piece): two stretches of each sampled document of the training folds."""
-    labelled = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    kept = {row["lang"]: row["n"] for row in sizes if row["n"] >= least_documents} or {row["lang"]: row["n"] for row in sizes}
-    if not kept:
-        return labelled.select("lang", F.col("text").alias("piece")).limit(0)
-    rate = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in kept.items()], F.lit(0.0))
+    labelled = docs.select("doc_id", "lang", "text").where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     room = F.greatest(F.length("text") - WINDOW, F.lit(1))
     stretch = lambda salt: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), room) + 1).cast("int"), F.lit(WINDOW))
-    return labelled.where(draw < rate).select("lang", F.explode(F.array(stretch(1), stretch(2))).alias("piece"))
+    sampled = labelled.join(F.broadcast(sizes), "lang").where(draw < per_language / F.col("_n"))
+    return sampled.select("lang", F.explode(F.array(stretch(1), stretch(2))).alias("piece"))
 
 
 def train(docs: DataFrame, **sample: int) -> ByteCnn | None:
@@ -140,7 +139,9 @@ def train(docs: DataFrame, **sample: int) -> ByteCnn | None:
     if not windows:
         return None
     languages = sorted({lang for lang, _ in windows})
-    return ByteCnn.fit(np.stack([w for _, w in windows]), np.array([languages.index(lang) for lang, _ in windows]), languages)
+    number = {lang: i for i, lang in enumerate(languages)}
+    steps = max(LEAST_STEPS, STEPS_PER_LANGUAGE * len(languages))
+    return ByteCnn.fit(np.stack([w for _, w in windows]), np.array([number[lang] for lang, _ in windows]), languages, steps)
 
 
 def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:

@@ -78,3 +78,22 @@ def test_defined_cases(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.identify(unlabelled).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    syllables = {f"l{k:02d}": [rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") + rng.choice("bcdfghjklmnprstvwz") for _ in range(4)] for k in range(70)}
+    syllables["rare"] = ["þæð", "ðøþ", "æþø"]
+    rows, trained = [], [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    for lang, own in syllables.items():
+        for _ in range(2 if lang == "rare" else 6):
+            words = ["".join(rng.choice(own) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(15, 60))]
+            rows.append((trained[len(rows)], " ".join(words), lang, "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    net = langid.train(docs)
+    assert net.languages == sorted(syllables)
+    got = langid.predict(docs, net).toPandas()
+    right = (got["lang_pred"] == got["lang"]).groupby(got["lang"]).mean()
+    assert right["rare"] == 1 and right.min() > 0.8
+    counts = {r["lang"]: r["count"] for r in langid.training_windows(docs, per_language=3).groupBy("lang").count().collect()}
+    assert counts["rare"] == 4 and sum(counts.values()) < 2 * 5 * 70
