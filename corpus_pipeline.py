@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Pa
 the last keep the columns of ``documents`` as they came in, extra ones included.
 
 * quality: rejects documents whose probability of the top grade is below ``LEAST_TAIL`` (low quality, toxic, null or blank text);
-* language: rejects documents without letters, or whose language is guessed with a score below ``LEAST_SCORE``;
+* language: rejects documents without letters, or whose language is guessed with a score below ``LEAST_SCORE``; with nothing to
+  learn languages from, only documents without letters go;
 * lines: deletes later copies of repeated runs of lines; documents with nothing left go;
 * near_duplicates: keeps one document of each component, the one with the smallest doc_id, and one row of rows repeated under one
   doc_id; documents without a doc_id or without words have no component and stay;
@@ -33,7 +34,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    guessed = langid.predict(docs.select(F.col("text").alias("text"), F.struct("*").alias("_row")), langid.train(docs))
+    net = langid.train(docs)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    guessed = langid.predict(docs.select(F.col("text").alias("text"), F.struct("*").alias("_row")), net)
     return _decided(docs, guessed, (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
 
 

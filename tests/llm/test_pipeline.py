@@ -5,6 +5,7 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallylake.llm.queries import ORACLE, QUERIES
 from tests.llm.helpers import deleted_lines, documents, jaccard_components
@@ -56,6 +57,13 @@ def test_empty_tables_and_odd_rows(spark, tmp_path):
         assert docs.count() == (0 if n == 0 else docs.count())
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    docs = documents(spark, [(1, "ein text"), (2, "12 + 3 !"), (3, None), (4, ""), (None, "é")]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "é"), (1, "ein text")]
+
+
 def test_every_operator_has_a_query():
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in QUERIES)] == []
 
