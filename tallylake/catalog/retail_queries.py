@@ -350,6 +350,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
+@query("entity_ranks", "T2", " UNION ALL ".join(
+    f"""(SELECT '{n}' AS entity, row_number() OVER (ORDER BY {c} {w} NULLS LAST, tenant_id NULLS FIRST, {KEYS[n][1]} NULLS FIRST) AS rank,
+      tenant_id, {KEYS[n][1]} AS id, {c} AS sorted_by FROM v_{n})"""
+    for n, c, w in _ORDERED))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return views.union_all([
+        retail.entity_ranks(RETAIL[n](spark, d).select("tenant_id", KEYS[n][1], c), n).select(
+            F.lit(n).alias("entity"), "rank", "tenant_id", F.col(KEYS[n][1]).alias("id"), F.col(c).cast("timestamp_ntz").alias("sorted_by")
+        )
+        for n, c, _ in _ORDERED
+    ])
+
+
 @query("tenant_overlap", "U3", """
     SELECT customer_id FROM v_customers WHERE tenant_id = 'tenant_001' INTERSECT SELECT customer_id FROM v_sales WHERE tenant_id = 'tenant_002'""")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallylake.functions.pricing import as_money, money_ratio
+from tallylake.session import shared_root
 from tallylake.specs import KEYS
 
 # fixed values: page bounds, and the sort column and direction of each list
@@ -142,11 +143,30 @@ def inventory_of_location(inventory: DataFrame, location_id: str) -> DataFrame:
     return where_given(inventory, location_id=location_id)
 
 
-def entity_ordering(df: DataFrame, entity: str) -> DataFrame:
-    """Rows in the order of that entity's list, ties by business key."""
+def _list_order(entity: str) -> list[Column]:
     column, direction = ENTITY_ORDER[entity]
     main = F.col(column).desc_nulls_last() if direction == "desc" else F.col(column).asc_nulls_last()
-    return df.orderBy(main, *[F.col(c).asc() for c in KEYS.get(entity, ("tenant_id",))])
+    return [main, *[F.col(c).asc() for c in KEYS.get(entity, ("tenant_id",))]]
+
+
+def entity_ordering(df: DataFrame, entity: str) -> DataFrame:
+    """Rows in the order of that entity's list, ties by business key."""
+    return df.orderBy(*_list_order(entity))
+
+
+def entity_ranks(df: DataFrame, entity: str) -> DataFrame:
+    """All rows with ``rank``, their place from 1 in that entity's list. Rows are sorted in range partitions, which are stored so that
+    they stay, and each partition starts where the counts of those before it end; only the counts meet in one task."""
+    shared_root(df.sparkSession)
+    order = _list_order(entity)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", 33)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return ranked.withColumn("rank", F.col("_start") + inside + 1).select(*[c for c in df.columns if c != "rank"], "rank")
 
 
 def page(ordered: DataFrame, limit: int, offset: int) -> DataFrame:

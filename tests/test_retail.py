@@ -46,6 +46,14 @@ def test_pages_cover_the_list_once(spark, sf):
     assert retail.page_info(orders, 10, 10**6).first()["record_count"] == 0
 
 
+def test_ranks_number_the_whole_list(spark, sf):
+    orders = views.sales(spark, sf)
+    expected = [r.order_id for r in retail.entity_ordering(orders, "sales").collect()]
+    ranked = sorted((r["rank"], r["order_id"]) for r in retail.entity_ranks(orders, "sales").collect())
+    assert len(expected) > 100 and ranked == list(enumerate(expected, 1))
+    assert retail.entity_ranks(orders.limit(0), "sales").count() == 0
+
+
 def test_dates_are_inclusive_and_updates_too(spark):
     df = spark.sql("""SELECT 'a' AS order_id, 's' AS store_id, 'x' AS order_status, TIMESTAMP'2026-01-01 00:00:00' AS order_date, TIMESTAMP'2026-01-05 00:00:00' AS updated_at
                       UNION ALL SELECT 'b', 's', 'x', TIMESTAMP'2026-01-02 00:00:00', TIMESTAMP'2026-01-06 00:00:00'""")
