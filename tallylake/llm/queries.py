@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylake.llm import ann, chat, fingerprint, jaccard, langid, linededup, packing, quality, segment, sharding
+from tallylake.llm import ann, chat, fingerprint, jaccard, langid, lexical, linededup, packing, quality, segment, sharding
 from tallylake.llm.common import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -109,3 +109,34 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+LEXICAL_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), totals AS (
+    SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0
+), tf AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term
+), items AS (
+    SELECT row_number() OVER () AS i, item_id,
+        list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+    FROM benchmark
+), scored AS (
+    SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+        CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(docs.terms) * n_docs) // n_terms))))) AS BIGINT) AS score
+    FROM (SELECT i, item_id, unnest(terms) AS term FROM items) JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (r), totals GROUP BY i, r
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", LEXICAL_SQL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
