@@ -32,7 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.llm.common import cut, small_batches
@@ -42,7 +42,8 @@ CAPTURE = "key string, page_id long, record_type string, payload_digest string,
 RECORD = "key string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 256 << 20  # an archive is closed when it is this long
-REGION_BYTES = 64 << 20  # of an archive that one reading task opens
+REGION_BYTES = 16 << 20  # of an archive, read by one task
+MOST_READERS = 20_000  # tasks; each then reads several regions
 DATE = "2024-01-25T06:00:00Z"
 
 
@@ -258,8 +259,10 @@ def _captures(rows: list) -> pd.DataFrame:
     return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64", "offset": "Int64", "length": "Int64"})
 
 
-def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records at the places that ``captures`` name, parsed and verified; without their payloads if these aren't wanted."""
+def read_records(captures: DataFrame, folder: str, payloads: bool = True, regions: int = 1) -> DataFrame:
+    """The records at the places that ``captures`` name, parsed and verified; without their payloads if these aren't wanted.
+
+    ``regions`` is how many regions the archives have: places are small, so their bytes don't tell how much there is to read."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = _Folder(folder)
         columns = [c.split()[0] for c in RECORD.split(", ")]
@@ -279,26 +282,26 @@ def read_records(captures: DataFrame, folder: str, payloads: bool = True) -> Dat
         place.close()
 
     slim = captures.select("key", "archive", "offset", "length", F.floor(F.col("offset") / REGION_BYTES).alias("region"))
-    return slim.repartition("archive", "region").sortWithinPartitions("archive", "offset").mapInPandas(read, RECORD)
+    return slim.repartition(min(regions, MOST_READERS), "archive", "region").sortWithinPartitions("archive", "offset").mapInPandas(read, RECORD)
 
 
 class Archive:
     """Pages written as WARC archives with their capture index."""
 
-    def __init__(self, spark: SparkSession, folder: str, index: DataFrame) -> None:
-        self.spark, self.folder, self.index = spark, folder, index
+    def __init__(self, folder: str, index: DataFrame, regions: int) -> None:
+        self.folder, self.index, self.regions = folder, index, regions
 
     @classmethod
     def of_pages(cls, pages: DataFrame, least_bytes: int = 1000, block_rows: int = 3000) -> Archive:
-        spark = pages.sparkSession
-        small_batches(spark)
-        folder = shared_dir(spark, "warc")
+        small_batches(pages.sparkSession)
+        folder = shared_dir(pages.sparkSession, "warc")
         captures = write_archives(records_of(pages, least_bytes), folder)
-        return cls(spark, folder, write_index(captures, folder, block_rows=block_rows))
+        regions = captures.agg(F.sum("length").alias("n")).first()["n"] or 0
+        return cls(folder, write_index(captures, folder, block_rows=block_rows), 1 + regions // REGION_BYTES)
 
     def read(self, keys: DataFrame, payloads: bool = True) -> DataFrame:
         """The records of the wanted keys; a revisit has no payload."""
-        return read_records(look_up(keys.where("key is not null").select("key").distinct(), self.index, self.folder), self.folder, payloads)
+        return read_records(look_up(keys.where("key is not null").select("key").distinct(), self.index, self.folder), self.folder, payloads, self.regions)
 
 
 def written_and_read(pages: DataFrame) -> DataFrame:
