@@ -143,7 +143,7 @@ def test_gold_checks(spark):
         )
 
     def failures(df):
-        return quality.gold_failures(quality.gold_checks(df).first().asDict())
+        return quality.gold_checks(df).select(quality.gold_failures().alias("texts")).first()["texts"]
 
     assert failures(pricing((T, P, "1", "10", "2"))) == []
     assert len(failures(pricing((T, P, "-5", "100", "105")))) == 2
@@ -151,5 +151,6 @@ def test_gold_checks(spark):
     assert twice == ["1 duplicate (tenant_id, product_id) business keys"]
     assert len(failures(pricing((None, None, "1", "10", "2")))) == 2
     mixed = pricing((T, P, "-5", "100", "5"), ("tenant_002", P, "5", "100", "5"))
-    assert [r.tenant_id for r in quality.publish_gate(mixed, mixed).collect()] == ["tenant_002"]
-    assert quality.gold_failures(quality.gold_checks(pricing()).first().asDict()) == []
+    failed = quality.failing(quality.gold_checks(mixed, "tenant_id")).select("tenant_id")
+    assert [r.tenant_id for r in quality.publish_gate(mixed, failed).collect()] == ["tenant_002"]
+    assert failures(pricing()) == []
