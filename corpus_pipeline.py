@@ -7,8 +7,8 @@ the last keep the columns of ``documents`` as they came in, extra ones included.
 * language: rejects documents without letters, or whose language is guessed with a score below ``LEAST_SCORE``; with nothing to
   learn languages from, only documents without letters go;
 * lines: deletes later copies of repeated runs of lines; documents with nothing left go;
-* near_duplicates: keeps one document of each component, the one with the smallest doc_id, and one row of rows repeated under one
-  doc_id; documents without a doc_id or without words have no component and stay;
+* near_duplicates: keeps one document of each component, the one with the smallest doc_id, and one row of rows equal in doc_id and text;
+  different texts under one doc_id are documents of their own; documents without a doc_id or without words have no component and stay;
 * packing: the pieces of all documents with their sequences and offsets.
 
 Empty tables pass through every stage. Models learn from the stage's own input (``labels`` and ``lang`` name the targets).
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallylake.llm import jaccard, langid, linededup, packing, quality
-from tallylake.llm.common import table
+from tallylake.llm.common import cut, table
 from tallylake.llm.queries import WORD_BPE, tokenizer_path
 from tallylake.session import shared_dir
 
@@ -51,17 +51,24 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs)
-    firsts = found.where("component_id = doc_id and n_shingles > 0").select(F.col("doc_id").alias("_first")).distinct()
-    counted = docs.select("*", F.coalesce(F.trim("text"), F.lit("")).alias("_trimmed"))
-    alone = counted.where((F.col("doc_id").isNull()) | ~F.col("_trimmed").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
-    grouped = counted.where((F.col("doc_id").isNotNull()) & F.col("_trimmed").rlike(r"[^\x20\x09-\x0D]"))
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text")))
-    kept = (
-        grouped.join(firsts, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
-        .withColumn("_copy", once).where("_copy = 1").select(*docs.columns)
+    own_id, words = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    grouped, alone = docs.where(own_id.isNotNull() & words), docs.where(own_id.isNull() | ~words)
+    hashes = grouped.select(own_id.alias("_id"), F.xxhash64("text").alias("_hash"))
+    if hashes.groupBy("_id").agg(F.min("_hash").alias("lo"), F.max("_hash").alias("hi")).where("lo <> hi").isEmpty():
+        found = jaccard.jaccard_components(grouped)
+        firsts = found.where("component_id = doc_id").select(F.col("doc_id").alias("_first")).distinct()
+        once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        kept = grouped.join(firsts, own_id == F.col("_first"), "left_semi").withColumn("_copy", once).where("_copy = 1")
+        return kept.select(*docs.columns).unionByName(alone)
+    # ids name several texts: rows are numbered, and compared by their numbers
+    numbered = cut(grouped.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard.jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    least = F.min(F.struct(F.col("_id"), F.col("_row"))).alias("_least")
+    firsts = (
+        found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", own_id.alias("_id")), "_row")
+        .groupBy("component_id").agg(least).select("_least._row")
     )
-    return kept.unionByName(alone)
+    return numbered.join(firsts, "_row", "left_semi").select(*docs.columns).unionByName(alone)
 
 
 def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
