@@ -1,13 +1,14 @@
 """Document fingerprints: a homomorphic multiset hash of the paragraphs.
 
-Every paragraph hashes to a wide vector of 14-bit lanes; a document's fingerprint is the sum of its paragraphs' vectors, each
-lane modulo 2**14. The sum doesn't depend on the order, so equal multisets of paragraphs agree, and ``insert`` and ``delete`` change
+Every paragraph hashes to a wide vector of lanes; a document's fingerprint is the sum of its paragraphs' vectors, each lane modulo
+a power of two. The sum doesn't depend on the order, so equal multisets of paragraphs agree, and ``insert`` and ``delete`` change
 a fingerprint by one paragraph without the rest of the text.
 
-A paragraph's vector has two parts. ``IDENTITY`` longs hold four uniform lanes each and tell any two paragraphs apart. ``LIKENESS``
-longs hold four lanes each that sum bits (read as -1 and 1) over the paragraph's pieces of at most ``PIECE_WORDS`` words between
-punctuation: the inner product of two documents' lanes then estimates the pieces they share, and ``likeness`` turns that into
-0 to 1. Lanes are packed four to a long with a mask after each addition, so no lane carries into its neighbour.
+A paragraph's vector has two parts. ``IDENTITY`` longs hold four uniform lanes modulo 2**14 each and tell any two paragraphs apart.
+``LIKENESS`` longs hold two lanes modulo 2**30 each that sum bits (read as -1 and 1) over the paragraph's pieces of at most
+``PIECE_WORDS`` words between punctuation: the inner product of two documents' lanes then estimates the pieces they share, and
+``likeness`` turns that into 0 to 1. No text that fits a row has 2**30 pieces, so these sums are whole. Lanes are packed with a mask
+after each addition, so none carries into its neighbour.
 
 Defined cases: a null text is empty; an empty text has the zero vector; two texts without pieces are alike (1) if their
 fingerprints are equal, else 0; rows repeated in full give repeated results. The next document is the next larger doc_id
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 from tallylake.llm.common import cut, text_or_empty
 
 IDENTITY, HASHES, PIECE_WORDS = 8, 4, 8
-SPACING = 15  # bits from lane to lane: 14 of the lane and a spare one for the carry
-SHIFTS = tuple(SPACING * k for k in range(4))
-LANES = sum(0x3FFF << shift for shift in SHIFTS)
+# every lane has a spare bit above it for the carry
+LANES = sum(0x3FFF << shift for shift in (0, 15, 30, 45))
+SPARE = sum(0x4000 << shift for shift in (0, 15, 30, 45))
+SHIFTS, WIDE = (0, 31), 0x3FFFFFFF
+WIDE_LANES = sum(WIDE << shift for shift in SHIFTS)
+WIDE_SPARE = sum(0x40000000 << shift for shift in SHIFTS)
 ONES = sum(1 << shift for shift in SHIFTS)
-SPARE = sum(0x4000 << shift for shift in SHIFTS)
-LIKENESS = HASHES * SPACING
+BITS = 20  # of each lane's half of a hash
+LIKENESS = HASHES * BITS
 PIECE = r"[^\s\p{P}\p{S}]+(?: [^\s\p{P}\p{S}]+){0,%d}" % (PIECE_WORDS - 1)
 
 
@@ -40,6 +44,10 @@ def _add(a: Column, b: Column) -> Column:
     return (a + b).bitwiseAND(_long(LANES))
 
 
+def _add_wide(a: Column, b: Column) -> Column:
+    return (a + b).bitwiseAND(_long(WIDE_LANES))
+
+
 def _identity(paragraphs: Column) -> Column:
     hashes = F.transform(paragraphs, lambda p: F.array(*[F.xxhash64(p, F.lit(k)).bitwiseAND(_long(LANES)) for k in range(IDENTITY)]))
     return F.aggregate(hashes, F.array_repeat(_long(0), IDENTITY), lambda acc, h: F.zip_with(acc, h, _add))
@@ -51,9 +59,9 @@ def _likeness(pieces: Column) -> Column:
     def lanes(h: Column) -> Column:
         return F.array(*[
             F.call_function("shiftrightunsigned", F.get(h, F.lit(k)), F.lit(shift)).bitwiseAND(_long(ONES))
-            for k in range(HASHES) for shift in range(SPACING)])
+            for k in range(HASHES) for shift in range(BITS)])
 
-    return F.aggregate(hashes, F.array_repeat(_long(0), LIKENESS), lambda acc, h: F.zip_with(acc, lanes(h), _add))
+    return F.aggregate(hashes, F.array_repeat(_long(0), LIKENESS), lambda acc, h: F.zip_with(acc, lanes(h), _add_wide))
 
 
 def vector(text: Column) -> Column:
@@ -76,9 +84,12 @@ def _change(fingerprint: Column, other: Column, sign: int) -> Column:
     def combine(a: Column, b: Column) -> Column:
         return _add(a, b) if sign > 0 else (a + _long(SPARE) - b).bitwiseAND(_long(LANES))
 
+    def combine_wide(a: Column, b: Column) -> Column:
+        return _add_wide(a, b) if sign > 0 else (a + _long(WIDE_SPARE) - b).bitwiseAND(_long(WIDE_LANES))
+
     return F.struct(
         F.zip_with(fingerprint["identity"], other["identity"], combine).alias("identity"),
-        F.zip_with(fingerprint["likeness"], other["likeness"], combine).alias("likeness"),
+        F.zip_with(fingerprint["likeness"], other["likeness"], combine_wide).alias("likeness"),
         (fingerprint["pieces"] + sign * other["pieces"]).alias("pieces"))
 
 
@@ -89,11 +100,11 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def _signed(fingerprint: Column) -> Column:
-    """Lanes as sums of -1 and 1, from twice the count of ones modulo 2**15."""
+    """Lanes as sums of -1 and 1: twice the count of ones less the number of pieces."""
 
     def lane(x: Column, shift: int) -> Column:
-        ones = F.call_function("shiftrightunsigned", x, F.lit(shift)).bitwiseAND(_long(0x3FFF))
-        return (F.pmod(ones * 2 - fingerprint["pieces"] + 0x4000, _long(0x8000)) - 0x4000).cast("double")
+        ones = F.call_function("shiftrightunsigned", x, F.lit(shift)).bitwiseAND(_long(WIDE))
+        return (ones * 2 - fingerprint["pieces"]).cast("double")
 
     return F.flatten(F.transform(fingerprint["likeness"], lambda x: F.array(*[lane(x, shift) for shift in SHIFTS])))
 

@@ -60,3 +60,24 @@ def test_single_null_ids_repeats_and_empty(spark):
     assert sorted((r["doc_id"] is None, r["edited_sha256"]) for r in rows) == sorted(
         [(True, hashlib.sha256(b"aaaaaabb").hexdigest())] + [(False, hashlib.sha256(b"bbbbbbaa").hexdigest())] * 2)
     assert fingerprint.compare_with_edits(documents(spark, [])).count() == 0
+
+
+def test_a_phrase_repeated_very_often(spark):
+    got = fingerprint.compare_with_edits(documents(spark, ["lorem ipsum dolor sit amet. " * 20_000, "other words of the next document. " * 30])).orderBy("doc_id").first()
+    assert got["near_edited"] > 0.9 and got["near_next"] < 0.3
+
+
+def test_values_against_plain_python(spark):
+    """Sums of the hashes that Spark gives for paragraphs and pieces, lane by lane."""
+    import re
+
+    text = "a b c, d e f g h i j k l m n\nsecond line. second line\n\na b c"
+    paragraphs = [p for p in text.split("\n") if p]
+    pieces = re.findall(r"[a-z]+(?: [a-z]+){0,7}", text)
+    hashed = lambda x, k: spark.sql(f"SELECT xxhash64('{x}', {k})").first()[0] & (1 << 64) - 1
+    identity = [sum((sum((hashed(p, k) >> s) & 0x3FFF for p in paragraphs) & 0x3FFF) << s for s in (0, 15, 30, 45)) for k in range(fingerprint.IDENTITY)]
+    likeness = [
+        sum(sum((hashed(p, 100 + k) >> (bit + s)) & 1 for p in pieces) << s for s in (0, 31))
+        for k in range(fingerprint.HASHES) for bit in range(fingerprint.BITS)]
+    row = documents(spark, [text]).select(fingerprint.vector(F.col("text")).alias("f")).first()["f"]
+    assert (row["identity"], row["likeness"], row["pieces"]) == (identity, likeness, len(pieces))
