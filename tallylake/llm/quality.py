@@ -6,11 +6,12 @@ by all grades; ordered thresholds t1 < t2 split its score: P(grade >= j) = sigmo
 
 Features are presences: each distinct word in lower case without marks around it, and a few shapes of the whole text (repeated words,
 capitals, symbols, variety) in tenths. The fit is FTRL with an L1 penalty in numpy on the driver, on at most ``sample_documents`` labelled
-documents of about equal numbers per grade, drawn by a hash; only hashed features reach the driver.
+documents of about equal numbers per grade, drawn by a hash; only hashed features reach the driver. What is minimised is the model's
+negative log-likelihood, -log(P(>= j) - P(>= j + 1)) of the true grade j; the thresholds are kept apart as t1 and positive gaps.
 
 Defined cases: a null or blank text has grade 0 and is rejected; without labelled documents nothing is known and every other document
 is kept with the tail 1; null labels are no labels; several labels of one document count as the worst; rows repeated in full give
-repeated results; other columns are ignored.
+repeated results, and texts that share an id count as one, the one with the smallest hash, in the sample; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,6 +59,17 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def gradient(score: float, grade: int, thresholds: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Negative log-likelihood of a grade, and its slopes by the score and by each threshold."""
+    tails = np.concatenate([[1.0], _sigmoid(score - thresholds), [0.0]])
+    above, beyond = tails[grade], tails[grade + 1]
+    share = max(above - beyond, 1e-12)
+    by_threshold = np.zeros(len(thresholds) + 2)
+    by_threshold[grade] = above * (1 - above) / share
+    by_threshold[grade + 1] = -beyond * (1 - beyond) / share
+    return -np.log(share), above + beyond - 1, by_threshold[1:-1]
+
+
 @dataclass
 class CumulativeLink:
     weights: np.ndarray
@@ -71,24 +83,25 @@ class CumulativeLink:
     def fit(cls, rows: list[np.ndarray], grades: np.ndarray, epochs: int = 6, rate: float = 0.5, l1: float = 4.0, seed: int = 3) -> CumulativeLink:
         rng = np.random.default_rng(seed)
         z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
-        t, gap_n = np.linspace(-1.0, 1.0, GRADES - 1), np.full(GRADES - 1, 1.0)
+        # the first threshold and the logarithms of the gaps between them, so that they stay in order
+        place, place_n = np.concatenate([[-1.0], np.log(np.full(GRADES - 2, 2.0 / max(1, GRADES - 2)))]), np.full(GRADES - 1, 1.0)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 x, grade = rows[i], grades[i]
                 zx, nx = z[x], n[x]
                 wx = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((1.0 + np.sqrt(nx)) / rate))
-                score = wx.sum()
-                # binary cross entropy of each "grade >= j", summed: a proper loss for the shared score
-                miss = _sigmoid(score - t) - (grade >= np.arange(1, GRADES))
-                g = miss.sum()
+                gaps = np.exp(place[1:])
+                _, g, by_threshold = gradient(wx.sum(), grade, place[0] + np.concatenate([[0.0], np.cumsum(gaps)]))
                 sigma = (np.sqrt(nx + g * g) - np.sqrt(nx)) / rate
                 z[x] = zx + g - sigma * wx
                 n[x] = nx + g * g
-                gap_n += miss * miss
-                t = np.sort(t + 0.3 * miss / np.sqrt(gap_n))
+                beyond = np.cumsum(by_threshold[::-1])[::-1]  # a place moves its threshold and all after it
+                slope = np.concatenate([beyond[:1], beyond[1:] * gaps])
+                place_n += slope * slope
+                place = place - 0.3 * slope / np.sqrt(place_n)
         live = np.abs(z) > l1
         w[live] = -(z[live] - np.sign(z[live]) * l1) / ((1.0 + np.sqrt(n[live])) / rate)
-        return cls(w, t)
+        return cls(w, place[0] + np.concatenate([[0.0], np.cumsum(np.exp(place[1:]))]))
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -103,7 +116,9 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample_documents: int) -> Data
     rate = F.coalesce(*[F.when(F.col("grade") == g, F.lit(min(1.0, sample_documents / GRADES / n))) for g, n in sizes.items()], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     drawn = graded.where(draw < rate)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # bounded by the sample's size
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # bounded by the sample's size
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "grade", "text")).alias("row")  # of texts that share an id
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "row.grade", "row.text")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_documents: int = 18000) -> CumulativeLink | None:

@@ -59,3 +59,43 @@ def test_defined_cases(spark):
 def test_grades_of_labels(spark):
     rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0)], "q int, t int")
     assert [r[0] for r in rows.select(quality.grade_of(F.col("q"), F.col("t"))).collect()] == [0, 0, 1, 2]
+
+
+def test_slopes_against_finite_differences():
+    rng, h = np.random.default_rng(2), 1e-6
+    for _ in range(50):
+        score, grade, t = rng.normal(), int(rng.integers(3)), np.sort(rng.normal(size=2)) + [0, 0.1]
+        loss, by_score, by_threshold = quality.gradient(score, grade, t)
+        cut = [1, *(1 / (1 + np.exp(t - score))), 0]
+        assert abs(loss + np.log(cut[grade] - cut[grade + 1])) < 1e-9
+        at = lambda s, c: quality.gradient(s, grade, c)[0]
+        assert abs((at(score + h, t) - at(score - h, t)) / (2 * h) - by_score) < 1e-5
+        for j in range(2):
+            step = np.eye(2)[j] * h
+            assert abs((at(score, t + step) - at(score, t - step)) / (2 * h) - by_threshold[j]) < 1e-4
+
+
+def test_fit_reaches_the_likelihood_of_a_plain_descent():
+    """One feature per grade and a shared one: thresholds and weights by plain gradient descent give the same tails."""
+    rng = np.random.default_rng(7)
+    kind = rng.integers(0, 3, size=900)
+    grades = np.where(rng.random(900) < 0.8, kind, rng.integers(0, 3, size=900))
+    model = quality.CumulativeLink.fit([np.array([k]) for k in kind], grades, epochs=30, l1=0.0)
+    w, t = np.zeros(3), np.array([-1.0, 1.0])
+    for _ in range(4000):
+        gw, gt = np.zeros(3), np.zeros(2)
+        for k in range(3):
+            for g in range(3):
+                n = ((kind == k) & (grades == g)).sum()
+                _, by_score, by_threshold = quality.gradient(w[k], g, t)
+                gw[k] += n * by_score
+                gt += n * by_threshold
+        w, t = w - 0.002 * gw, t - 0.002 * gt
+    want = 1 / (1 + np.exp(t[None, :] - w[:, None]))
+    assert np.abs(model.tails(model.weights[:3]) - want).max() < 0.06
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = documents(spark, [(1, f"text number {i}") for i in range(1500)] + [(2, "word")] * 1501)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.sample_of(docs, labels, 18).count() == 2
