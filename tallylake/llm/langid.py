@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 128
@@ -123,14 +123,15 @@ def as_windows(data: bytes) -> np.ndarray:
 
 
 def training_windows(docs: DataFrame, per_language: int = 1000) -> DataFrame:
-    """(lang, piece): two stretches of each sampled document of the training folds."""
+    """(lang, piece): two stretches of each sampled document of the training folds; of every language the ``per_language`` documents whose
+    hash of id and text is smallest, or all if there are fewer."""
     labelled = docs.select("doc_id", "lang", "text").where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
     room = F.greatest(F.length("text") - WINDOW, F.lit(1))
     stretch = lambda salt: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), room) + 1).cast("int"), F.lit(WINDOW))
-    sampled = labelled.join(F.broadcast(sizes), "lang").where(draw < per_language / F.col("_n"))
-    return sampled.select("lang", F.explode(F.array(stretch(1), stretch(2))).alias("piece"))
+    slim = labelled.select("lang", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("_draw"), F.array(stretch(1), stretch(2)).alias("_pieces"))
+    # every task keeps its first rows of a language before any row is shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "_pieces"))
+    return slim.withColumn("_place", place).where(F.col("_place") <= per_language).select("lang", F.explode("_pieces").alias("piece"))
 
 
 def train(docs: DataFrame, **sample: int) -> ByteCnn | None:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallylake.llm import langid
@@ -97,3 +98,11 @@ def test_every_language_is_learned(spark):
     assert right["rare"] == 1 and right.min() > 0.8
     counts = {r["lang"]: r["count"] for r in langid.training_windows(docs, per_language=3).groupBy("lang").count().collect()}
     assert counts["rare"] == 4 and sum(counts.values()) < 2 * 5 * 70
+
+
+@pytest.mark.parametrize("doc_id", range(6))
+def test_sample_is_whole_and_bounded_where_ids_repeat(spark, doc_id):
+    rows = [(doc_id, f"wort nummer {i} und mehr") for i in range(300)] + [(doc_id, "immer der gleiche text")] * 300
+    docs = documents(spark, rows).withColumn("lang", F.lit("de"))
+    n = langid.training_windows(docs, per_language=50).count()
+    assert n == (0 if docs.where(langid.is_held_out()).count() else 100)
