@@ -1,7 +1,7 @@
 """Exact token ids of a lower-casing word BPE, with the words of a batch encoded once.
 
 Such a tokenizer never joins characters across white space, so the ids of a text are those of its blank-separated chunks one
-after another. Chunks repeat a lot: each Python worker keeps the ids of the chunks it has met (at most ``MOST_KEPT``, then it starts
+after another. Chunks repeat a lot: each Python worker keeps the ids of the chunks it has met (at most ``MOST_KEPT`` bytes of them, then it starts
 over) from task to task and hands only new ones to the tokenizer. Texts with control characters that Python and the tokenizer may class differently
 go to the tokenizer whole.
 """
@@ -14,7 +14,8 @@ import unicodedata
 
 import numpy as np
 
-MOST_KEPT = 1_000_000
+MOST_KEPT = 64 << 20
+PER_ENTRY = 180  # bytes of a chunk's key, value and place in the table beside their own length
 TAIL = ".,;:!?"
 ODD = re.compile("[\x1c-\x1f]")
 
@@ -29,16 +30,18 @@ class WordIds:
         self.is_end[ends] = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if ODD.search(text) else text.split() for text in texts]
-        if len(self.chunks) > MOST_KEPT:
-            self.chunks, self.words = {}, {}
+        if self.held > MOST_KEPT:
+            self.chunks, self.words, self.held = {}, {}, 0
         known = self.chunks
         new = {chunk for chunks in split if chunks for chunk in chunks if chunk not in known}
         if new:
             self._learn(new)
+            self.held += sum(2 * PER_ENTRY + 3 * len(chunk) for chunk in new)
         return [
             self._whole(text) if chunks is None else np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype="<u4")
             for text, chunks in zip(texts, split, strict=True)
