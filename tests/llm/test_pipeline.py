@@ -54,7 +54,16 @@ def test_empty_tables_and_odd_rows(spark, tmp_path):
             path = str(tmp_path / f"{n}-{name}")
             stage(spark, docs, str(tmp_path)).write.parquet(path)
             docs = spark.read.parquet(path)
-        assert docs.count() == (0 if n == 0 else docs.count())
+        # what has no letters goes, and of the rest one row of each text, with the five shingles of "same words here" one text
+        assert sorted((r["doc_id"] or 0, r["piece"]) for r in docs.collect()) == ([] if n == 0 else [(0, 0), (3, 0)])
+
+
+def test_unlike_texts_under_one_id_all_stay(spark):
+    long = "a text of many words that has a near copy further on in the table, told by its shingles of five words"
+    rows = [(1, long), (1, "quite another text under the same number"), (2, long + " ok"), (3, "a third text"), (3, "a third text"), (1, "short"), (None, "short"), (4, " ")]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, documents(spark, rows), "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted(
+        [(1, long), (1, "quite another text under the same number"), (3, "a third text"), (1, "short"), (0, "short"), (4, " ")])
 
 
 def test_language_stage_without_labels_keeps_texts_with_letters(spark):
