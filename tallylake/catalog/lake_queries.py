@@ -10,7 +10,7 @@ from tallylake.catalog.views_sql import FOREIGN_KEYS, columns_of, errors_sql
 from tallylake.operators import cleanse, quality, retail
 from tallylake.plans import silver
 from tallylake.session import shared_dir
-from tallylake.sources import lake, views
+from tallylake.sources import lake, paged, views
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
 from tallylake.specs import spec
 
@@ -33,8 +33,8 @@ def nested(spark: SparkSession, d: str) -> DataFrame:
 @query("paged_source_read", "S1", "SELECT product_id, tenant_id, sku, unit_price, updated_at FROM v_products")
 def _(spark: SparkSession, d: str) -> DataFrame:
     target = shared_dir(spark, "pages")
-    lake.paged_source_write(views.products(spark, d), target, "product", 200, ["product_id"])
-    rows = lake.paged_source_read(spark, target, spec("products").schema)
+    paged.paged_source_write(views.products(spark, d), target, "product", 200, ["product_id"])
+    rows = paged.paged_source_read(spark, target, spec("products").schema)
     return rows.select("product_id", "tenant_id", "sku", "unit_price", "updated_at")
 
 

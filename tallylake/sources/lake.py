@@ -7,71 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallylake.operators.retail import lookup, updated_since
-from tallylake.operators.sizing import broadcast_if_small
 from tallylake.specs import KEYS
 
-PAGE_METADATA = "struct<tenant_id: string, source_system: string, entity: string, schema_version: string, record_count: int>"
-PAGE_POSITION = "struct<record_count: int, `limit`: int, offset: bigint, has_more: boolean>"
 ALL_TENANTS = "all"
 
 
-def page_schema(record: T.StructType) -> T.StructType:
-    """Envelope of one page: the records, what they are, and where the page stands in its list."""
-    return T.StructType([
-        T.StructField("data", T.ArrayType(record)),
-        T.StructField("metadata", T.StructType.fromDDL(f"m {PAGE_METADATA}").fields[0].dataType),
-        T.StructField("pagination", T.StructType.fromDDL(f"p {PAGE_POSITION}").fields[0].dataType),
-    ])
-
-
-def paged_source_read(spark: SparkSession, path: str, record: T.StructType, since: str | None = None) -> DataFrame:
-    """Records of all landed pages (one JSON page per line).
-
-    A list ends with the first page that is empty or has no successor: pages of the same tenant and entity beyond that
-    offset are leftovers of an older, longer list and are not read.
-    """
-    pages = spark.read.schema(page_schema(record)).json(path)
-    where = pages.select("data", F.col("metadata.tenant_id").alias("_tenant"), F.col("metadata.entity").alias("_entity"),
-                         F.col("pagination.offset").alias("_offset"), F.col("pagination.has_more").alias("_more"))
-    last = (F.coalesce(F.size("data"), F.lit(0)) <= 0) | ~F.coalesce("_more", F.lit(False))
-    # page headers only: one row per list and mapper leaves the partial aggregation
-    ends = where.groupBy("_tenant", "_entity").agg(F.min(F.when(last, F.col("_offset"))).alias("_end"))
-    ends = broadcast_if_small(ends.select(F.col("_tenant").alias("_t"), F.col("_entity").alias("_e"), "_end"))
-    kept = where.join(ends, F.col("_tenant").eqNullSafe(F.col("_t")) & F.col("_entity").eqNullSafe(F.col("_e")))
-    kept = kept.filter(F.col("_end").isNull() | (F.col("_offset") <= F.col("_end")))
-    return updated_since(kept.select(F.inline("data")), since)
-
-
-def paged_source_write(records: DataFrame, path: str, entity: str, page_size: int, order: list[str]) -> None:
-    """Land a table as pages, for tests and for exports. Rows are numbered within hash slices of each tenant.
-
-    A list of pages per slice keeps any one task to a slice, however large the tenant.
-    """
-    slices = records.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sliced = records.withColumn("_slice", F.expr(f"pmod(xxhash64({', '.join(order)}), {slices})"))
-    numbered = sliced.withColumn("_n", F.row_number().over(Window.partitionBy("tenant_id", "_slice").orderBy(*order)) - 1)
-    body = F.struct(*records.columns)
-    key = ["tenant_id", "_slice"]
-    paged = numbered.withColumn("_page", F.floor(F.col("_n") / page_size)).groupBy(*key, "_page").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_n", body.alias("r")))), lambda x: x["r"]).alias("data")
-    )
-    totals = sliced.groupBy(*key).agg(F.count(F.lit(1)).alias("_total"))
-    offset = F.col("_page") * page_size
-    envelope = paged.join(totals, key).select(
-        "data",
-        F.struct("tenant_id", F.lit("source").alias("source_system"), F.concat_ws("#", F.lit(entity), "_slice").alias("entity"),
-                 F.lit("1.0").alias("schema_version"), F.size("data").alias("record_count")).alias("metadata"),
-        F.struct(F.size("data").alias("record_count"), F.lit(page_size).alias("limit"), offset.alias("offset"),
-                 (offset + page_size < F.col("_total")).alias("has_more")).alias("pagination"),
-    )
-    envelope.write.mode("overwrite").json(path)
-
-
 def records_to_frame(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     """JSON-lines records with a declared schema; nested objects become structs, nothing passes through the driver."""
     return spark.read.schema(record).json(path)

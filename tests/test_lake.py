@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from decimal import Decimal
 
 import pytest
@@ -16,36 +15,10 @@ from tallylake.sources.views import BUSINESS_DATE, RETAIL
 from tallylake.specs import spec
 
 
-def page(records, offset, more, tenant="t", entity="e"):
-    return json.dumps({"data": records, "metadata": {"tenant_id": tenant, "entity": entity}, "pagination": {"offset": offset, "has_more": more}})
-
-
 def ids(rows):
     return sorted(r.product_id for r in rows.collect())
 
 
-def test_paging_stops_at_the_end_or_at_an_empty_page(spark, tmp_path):
-    record = spec("products").schema
-    rows = [{"product_id": str(n), "unit_price": 1.5} for n in range(6)]
-    path = tmp_path / "full"
-    path.mkdir()
-    (path / "a.json").write_text("\n".join([page(rows[:2], 0, True), page(rows[2:4], 2, True), page(rows[4:5], 4, False), page(rows[5:], 6, False)]))
-    got = lake.paged_source_read(spark, str(path), record)
-    assert ids(got) == ["0", "1", "2", "3", "4"]
-    assert got.schema["unit_price"].dataType.simpleString() == "decimal(18,4)"
-    path = tmp_path / "empty"
-    path.mkdir()
-    (path / "a.json").write_text("\n".join([page(rows[:2], 0, True), page([], 2, True), page(rows[4:5], 4, False), page(rows[5:], 0, False, "u")]))
-    assert ids(lake.paged_source_read(spark, str(path), record)) == ["0", "1", "5"]
-
-
-def test_page_writer_round_trip(spark, sf, tmp_path):
-    products = views.products(spark, sf)
-    lake.paged_source_write(products, str(tmp_path / "p"), "product", 7, ["product_id"])
-    back = lake.paged_source_read(spark, str(tmp_path / "p"), products.schema)
-    assert back.exceptAll(products).count() == 0 and back.count() == products.count()
-
-
 def test_overwrite_replaces_only_touched_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "tenant_id string, v int")
