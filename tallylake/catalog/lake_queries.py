@@ -169,7 +169,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         tagged = lake.bronze_metadata(df, PIPELINE_ID, RUN_ID, "retail_source", STAMP)
         lake.partition_overwrite_sink(tagged, f"{target}/{name}", ["tenant_id", "ingestion_date"])
 
-    return lake.ingest_all(spark, sources, write).drop("error_message")
+    return lake.ingest_all(spark, sources, write).drop("tenant_id", "error_message", "duration_seconds")
 
 
 @query("multi_tenant_run", "S15", """

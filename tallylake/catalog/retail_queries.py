@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tallylake.catalog.registry import query
 from tallylake.catalog.views_sql import MONEY, VIEWS, columns_of, ratio
 from tallylake.functions import pricing, text
-from tallylake.operators import enrich, quality, retail
+from tallylake.operators import enrich, quality, retail, telemetry
 from tallylake.plans import gold, medallion
 from tallylake.plans.silver import silver_valid
 from tallylake.operators.cleanse import dedup_items, normalize_categoricals
 from tallylake.session import shared_dir
 from tallylake.sources import views
-from tallylake.sources.lake import tenant_parquet_scan
+from tallylake.sources.lake import lake_table, tenant_parquet_scan
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
 from tallylake.specs import KEYS, spec
 
@@ -414,11 +414,50 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- the whole run ---------------------------------------------------------------------------------------------------
 
 
-@query("lakehouse_run", "S14 V13 V14", "SELECT * FROM v_gold_pricing")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Bronze, silver and gold of all tenants through written tables; the result is the published pricing table."""
+def whole_run(spark: SparkSession, d: str) -> medallion.Run:
+    """Bronze, silver and gold of all tenants through written tables."""
     run = medallion.Run(shared_dir(spark, "run"), PIPELINE_ID, RUN_ID, STAMP, BUSINESS_DATE, invalid_rate_limit=0.5)
     readers = {n: (lambda n=n: RETAIL[n](spark, d)) for n in medallion.BRONZE_DATASETS}
     readers["sales"] = lambda: retail.transactions_nested(views.sales(spark, d), views.sales_items(spark, d))
     medallion.run_all(spark, run, {n: ("retail_source", read) for n, read in readers.items()})
-    return tenant_parquet_scan(spark, run.path("gold", "pricing")).drop("business_date")
+    return run
+
+
+@query("lakehouse_run", "S14 V13 V14", "SELECT * FROM v_gold_pricing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The published pricing table of a whole run."""
+    return tenant_parquet_scan(spark, whole_run(spark, d).path("gold", "pricing")).drop("business_date")
+
+
+_LANDED = {"products": "v_products", "inventory": "v_inventory", "promotions": "v_promotions", "suppliers": "v_suppliers", "sales": "v_sales"}
+_CHECKED = {n: (f"v_{n}", f"v_checked_{n}") for n in ("sales", "sales_items", "inventory", "promotions", "suppliers")}
+
+
+@query("run_telemetry", "M16 M12 M13 M9", " UNION ALL ".join(
+    [f"SELECT tenant_id, '{n}' AS dataset, 'bronze_records_written' AS name, CAST(count(*) AS DECIMAL(18,4)) AS value FROM {v} GROUP BY 1" for n, v in _LANDED.items()]
+    + [f"SELECT tenant_id, '{n}', 'silver_input_records', count(*) FROM {v} GROUP BY 1" for n, (v, _) in _CHECKED.items()]
+    + [f"SELECT tenant_id, '{n}', 'silver_valid_records', count(*) FILTER (len(errors) = 0) FROM {v} GROUP BY 1" for n, (_, v) in _CHECKED.items()]
+    + [f"SELECT tenant_id, '{n}', 'silver_quarantine_records', count(*) FILTER (len(errors) > 0) FROM {v} GROUP BY 1" for n, (_, v) in _CHECKED.items()]
+    + ["SELECT tenant_id, 'pricing', 'gold_output_records', count(*) FROM v_gold_pricing GROUP BY 1"]
+    + [f"SELECT tenant_id, 'pipeline', '{n}', 1 FROM (SELECT DISTINCT tenant_id FROM v_products)" for n in ("pipeline_run_count", "pipeline_success_count")]
+    + [f"SELECT tenant_id, 'pipeline', '{n}', 1 FROM (SELECT DISTINCT tenant_id FROM v_products)" for n in ("PIPELINE_START", "PIPELINE_END")]
+    + ["SELECT NULL, 'overview', 'total_runs', count(DISTINCT tenant_id) FROM v_products"]
+    + ["SELECT NULL, 'overview', 'success_runs', count(DISTINCT tenant_id) FROM v_products"]))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What the telemetry operators tell of a whole run from the tables that it wrote about itself."""
+    run = whole_run(spark, d)
+    events, metrics = (lake_table(spark, f"{run.root}/telemetry/{n}") for n in ("events", "metrics"))
+    now = f"{STAMP[:10]} 23:59:59"
+    shown = (F.col("dataset").isin(*_LANDED) & (F.col("name") == "bronze_records_written")) | (
+        F.col("dataset").isin(*_CHECKED) & F.col("name").isin("silver_input_records", "silver_valid_records", "silver_quarantine_records")) | (
+        (F.col("dataset") == "pricing") & (F.col("name") == "gold_output_records")) | F.col("name").isin("pipeline_run_count", "pipeline_success_count")
+    ends = telemetry.run_timeline(events, now).filter("dataset = 'pipeline'")  # by run; tenants are told by the events of that id
+    ends = ends.join(events.select("event_id", "tenant_id"), "event_id")
+    overview = telemetry.run_overview(events, metrics, now).select(
+        F.lit(None).cast("string").alias("tenant_id"), F.lit("overview").alias("dataset"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("decimal(18,4)").alias("value")) for c in ("total_runs", "success_runs")])))
+    return views.union_all([
+        telemetry.in_lookback(metrics, now, 1440).filter(shown).select("tenant_id", "dataset", "name", "value"),
+        ends.select("tenant_id", "dataset", F.col("event_type").alias("name"), F.lit(1).cast("decimal(18,4)").alias("value")),
+        overview,
+    ])

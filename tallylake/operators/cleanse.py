@@ -67,15 +67,19 @@ def first_per_key(df: DataFrame, keys: list[str] | tuple[str, ...], order: list[
     return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
-def one_per_key(df: DataFrame, keys: list[str] | tuple[str, ...], order: list[Column], copies: str | None = None) -> DataFrame:
+def one_per_key(
+    df: DataFrame, keys: list[str] | tuple[str, ...], order: list[Column], copies: str | None = None, weight: Column | None = None
+) -> DataFrame:
     """The first row of every key, for keys that are nearly unique: one shuffle and one sort.
 
     An early cut would sort the whole table before the shuffle and remove next to nothing; the count of a key's rows, kept in the same
-    window, rules it out and is there for ``copies``. Keys that may be hot take :func:`first_per_key`.
+    window, rules it out and is there for ``copies``. Keys that may be hot take :func:`first_per_key`. With ``weight`` rows stand for
+    that many, and their sum is kept.
     """
     by_key = Window.partitionBy(*reversed(keys)).orderBy(*order)
     whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = df.withColumns({"_rank": F.row_number().over(by_key), copies or "_copies": F.count(F.lit(1)).over(whole)})
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.withColumns({"_rank": F.row_number().over(by_key), copies or "_copies": total.over(whole)})
     return counted.filter((F.col("_rank") == 1) & (F.col(copies or "_copies") > 0)).drop("_rank", *([] if copies else ["_copies"]))
 
 
@@ -92,8 +96,22 @@ def dedup_items(df: DataFrame, spec: DatasetSpec, copies: str | None = None) ->
     rest = [c for c in df.columns if c not in spec.keys]
     if not rest:
         return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies)) if copies else df.distinct()
+    return one_per_key(df, spec.keys, _ingested_last(df, spec), copies)
+
+
+def _ingested_last(df: DataFrame, spec: DatasetSpec) -> list[Column]:
+    rest = [c for c in df.columns if c not in spec.keys]
     ingested = [F.col(c).desc_nulls_last() for c in rest if c == "ingestion_timestamp"]
-    return one_per_key(df, spec.keys, ingested + [F.col(c).asc_nulls_last() for c in rest if c != "ingestion_timestamp"], copies)
+    return ingested + [F.col(c).asc_nulls_last() for c in rest if c != "ingestion_timestamp"]
+
+
+def latest_of_weighted(df: DataFrame, spec: DatasetSpec, copies: str) -> DataFrame:
+    """Latest row per business key of rows that stand for ``copies`` source rows each, which add up; the winners are those that
+    :func:`dedup_latest` has among the source rows."""
+    plain = df.drop(copies)
+    order = _ingested_last(plain, spec) if spec.order_column is None else _newest_first(plain, spec.keys, spec.order_column)
+    weighted = df.withColumnRenamed(copies, "_weight")
+    return one_per_key(weighted, spec.keys, order, copies, F.col("_weight")).drop("_weight")
 
 
 def explode_order_items(orders: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallylake.operators.cleanse import explode_order_items, orders_without_items
+from tallylake.operators.cleanse import LOST, explode_order_items, orders_without_items
 from tallylake.operators.enrich import sales_by_product
 from tallylake.operators.quality import (
     failing,
@@ -28,11 +28,13 @@ from tallylake.operators.quality import (
     stage_rollup,
     without_tenants,
 )
-from tallylake.operators.telemetry import metrics_from_logs
 from tallylake.plans.gold import gold_pricing, gold_product_sales
-from tallylake.plans.silver import silver_checked
+from tallylake.plans.run_telemetry import Clock, run_events, run_metrics
+from tallylake.plans.silver import silver_cast
+from tallylake.plans.snapshots import Snapshots
 from tallylake.sources.lake import (
     ALL_TENANTS,
+    SourceName,
     bronze_metadata,
     full_overwrite_sink,
     ingest_all,
@@ -40,7 +42,6 @@ from tallylake.sources.lake import (
     log_record_sink,
     partition_overwrite_sink,
     side_by_side,
-    tenant_parquet_scan,
 )
 from tallylake.specs import FOREIGN_KEYS, INVALID_RATE_LIMIT, spec
 
@@ -61,11 +62,11 @@ class Run:
     tenant_id: str | None = None
     invalid_rate_limit: float = INVALID_RATE_LIMIT
     rebalance: bool = True
+    buckets: int = 8  # parts of a silver table per tenant, of some hundred MB each; a change rewrites the table
 
     def path(self, layer: str, dataset: str) -> str:
         return f"{self.root}/{layer}/{dataset}"
 
-
     @property
     def one_tenant(self) -> str | None:
         return None if self.tenant_id in (None, ALL_TENANTS) else self.tenant_id
@@ -74,19 +75,21 @@ class Run:
         return f"{self.root}/work/{self.run_id}/{name}"
 
 
-def run_bronze(spark: SparkSession, run: Run, sources: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+def run_bronze(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """Land every source; partitioned by run too, so a second run of a day adds to the first instead of replacing it.
 
-    A run for one tenant lands that tenant's records only and stamps them with its name.
+    A source may be of all tenants or, named (dataset, tenant), of one. A run for one tenant lands that tenant's records only; records of
+    a known tenant are stamped with its name.
     """
     systems = {name: system for name, (system, _) in sources.items()}
 
-    def write(name: str, df: DataFrame) -> None:
-        if run.one_tenant and "tenant_id" in df.columns:
-            df = df.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") == run.one_tenant))
-        tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp, run.one_tenant)
+    def write(name: SourceName, df: DataFrame) -> None:
+        dataset, tenant = (name, run.one_tenant) if isinstance(name, str) else name
+        if tenant and "tenant_id" in df.columns:
+            df = df.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") == tenant))
+        tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp, tenant)
         tagged = tagged.withColumn("run", F.lit(run.run_id))
-        partition_overwrite_sink(tagged, run.path("bronze", name), ("tenant_id", "ingestion_date", "run"))
+        partition_overwrite_sink(tagged, run.path("bronze", dataset), ("tenant_id", "ingestion_date", "run"))
 
     return ingest_all(spark, sources, write)
 
@@ -99,72 +102,61 @@ def bronze_schema(dataset: str) -> T.StructType:
     return T.StructType(fields + [T.StructField(c, T.StringType()) for c in ("ingestion_date", "run") if c not in spec(dataset).schema.fieldNames()])
 
 
-def bronze_rows(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
-    """Everything landed so far for a dataset; silver keeps the latest row per key."""
+def bronze_rows(spark: SparkSession, run: Run, dataset: str, after: str | None = None) -> DataFrame:
+    """What was landed for a dataset by the runs after ``after``, or by all; the run is a partition, so older ones are not opened.
+
+    A column has to come in one type from all sources of a dataset.
+    """
     name = "sales" if dataset == "sales_items" else dataset
-    rows = tenant_parquet_scan(spark, run.path("bronze", name), run.tenant_id, bronze_schema(name))
+    rows = lake_table(spark, run.path("bronze", name), bronze_schema(name))
+    rows = rows if after is None else rows.filter(F.col("run") > after)
     if dataset == "sales_items":
         return explode_order_items(rows)
     return orders_without_items(rows) if dataset == "sales" else rows
 
 
-def silver_rows(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
-    """The checked rows of a dataset as they are written: good and quarantined side by side."""
-    checked = silver_checked(bronze_rows(spark, run, dataset), dataset, "source_copies")
-    bad = F.size("validation_errors") > 0
-    return checked.withColumns({
-        "quality": F.when(bad, "quarantined").otherwise("valid"),
-        "validation_error": F.when(bad, F.array_join("validation_errors", "; ")),
-        "validation_timestamp": F.when(bad, F.lit(run.stamp)),
-        "processing_date": F.lit(run.business_date),
-        "run": F.lit(run.run_id),
-    }).drop("validation_errors")
-
-
-def _silver_path(run: Run, dataset: str) -> str:
-    """The folder a run owns: all of its run partition, or its tenant's part of that."""
-    own = f"{run.path('silver', dataset)}/run={run.run_id}"
-    return f"{own}/tenant_id={run.one_tenant}" if run.one_tenant else own
+def snapshots(run: Run, dataset: str) -> Snapshots:
+    return Snapshots(run.path("silver", dataset), spec(dataset), run.buckets)
 
 
 def silver_written(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
-    """What this run wrote, never what other runs or dates did."""
-    empty = silver_rows(spark, run, dataset).schema
-    rows = tenant_parquet_scan(spark, run.path("silver", dataset), run.tenant_id, empty)
-    return rows.filter(F.col("run") == run.run_id)
+    """The silver table as of this run: good and quarantined rows side by side."""
+    rows = snapshots(run, dataset).read(spark, run.run_id).drop(LOST)
+    rows = rows.filter(F.col("tenant_id") == run.one_tenant) if run.one_tenant else rows
+    return rows.withColumns({
+        "validation_timestamp": F.when(F.col("quality") == "quarantined", F.lit(run.stamp)), "processing_date": F.lit(run.business_date)})
 
 
 def silver_table(spark: SparkSession, run: Run, dataset: str, quality: str = "valid") -> DataFrame:
-    """Valid (or quarantined) rows of this run."""
+    """Valid (or quarantined) rows of the silver table as of this run."""
     rows = silver_written(spark, run, dataset).filter(F.col("quality") == quality)
-    return rows.drop("run", "quality", "source_copies", *(["validation_error", "validation_timestamp"] if quality == "valid" else []))
+    return rows.drop("quality", "source_copies", *(["validation_error", "validation_timestamp"] if quality == "valid" else []))
 
 
 def run_silver(spark: SparkSession, run: Run, tenants: DataFrame) -> DataFrame:
-    """Check every dataset and write good and quarantined rows side by side, then measure what was written.
+    """Bring every dataset's snapshot up to this run, then measure what stands there.
 
-    One write per dataset serves both outputs, so the check (with its shuffle) runs once and nothing has to be cached. The write
-    replaces everything an earlier try of the same run left. Rows know how many source rows they stand for, so measuring reads the
-    written table only.
+    Only what was landed since the last snapshot is typed, and only the parts of the snapshot that it touches are ranked, checked and
+    written (``snapshots.py``); good and quarantined rows are written side by side. Rows know how many source rows they stand for, so
+    measuring reads the snapshot only.
     """
-    def check(name: str) -> None:
-        columns = ("processing_date", "quality") if run.one_tenant else ("tenant_id", "processing_date", "quality")
-        out = silver_rows(spark, run, name).drop("run", *(["tenant_id"] if run.one_tenant else []))
-        out = out.hint("rebalance", *columns) if run.rebalance else out
-        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*columns).parquet(_silver_path(run, name))
+    def bring_up(name: str) -> None:
+        snapshots(run, name).write(
+            spark, run.run_id, lambda after: silver_cast(bronze_rows(spark, run, name, after), name), run.rebalance)
 
-    side_by_side(spark, check, list(SILVER_DATASETS))
-    return reduce(DataFrame.unionByName, [_measure(spark, run, name, tenants) for name in SILVER_DATASETS])
+    side_by_side(spark, bring_up, list(SILVER_DATASETS))
+    written = cache(lambda name: silver_written(spark, run, name))
+    return reduce(DataFrame.unionByName, [_measure(name, written, tenants) for name in SILVER_DATASETS])
 
 
-def _measure(spark: SparkSession, run: Run, name: str, tenants: DataFrame) -> DataFrame:
-    checked = silver_written(spark, run, name).select(
+def _measure(name: str, written: Callable[[str], DataFrame], tenants: DataFrame) -> DataFrame:
+    checked = written(name).select(
         "tenant_id", "source_copies", *[c for c, _, _ in FOREIGN_KEYS.get(name, ())],
         F.when(F.col("quality") == "valid", F.array().cast("array<string>")).otherwise(F.split("validation_error", "; ")).alias("validation_errors"),
     )
     orphans = None
     if name in FOREIGN_KEYS:
-        parents = {p: silver_table(spark, run, p) for _, p, _ in FOREIGN_KEYS[name]}
+        parents = {p: written(p).filter("quality = 'valid'") for _, p, _ in FOREIGN_KEYS[name]}
         orphans = orphan_counts(checked.filter(F.size("validation_errors") == 0), spec(name), parents)
     return quality_metrics(checked, spec(name), orphans, tenants)
 
@@ -174,9 +166,7 @@ def run_gold(spark: SparkSession, run: Run, failed_tenants: DataFrame) -> DataFr
 
     Returns the failure counts per tenant, written once. Unchecked rows only ever exist in the run's work folder.
     """
-    def silver(name: str) -> DataFrame:
-        return without_tenants(silver_table(spark, run, name), failed_tenants)
-
+    silver = cache(lambda name: without_tenants(silver_table(spark, run, name), failed_tenants))
     totals = stored(spark, sales_by_product(silver("sales_items"), silver("sales")), run.work("totals"))
     stamp = (run.pipeline_id, run.run_id, run.stamp)
     pricing = gold_pricing(
@@ -215,76 +205,82 @@ def _tenants(spark: SparkSession, run: Run) -> DataFrame:
     return stored(spark, known.filter(F.col("tenant_id").isNotNull()).distinct(), run.work("tenants"))
 
 
-def run_all(spark: SparkSession, run: Run, sources: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
+def run_all(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """The whole run; returns stage statuses and the overall status per tenant and writes them, with all metrics, as logs.
 
-    A stage that fails becomes FAILED records with its reason, and the status is written all the same. Gold is SKIPPED for tenants that
-    silver stopped. Beside the quality and status logs the run writes its own telemetry: an event per stage and tenant, and every
-    count as a metric row.
+    A stage that fails becomes FAILED records with its reason, and the status is written all the same. A source of one tenant that
+    fails stops that tenant only, one of all tenants stops all; gold is SKIPPED for tenants that bronze or silver stopped. Beside the
+    quality and status logs the run writes its own telemetry (``run_telemetry.py``).
     """
-    logs = f"{run.root}/logs"
-    ingested = stored(spark, run_bronze(spark, run, sources), run.work("ingested"))
-    tenants = _tenants(spark, run)
-    landed = ingested.agg(F.collect_list(F.struct("dataset", "status", F.col("error_message").alias("reason"))).alias("d"))  # one per source
-    statuses = [tenants.crossJoin(landed).select("tenant_id", F.lit("bronze").alias("stage"), F.inline("d"))]
-
-    def all_of(stage: str, status: str, reason: str | None) -> DataFrame:
-        return tenants.select("tenant_id", F.lit(stage).alias("stage"), F.lit("all").alias("dataset"), F.lit(status).alias("status"),
-                              F.lit(reason).cast("string").alias("reason"))
-
-    bronze_failed = not ingested.filter("status <> 'SUCCESS'").isEmpty()
-    metrics, silver_error = (None, None) if bronze_failed else _tried(
-        lambda: stored(spark, run_silver(spark, run, tenants), run.work("quality")))
-    if bronze_failed:
-        statuses += [all_of("silver", "SKIPPED", "bronze failed"), all_of("gold", "SKIPPED", "bronze failed")]
-    elif metrics is None:
-        statuses += [all_of("silver", "FAILED", silver_error), all_of("gold", "SKIPPED", "silver failed")]
-    else:
-        log_record_sink(metrics.withColumns({"run_id": F.lit(run.run_id), "pipeline_id": F.lit(run.pipeline_id)}), logs, "quality")
-        gate = invalid_rate_gate(metrics, run.invalid_rate_limit)
-        statuses.append(gate.select("tenant_id", F.lit("silver").alias("stage"), "dataset", "status", quality_failures(gate).alias("reason")))
-        failed = stored(spark, gate.filter("breached").select("tenant_id").distinct(), run.work("silver_failed"))
-        checks, gold_error = _tried(lambda: run_gold(spark, run, failed))
-        passed = without_tenants(tenants, failed)
-        skipped = failed.select("tenant_id", F.lit("SKIPPED").alias("status"), F.lit("silver failed").alias("reason"))
-        if checks is None:
-            judged = passed.select("tenant_id", F.lit("FAILED").alias("status"), F.lit(gold_error).alias("reason"))
+    logs, clock = f"{run.root}/logs", Clock(run.stamp)
+    with clock.stage("bronze"):
+        ingested = stored(spark, run_bronze(spark, run, sources), run.work("ingested"))
+        tenants = _tenants(spark, run)
+        # a few rows per source
+        landed = stored(spark, tenants.crossJoin(ingested.withColumnRenamed("tenant_id", "_source_tenant")).filter(
+            "_source_tenant IS NULL OR _source_tenant = tenant_id").drop("_source_tenant"), run.work("landed"))
+    statuses = [landed.select("tenant_id", F.lit("bronze").alias("stage"), "dataset", "status", F.col("error_message").alias("reason"))]
+    no_bronze = stored(spark, landed.filter("status <> 'SUCCESS'").select("tenant_id").distinct(), run.work("bronze_failed"))
+    going = stored(spark, without_tenants(tenants, no_bronze), run.work("going"))
+
+    def all_of(which: DataFrame, stage: str, status: str, reason: str | None) -> DataFrame:
+        return which.select("tenant_id", F.lit(stage).alias("stage"), F.lit("all").alias("dataset"), F.lit(status).alias("status"),
+                            F.lit(reason).cast("string").alias("reason"))
+
+    statuses += [all_of(no_bronze, stage, "SKIPPED", "bronze failed") for stage in ("silver", "gold")]
+    metrics, checks, silver_error, gold_error = None, None, None, None
+    if not going.isEmpty():
+        with clock.stage("silver"):
+            metrics, silver_error = _tried(lambda: stored(spark, run_silver(spark, run, tenants), run.work("quality")))
+        if metrics is None:
+            statuses += [all_of(going, "silver", "FAILED", silver_error), all_of(going, "gold", "SKIPPED", "silver failed")]
         else:
-            reasons = failing(checks).select("tenant_id", F.array_join(gold_failures(), "; ").alias("reason"))
-            judged = passed.join(reasons, "tenant_id", "left").select(
-                "tenant_id", F.when(F.col("reason").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), "reason")
-        statuses.append(judged.unionByName(skipped).select("tenant_id", F.lit("gold").alias("stage"), F.lit("all").alias("dataset"), "status", "reason"))
+            log_record_sink(metrics.withColumns({"run_id": F.lit(run.run_id), "pipeline_id": F.lit(run.pipeline_id)}), logs, "quality")
+            gate = without_tenants(invalid_rate_gate(metrics, run.invalid_rate_limit), no_bronze)
+            statuses.append(gate.select("tenant_id", F.lit("silver").alias("stage"), "dataset", "status", quality_failures(gate).alias("reason")))
+            failed = stored(spark, gate.filter("breached").select("tenant_id").distinct(), run.work("silver_failed"))
+            stopped = stored(spark, failed.unionByName(no_bronze).distinct(), run.work("stopped"))
+            with clock.stage("gold"):
+                checks, gold_error = _tried(lambda: run_gold(spark, run, stopped))
+            passed = without_tenants(tenants, stopped)
+            skipped = failed.select("tenant_id", F.lit("SKIPPED").alias("status"), F.lit("silver failed").alias("reason"))
+            if checks is None:
+                judged = passed.select("tenant_id", F.lit("FAILED").alias("status"), F.lit(gold_error).alias("reason"))
+            else:
+                reasons = failing(checks).select("tenant_id", F.array_join(gold_failures(), "; ").alias("reason"))
+                judged = passed.join(reasons, "tenant_id", "left").select(
+                    "tenant_id", F.when(F.col("reason").isNull(), "SUCCESS").otherwise("FAILED").alias("status"), "reason")
+            statuses.append(judged.unionByName(skipped).select("tenant_id", F.lit("gold").alias("stage"), F.lit("all").alias("dataset"), "status", "reason"))
 
     records = stored(spark, reduce(DataFrame.unionByName, statuses).withColumn("run_id", F.lit(run.run_id)), run.work("statuses"))
     reasons = records.filter("reason IS NOT NULL AND status = 'FAILED'").groupBy("run_id", "tenant_id").agg(*[
         F.sort_array(F.collect_set(F.when(F.col("stage") == s, F.col("reason")))).alias(f"{s}_failures") for s in ("bronze", "silver", "gold")
     ])  # a few per dataset
     empty = F.array().cast("array<string>")
-    status = stage_rollup(records).join(reasons, ["run_id", "tenant_id"], "left").withColumns({
+    status = stored(spark, stage_rollup(records).join(reasons, ["run_id", "tenant_id"], "left").withColumns({
         **{f"{s}_failures": F.coalesce(f"{s}_failures", empty) for s in ("bronze", "silver", "gold")},
-        "pipeline_id": F.lit(run.pipeline_id), "written_at": F.lit(run.stamp)})
+        "pipeline_id": F.lit(run.pipeline_id), "written_at": F.lit(run.stamp)}), run.work("status"))
     log_record_sink(status, logs, "status")
-    _write_telemetry(run, records, metrics, status)
+    clock.stop()
+    bronze = [bronze_rows_by_tenant(spark, run, n) for n in BRONZE_DATASETS]
+    gold = [gold_rows_by_tenant(spark, run, n) for n in ("pricing", "product_sales")] if checks is not None else []
+    tags = {"pipeline_id": F.lit(run.pipeline_id), "run_id": F.lit(run.run_id)}
+    events = run_events(records, status, clock, silver_error, gold_error).withColumns(tags)
+    measured = run_metrics(landed, reduce(DataFrame.unionByName, bronze), metrics, checks, reduce(DataFrame.unionByName, gold) if gold else None, status, clock)
+    partition_overwrite_sink(events, f"{run.root}/telemetry/events", ("run_id", "tenant_id"))
+    partition_overwrite_sink(measured.withColumns(tags), f"{run.root}/telemetry/metrics", ("run_id", "tenant_id"))
     # the tenants' columns are declared, so text stays text
     return spark.read.schema(status.schema).json(f"{logs}/status").filter(F.col("run_id") == run.run_id)
 
 
-MEASURED = ("input_record_count", "valid_record_count", "invalid_record_count", "duplicate_record_count")
+def bronze_rows_by_tenant(spark: SparkSession, run: Run, dataset: str) -> DataFrame:
+    """(dataset, tenant_id, n) of what this run landed; of its files only the row counts are read."""
+    rows = lake_table(spark, run.path("bronze", dataset), bronze_schema(dataset)).filter(F.col("run") == run.run_id)
+    return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(dataset).alias("dataset"), "tenant_id", "n")
 
 
-def _write_telemetry(run: Run, records: DataFrame, metrics: DataFrame | None, status: DataFrame) -> None:
-    """Events (stage results, end of the run) and metrics (all counts) of this run, as two tables that the telemetry operators read."""
-    tags = {"ts": F.lit(run.stamp).cast("timestamp"), "pipeline_id": F.lit(run.pipeline_id), "run_id": F.lit(run.run_id)}
-    stages = records.select(
-        "tenant_id", "stage", "dataset", "status", F.coalesce("reason", F.lit("")).alias("message"),
-        F.concat(F.upper("stage"), F.when(F.col("status") == "FAILED", "_FAILURE").when(F.col("status") == "SKIPPED", "_SKIPPED").otherwise("_END")).alias("event_type"))
-    end = status.select(
-        "tenant_id", F.lit("pipeline").alias("stage"), F.lit("all").alias("dataset"), F.col("overall_status").alias("status"), F.lit("").alias("message"),
-        F.when(F.col("overall_status") == "SUCCESS", "PIPELINE_END").otherwise("PIPELINE_FAILURE").alias("event_type"))
-    events = stages.unionByName(end).withColumns(tags)
-    events = events.withColumn("event_id", F.xxhash64("run_id", "tenant_id", "stage", "dataset"))
-    partition_overwrite_sink(events, f"{run.root}/telemetry/events", ("run_id", "tenant_id"))
-    if metrics is not None:
-        rows = metrics_from_logs(metrics.withColumn("stage", F.lit("silver")), ["tenant_id", "dataset", "stage"], list(MEASURED)).withColumns(tags)
-        rows = rows.withColumn("name", F.concat(F.lit("silver_"), F.replace(F.col("name"), F.lit("_record_count"), F.lit("_records"))))
-        partition_overwrite_sink(rows, f"{run.root}/telemetry/metrics", ("run_id", "tenant_id"))
+def gold_rows_by_tenant(spark: SparkSession, run: Run, table: str) -> DataFrame:
+    """(dataset, tenant_id, n) of what this run published."""
+    none = T.StructType([T.StructField(c, T.StringType()) for c in ("tenant_id", "business_date", "run_id")])
+    rows = lake_table(spark, run.path("gold", table), none).filter((F.col("business_date") == run.business_date) & (F.col("run_id") == run.run_id))
+    return rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("dataset"), "tenant_id", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -40,7 +41,7 @@ TEXT_PARTITIONS = ("tenant_id", "ingestion_date", "processing_date", "business_d
 
 
 def lake_table(spark: SparkSession, path: str, empty: T.StructType | None = None) -> DataFrame:
-    """A lake table by a declared schema, so that partition values like ``007`` stay text in any session.
+    """A lake table with text partitions declared, so that values like ``007`` stay text in any session.
 
     ``empty`` is the schema of a table that may not have been written yet or holds no files: it then has no rows.
     """
@@ -81,8 +82,9 @@ def full_overwrite_sink(df: DataFrame, path: str) -> None:
 
 
 def log_record_sink(records: DataFrame, path: str, log_type: str) -> None:
-    """Log records as JSON below ``<path>/<log_type>/tenant_id=/run_id=``."""
-    records.write.mode("append").partitionBy("tenant_id", "run_id").json(f"{path}/{log_type}")
+    """Log records as JSON below ``<path>/<log_type>/tenant_id=/run_id=``; a run that is tried again replaces its records."""
+    rows = records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("tenant_id", "run_id").json(f"{path}/{log_type}")
 
 
 def latest_run_status(records: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -132,29 +134,35 @@ def derive_promotion_links(raw_links: DataFrame, products: DataFrame, promotions
 
 
 INGEST_STATUS = T.StructType([
-    T.StructField("dataset", T.StringType()), T.StructField("source_system", T.StringType()),
+    T.StructField("dataset", T.StringType()), T.StructField("tenant_id", T.StringType()), T.StructField("source_system", T.StringType()),
     T.StructField("records_received", T.LongType()), T.StructField("records_written", T.LongType()),
-    T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("error_message", T.StringType()), T.StructField("duration_seconds", T.DoubleType()),
 ])
 
+#: A dataset, or a dataset of one tenant.
+SourceName = str | tuple[str, str]
+
 
 def ingest_all(
-    spark: SparkSession, sources: dict[str, tuple[str, Callable[[], DataFrame]]], write: Callable[[str, DataFrame], None]
+    spark: SparkSession, sources: dict[SourceName, tuple[str, Callable[[], DataFrame]]], write: Callable[[SourceName, DataFrame], None]
 ) -> DataFrame:
     """Ingest every dataset; one that fails is reported and does not stop the others.
 
-    ``sources`` maps a dataset to its source system and a reader. Rows are counted while they are written, not again, and
-    a few datasets are written at a time, so that the tail of one does not leave the cluster idle.
+    ``sources`` maps a dataset, or (dataset, tenant) where tenants have sources of their own, to its source system and a reader. Rows are
+    counted while they are written, not again, and a few datasets are written at a time, so that the tail of one does not leave the
+    cluster idle.
     """
-    def ingest(item: tuple[str, tuple[str, Callable[[], DataFrame]]]) -> tuple:
+    def ingest(item: tuple[SourceName, tuple[str, Callable[[], DataFrame]]]) -> tuple:
         name, (system, read) = item
+        label = (name, None) if isinstance(name, str) else name
+        start = time.perf_counter()
         try:
             seen = Observation()
             write(name, read().observe(seen, F.count(F.lit(1)).alias("rows")))
             rows = seen.get["rows"]
-            return name, system, rows, rows, "SUCCESS", None
+            return *label, system, rows, rows, "SUCCESS", None, time.perf_counter() - start
         except Exception as error:  # noqa: BLE001 - reported in the status table
-            return name, system, 0, 0, "FAILED", str(error).split("\n")[0]
+            return *label, system, 0, 0, "FAILED", str(error).split("\n")[0], time.perf_counter() - start
 
     return spark.createDataFrame(side_by_side(spark, ingest, list(sources.items())), INGEST_STATUS)
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallylake.operators import retail
+from tallylake.operators import telemetry as tel
 from tallylake.operators.cleanse import dedup_latest
 from tallylake.plans import medallion
 from tallylake.sources import lake, views
@@ -123,7 +124,7 @@ def test_tenants_that_look_like_numbers(spark, sf, tmp_path):
     run = make(str(tmp_path / "lake"), 11)
     status = medallion.run_all(spark, run, numbered_tenants(spark, sf)).collect()
     assert {(r.tenant_id, r.overall_status) for r in status} == {("007", "SUCCESS"), ("010", "SUCCESS")}
-    assert medallion.tenant_parquet_scan(spark, run.path("gold", "pricing"), "007").count() > 0
+    assert lake.tenant_parquet_scan(spark, run.path("gold", "pricing"), "007").count() > 0
     events = lake.lake_table(spark, f"{run.root}/telemetry/events")
     ends = {(r.tenant_id, r.status) for r in events.where("event_type = 'PIPELINE_END'").collect()}
     assert ends == {("007", "SUCCESS"), ("010", "SUCCESS")}
@@ -174,3 +175,117 @@ def test_a_retried_run_leaves_nothing_of_the_first_try(spark, sf, tmp_path):
     assert medallion.silver_table(spark, run, "stores", "quarantined").count() == 0
     measured = spark.read.parquet(run.work("quality")).where("dataset = 'stores'").collect()
     assert measured and all(r.duplicate_record_count >= 0 and r.invalid_record_count == 0 for r in measured)
+
+
+def raw_products(spark, sf, **changes):
+    rows = views.raw_products(spark, sf).drop("pipeline_id", "run_id", "source_system", "ingestion_timestamp")
+    return rows.withColumns({name: F.lit(value).cast(rows.schema[name].dataType) for name, value in changes.items()})
+
+
+def bring_up(spark, run, rows=None):
+    """Land products and bring their snapshot up to the run."""
+    if rows is not None:
+        assert medallion.run_bronze(spark, run, {"products": ("s", lambda: rows)}).first().status == "SUCCESS"
+    table = medallion.snapshots(run, "products")
+    table.write(spark, run.run_id, cast_rows(spark, run))
+    return table
+
+
+def cast_rows(spark, run):
+    return lambda after: medallion.silver_cast(medallion.bronze_rows(spark, run, "products", after), "products")
+
+
+def as_sets(frame):
+    return sorted(str(r) for r in frame.collect())
+
+
+def test_incremental_silver_equals_ranking_all_that_was_landed(spark, sf, tmp_path):
+    runs = [make(str(tmp_path / "lake"), n) for n in (21, 22, 23)]
+    bring_up(spark, runs[0], raw_products(spark, sf))
+    changed = raw_products(spark, sf, updated_at="2024-06-01T00:00:00Z", unit_price="77.5").where("pmod(hash(product_id), 40) = 0")
+    new = raw_products(spark, sf, unit_price="-1").where("pmod(hash(product_id), 97) = 1").withColumn("product_id", F.concat(F.lit("new-"), "product_id"))
+    older = raw_products(spark, sf, updated_at="2001-01-01T00:00:00Z", unit_price="1").where("pmod(hash(product_id), 30) = 3")
+    table = bring_up(spark, runs[1], changed.unionByName(changed.where("pmod(hash(sku), 2) = 0")).unionByName(new).unionByName(older))
+    for run in (runs[1], runs[2]):
+        if run is runs[2]:  # nothing was landed
+            bring_up(spark, run)
+        whole = table.merged(spark, None, cast_rows(spark, run))
+        got = table.read(spark, run.run_id)
+        assert as_sets(got.select(*whole.columns)) == as_sets(whole)
+        assert got.where("product_id LIKE 'new-%' AND quality = 'quarantined'").count() == new.count() > 0
+    assert medallion.silver_written(spark, runs[0], "products").where("product_id LIKE 'new-%'").isEmpty()
+
+
+def test_an_increment_reads_its_own_bronze_and_touched_parts_only(spark, sf, tmp_path):
+    first, second = make(str(tmp_path / "lake"), 23), make(str(tmp_path / "lake"), 24)
+    bring_up(spark, first, raw_products(spark, sf))
+    one = raw_products(spark, sf).where("tenant_id = 'tenant_002'").orderBy("product_id").limit(1)
+    medallion.run_bronze(spark, second, {"products": ("s", lambda: one)})
+    table = medallion.snapshots(second, "products")
+    landed = cast_rows(spark, second)(table.base(spark, second.run_id))
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan and f"> {first.run_id}" in plan
+    merged = table.merged(spark, first.run_id, cast_rows(spark, second))
+    parts = {"/".join(f.split("/")[-4:-1]) for f in merged.inputFiles() if "/silver/" in f}
+    assert len(parts) == 1 and next(iter(parts)).startswith(f"version={first.run_id}/tenant_id=tenant_002/bucket=")
+    bring_up(spark, second)
+    units = table._manifest(spark, second.run_id).collect()
+    assert sum(u.folder.startswith(f"version={second.run_id}/") for u in units) == 1 and len(units) == table._manifest(spark, first.run_id).count()
+
+
+def test_runs_that_failed_or_are_tried_again(spark, sf, tmp_path):
+    runs = [make(str(tmp_path / "lake"), n) for n in (31, 32, 33)]
+    bring_up(spark, runs[0], raw_products(spark, sf))
+    change = raw_products(spark, sf, unit_price="5", updated_at="2024-05-05T00:00:00Z").where("tenant_id = 'tenant_001'")
+    medallion.run_bronze(spark, runs[1], {"products": ("s", lambda: change)})  # and nothing after it
+    other = raw_products(spark, sf, unit_price="6", updated_at="2024-05-06T00:00:00Z").where("tenant_id = 'tenant_003'")
+    table = bring_up(spark, runs[2], other)
+    want = as_sets(table.read(spark, runs[2].run_id))
+    prices = medallion.silver_table(spark, runs[2], "products").select("tenant_id", F.col("unit_price").cast("double").alias("p")).where("tenant_id <> 'tenant_002'")
+    assert {tuple(r) for r in prices.distinct().collect()} == {("tenant_001", 5.0), ("tenant_003", 6.0)}
+    assert table.base(spark, runs[0].run_id) is None and table.base(spark, runs[2].run_id) == runs[0].run_id
+    bring_up(spark, runs[2], other)
+    assert as_sets(table.read(spark, runs[2].run_id)) == want
+
+
+def test_logs_of_a_run_tried_again_are_replaced(spark, tmp_path):
+    records = spark.createDataFrame([("t", "r1", "FAILED"), ("u", "r1", "FAILED"), ("t", "r0", "SUCCESS")], "tenant_id string, run_id string, status string")
+    lake.log_record_sink(records, str(tmp_path), "status")
+    lake.log_record_sink(records.where("run_id = 'r1'").withColumn("status", F.lit("SUCCESS")), str(tmp_path), "status")
+    assert sorted((r.tenant_id, r.run_id, r.status) for r in spark.read.json(f"{tmp_path}/status").collect()) == [
+        ("t", "r0", "SUCCESS"), ("t", "r1", "SUCCESS"), ("u", "r1", "SUCCESS")]
+
+
+def test_one_tenants_failing_source_and_the_telemetry_of_the_run(spark, sf, tmp_path):
+    run = make(str(tmp_path / "lake"), 42)
+    sources = {**sources_of(spark, sf), ("stores", "tenant_002"): ("s", lambda: spark.read.parquet(str(tmp_path / "nowhere")))}
+    status = medallion.run_all(spark, run, sources)
+    got = {r.tenant_id: (r.bronze_status, r.silver_status, r.gold_status) for r in status.collect()}
+    assert got == {"tenant_001": ("SUCCESS",) * 3, "tenant_002": ("FAILED", "SKIPPED", "SKIPPED"), "tenant_003": ("SUCCESS",) * 3}
+    published = lake.lake_table(spark, run.path("gold", "pricing")).select("tenant_id").distinct().collect()
+    assert {r.tenant_id for r in published} == {"tenant_001", "tenant_003"}
+    events, metrics = (lake.lake_table(spark, f"{run.root}/telemetry/{n}") for n in ("events", "metrics"))
+    now = "2024-01-25 06:30:00"
+    assert {r.kind: r.arrived > 0 for r in tel.telemetry_arrival(events, metrics, "tallylake", "p", now).collect()} == {"events": True, "metrics": True}
+    assert {r.tenant_id: r.latest_status for r in tel.latest_status_by_run(events, now).collect()} == {"tenant_001": "SUCCESS", "tenant_002": "FAILED", "tenant_003": "SUCCESS"}
+    kinds = {r.event_type: r.n_events for r in tel.events_by_type(events, now).collect()}
+    assert kinds["PIPELINE_START"] == 3 and kinds["PIPELINE_END"] == 2 and kinds["PIPELINE_FAILURE"] == kinds["API_FAILURE"] == kinds["BRONZE_FAILURE"] == 1
+    landed = {n: medallion.bronze_rows(spark, run, n).count() for n in medallion.BRONZE_DATASETS}
+    per_dataset = {}
+    for r in tel.bronze_throughput_ts(metrics, now).collect():
+        per_dataset[r.dataset] = per_dataset.get(r.dataset, 0) + int(r.bronze_records_written)
+    assert {n: per_dataset.get(n, 0) for n in landed} == landed
+    assert sum(r.silver_input_records for r in tel.silver_quality_facets(metrics, now).collect()) > 0
+    assert {r.tenant_id for r in tel.gold_health(metrics, now).where("gold_output_records > 0").collect()} == {"tenant_001", "tenant_003"}
+    assert tel.latency_ts(metrics, now).where("avg_duration > 0").count() >= 3
+    assert [(r.tenant_id, r.dataset, int(r.api_error_count), r.api_failure_events) for r in tel.api_errors(metrics, events, now).collect()] == [("tenant_002", "stores", 1, 1)]
+    timeline = tel.run_timeline(events, now).collect()
+    assert {r.level for r in timeline} == {"INFO", "ERROR", "WARN"} and timeline[0].run_id == run.run_id
+    assert tel.latest_failing_run(events, now).first().run_id == run.run_id
+    assert tel.run_impact(metrics, now).count() > 0
+    done = tel.records_processed(metrics, now).first()
+    assert done.bronze_records_written == sum(landed.values()) and done.silver_valid_records > 0 and done.gold_output_records > 0
+    overview = tel.run_overview(events, metrics, now).first()
+    assert (overview.total_runs, overview.success_runs, overview.failed_runs) == (3, 2, 1) and overview.avg_duration > 0
+    assert {"pipeline_failure", "api_errors"} <= {r.alert for r in tel.alert_conditions(events, metrics).collect()}
+    assert {r.check: r.state for r in tel.monitoring_checks(events, metrics, "tallylake", "p", "tenant_001", now).collect()}["metrics_arriving"] == "OK"
