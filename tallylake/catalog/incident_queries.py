@@ -13,6 +13,7 @@ from tallylake.operators import incidents as inc
 from tallylake.operators import similarity as sim
 from tallylake.session import shared_dir
 from tallylake.sources import views
+from tallylake.sources.keyed import KeyedTable, merge_both
 
 from tallylake.streaming import jobs
 
@@ -453,6 +454,56 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return inc.apply_status_changes(views.incidents(spark, d), views.status_changes(spark, d))
 
 
+_RESULTS = """(SELECT incident_id, bool_or(outcome <> 'FAILED' AND validated_resolved) AS gone, arg_max(outcome, (changed_at, event_id)) AS o,
+      arg_max(result, (changed_at, event_id)) AS r FROM v_agent_results SEMI JOIN v_incidents USING (incident_id) GROUP BY 1)"""
+_DIAGNOSES = """(SELECT incident_id, arg_max(diagnosis, (changed_at, event_id)) AS g FROM v_status_changes SEMI JOIN v_incidents USING (incident_id)
+      WHERE diagnosis IS NOT NULL GROUP BY 1)"""
+
+
+def payload_fields(payloads: DataFrame) -> DataFrame:
+    """What a payload says, apart from the order of its JSON keys."""
+    return payloads.select(
+        "incident_id", F.get_json_object("failure_payload", "$.outcome").alias("outcome"),
+        F.coalesce(F.get_json_object("failure_payload", "$.diagnosis.root_cause"), F.get_json_object("failure_payload", "$.diagnosis")).alias("diagnosis"),
+        F.get_json_object("agent_result_payload", "$.outcome").alias("agent_outcome"), F.get_json_object("agent_result_payload", "$.result").alias("agent_result"))
+
+
+@query("agent_result_payloads", "I3", f"""
+    SELECT incident_id, outcome, CASE WHEN p.user_id IS NOT NULL THEN ' cause ' || user_id || ' ' END AS diagnosis, o AS agent_outcome, r AS agent_result
+    FROM v_payloads p FULL JOIN {_RESULTS} USING (incident_id) WHERE NOT coalesce(gone, false)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return payload_fields(inc.payloads_after_results(views.incident_payloads(spark, d), views.incidents(spark, d), views.agent_results(spark, d)))
+
+
+@query("diagnosis_payloads", "I4", f"""
+    SELECT incident_id, outcome, coalesce(g, CASE WHEN p.user_id IS NOT NULL THEN ' cause ' || user_id || ' ' END) AS diagnosis,
+      CAST(NULL AS VARCHAR) AS agent_outcome, CAST(NULL AS VARCHAR) AS agent_result
+    FROM v_payloads p FULL JOIN {_DIAGNOSES} USING (incident_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return payload_fields(inc.payloads_after_status(views.incident_payloads(spark, d), views.incidents(spark, d), views.status_changes(spark, d)))
+
+
+@query("bucketed_incident_merge", "I3 I4", f"""
+    SELECT i.incident_id, i.tenant_id, coalesce(s, CASE WHEN o = 'FAILED' THEN 'ESCALATED' WHEN o IS NOT NULL THEN 'VALIDATING' ELSE status END) AS status,
+      coalesce(last_change, last_result, i.updated_at) AS updated_at, outcome,
+      coalesce(g, CASE WHEN p.user_id IS NOT NULL THEN ' cause ' || p.user_id || ' ' END) AS diagnosis, o AS agent_outcome, r AS agent_result
+    FROM v_incidents i LEFT JOIN (SELECT incident_id, max(changed_at) AS last_result FROM v_agent_results GROUP BY 1) USING (incident_id)
+    LEFT JOIN {_RESULTS} USING (incident_id) LEFT JOIN (SELECT incident_id, arg_max(status, (changed_at, event_id)) AS s, max(changed_at) AS last_change
+      FROM v_status_changes GROUP BY 1) USING (incident_id)
+    LEFT JOIN {_DIAGNOSES} USING (incident_id) LEFT JOIN v_payloads p USING (incident_id) WHERE NOT coalesce(gone, false)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Agent results and then status changes as two change sets on bucketed incident and payload tables."""
+    base, payloads = views.incidents(spark, d), views.incident_payloads(spark, d)
+    root = shared_dir(spark, "incidents")
+    rows = KeyedTable(f"{root}/incidents", base.schema, "incident_id").create(base)
+    texts = KeyedTable(f"{root}/payloads", payloads.schema, "incident_id").create(payloads)
+    results, changes = views.agent_results(spark, d), views.status_changes(spark, d)
+    rows, texts = merge_both(rows, texts, results, lambda i, p: inc.apply_agent_results(i, results), lambda i, p: inc.payloads_after_results(p, i, results))
+    rows, texts = merge_both(rows, texts, changes, lambda i, p: inc.apply_status_changes(i, changes), lambda i, p: inc.payloads_after_status(p, i, changes))
+    return rows.read(spark).select("incident_id", "tenant_id", "status", "updated_at").join(
+        payload_fields(texts.read(spark)), "incident_id", "left")
+
+
 @query("apply_plan_decisions", "I5", """
     SELECT p.* REPLACE (CASE WHEN approved THEN 'APPROVED' WHEN NOT approved THEN 'REJECTED' ELSE approval_status END AS approval_status),
       decided_by AS approved_by, decided_at AS approved_at

@@ -383,16 +383,43 @@ def incidents_from_runs(base: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
+def json_with(payload: Column, key: str, value: Column) -> Column:
+    """JSON object text with one key at its top replaced or added; text that is no object counts as an empty one."""
+    fields = F.coalesce(F.try_parse_json(payload).try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    others = F.map_filter(fields, lambda name, _: name != key)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), value.cast("variant"))))
+
+
+def _last_results(results: DataFrame) -> DataFrame:
+    deletes = (F.col("outcome") != "FAILED") & F.coalesce("validated_resolved", F.lit(False))
+    return results.groupBy("incident_id").agg(
+        F.bool_or(deletes).alias("_deleted"), _last("outcome").alias("_outcome"), _last("result").alias("_result"), F.max("changed_at").alias("_last_at"))
+
+
+def payloads_after_results(payloads: DataFrame, base: DataFrame, results: DataFrame) -> DataFrame:
+    """Payloads after agent results: those of validated successes leave the table with their incidents, others keep the last result.
+    An incident without a payload gets one; results of unknown incidents have no effect."""
+    change = _last_results(results).join(base.select("incident_id"), "incident_id", "left_semi")
+    joined = payloads.join(change, "incident_id", "full").filter(~F.coalesce("_deleted", F.lit(False)))
+    result = F.to_json(F.struct(F.col("_outcome").alias("outcome"), F.col("_result").alias("result")))
+    return joined.select(
+        "incident_id", F.coalesce("failure_payload", F.lit("{}")).alias("failure_payload"),
+        F.when(F.col("_last_at").isNotNull(), result).otherwise(F.coalesce("agent_result_payload", F.lit("{}"))).alias("agent_result_payload"))
+
+
+def payloads_after_status(payloads: DataFrame, base: DataFrame, changes: DataFrame) -> DataFrame:
+    """Payloads after status changes: the last diagnosis given becomes part of the incident's failure payload."""
+    given = changes.groupBy("incident_id").agg(_last_visible("diagnosis").alias("_diagnosis")).filter("_diagnosis IS NOT NULL")
+    joined = payloads.join(given.join(base.select("incident_id"), "incident_id", "left_semi"), "incident_id", "full")
+    failure = F.coalesce("failure_payload", F.lit("{}"))
+    return joined.select(
+        "incident_id", F.when(F.col("_diagnosis").isNotNull(), json_with(failure, "diagnosis", F.col("_diagnosis"))).otherwise(failure).alias("failure_payload"),
+        F.coalesce("agent_result_payload", F.lit("{}")).alias("agent_result_payload"))
+
+
 def apply_agent_results(base: DataFrame, results: DataFrame) -> DataFrame:
     """Incidents after agent results: validated successes leave the table, failures escalate, other successes wait for validation."""
-    deletes = (F.col("outcome") != "FAILED") & F.coalesce("validated_resolved", F.lit(False))
-    last = results.groupBy("incident_id").agg(
-        F.bool_or(deletes).alias("_deleted"),
-        _last("outcome").alias("_outcome"),
-        _last("result").alias("_result"),
-        F.max("changed_at").alias("_last_at"),
-    )
-    joined = base.join(last, "incident_id", "left").filter(~F.coalesce("_deleted", F.lit(False)))
+    joined = base.join(_last_results(results), "incident_id", "left").filter(~F.coalesce("_deleted", F.lit(False)))
     changed = F.col("_last_at").isNotNull()
     status = F.when(F.col("_outcome") == "FAILED", "ESCALATED").when(changed, "VALIDATING").otherwise(F.col("status"))
     return joined.select(

@@ -40,15 +40,23 @@ def bronze_metadata(
 TEXT_PARTITIONS = ("tenant_id", "ingestion_date", "processing_date", "business_date", "run", "run_id", "quality")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def lake_table(spark: SparkSession, path: str, empty: T.StructType | None = None) -> DataFrame:
     """A lake table with text partitions declared, so that values like ``007`` stay text in any session.
 
     ``empty`` is the schema of a table that may not have been written yet or holds no files: it then has no rows.
     """
+    if empty is not None and not exists(spark, path):
+        return spark.createDataFrame([], empty)
     try:
         found = spark.read.parquet(path).schema
     except AnalysisException as error:
-        if empty is None or error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if empty is None or error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         return spark.createDataFrame([], empty)
     declared = T.StructType([T.StructField(f.name, T.StringType()) if f.name in TEXT_PARTITIONS else f for f in found])

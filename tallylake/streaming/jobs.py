@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallylake.operators.incidents import combine_reduced, merge_reduced_failures, reduce_failures
 from tallylake.operators.telemetry import alerts_of_windows, bucket_edges, combine_edges, event_once, gaps_of_edges, signal_sums, signals, sum_windows
+from tallylake.sources.lake import exists
 
 
 def file_stream(spark: SparkSession, folder: str, name_pattern: str, schema: T.StructType, files_per_batch: int) -> DataFrame:
@@ -65,12 +65,7 @@ def read_batches(spark: SparkSession, target: str, schema: T.StructType) -> Data
 
 
 def _read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    return spark.read.schema(schema).parquet(folder) if exists(spark, folder) else None
 
 
 def compact(spark: SparkSession, target: str, schema: T.StructType, combine: Callable[[DataFrame], DataFrame], upto: int) -> None:
