@@ -11,7 +11,9 @@ Copies and skew: equal sets are one class, linked without a comparison. The rows
 run's first document only, so a key that n documents share costs n rows, not n squared. A link within a run whose ends both
 miss the first one is found afterwards: components are formed, and runs that still hold several are searched again from
 another document (``STARS`` times) and at last between all their different components. No pair of a run is left out unless its
-ends are connected already, so components are exact.
+ends are connected already, so components are exact. Pairs are verified in two rounds, each document's pair with its smallest partner
+first: most others then lie within one component, and their texts need not move. Components are carried on: more links are links of
+components.
 
 Defined cases: a null or empty text, or one without words, has size 0 and links with nothing; a null doc_id links with nothing and
 has a null component; rows that share a doc_id are one document for links (any of their texts counts) and have a result row each;
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.llm.common import cut
-from tallylake.llm.components import components
+from tallylake.llm.components import absorb, components
 from tallylake.llm.shingles import Bands, block_keys, least_level, linked, may_link, mix, shingle_set, sketch
 from tallylake.session import shared_dir
 
@@ -162,19 +164,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         measured.where("kind = 0").select("doc_id", "n_shingles", "sketch").distinct(), ["doc_id", "n_shingles"]).select("doc_id", "n_shingles", "sketch"))
     pairs = _possible(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sketches)
     held = _Texts(texts)
-    links = cut(held.verified(pairs).union(_same_document(of_class)))
+    # each document's pair with the smallest partner first; of the others only those that could join different components
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = components(cut(held.verified(first).union(_same_document(of_class))))
+    labels = _verified_between(labels, pairs.join(first, ["a", "b"], "left_anti"), held)
     large = members.where("key != 0")
     large = cut(large.select("key", "doc_id").union(large.select("key", F.col("leader").alias("doc_id"))).distinct())
     done = pairs
     for turn in range(STARS + 1):
-        open_runs = cut(_open_runs(large, components(links)))
+        open_runs = cut(_open_runs(large, labels))
         if open_runs.isEmpty():
             break
         pairs = _possible(_star(open_runs) if turn < STARS else _across(open_runs, sketches), sketches, done)
         if not pairs.isEmpty():
             done = done.union(pairs)
-            links = cut(links.union(held.verified(pairs)))
-    return _with_components(sizes, of_class, components(links))
+            labels = _verified_between(labels, pairs, held)
+    return _with_components(sizes, of_class, labels)
+
+
+def _verified_between(labels: DataFrame, pairs: DataFrame, held: _Texts) -> DataFrame:
+    """``labels`` after those of ``pairs`` that link; a pair within one component can't change it and isn't compared."""
+    ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
+    apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    apart = cut(apart.select("a", "b"))
+    return labels if apart.isEmpty() else absorb(labels, cut(held.verified(apart)))
 
 
 def _same_document(of_class: DataFrame) -> DataFrame:
