@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's context cleaner remove shuffles and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with room to spare may put off until the disks are full. Called
+    between the steps of jobs with many of them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches handed to Python hold at most 8 MB, however long their texts are (Spark's own limit is 64 MB)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylake.llm.common import cut
+from tallylake.llm.common import cut, release
 from tallylake.llm.components import absorb, components
 from tallylake.llm.shingles import Bands, block_keys, least_level, linked, may_link, mix, shingle_set, sketch
 from tallylake.session import shared_dir
@@ -160,6 +160,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keys = _keys(texts.where("doc_id is not null"), levels, np.sort(often))
     runs = cut(keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInPandas(_runs, "key long, leader long, doc_id long").distinct())
     members = _by_class(runs, of_class)
+    del runs
+    release(spark)
     sketches = cut(of_class.where("doc_id = first").join(
         measured.where("kind = 0").select("doc_id", "n_shingles", "sketch").distinct(), ["doc_id", "n_shingles"]).select("doc_id", "n_shingles", "sketch"))
     pairs = _possible(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sketches)
@@ -168,6 +170,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     labels = components(cut(held.verified(first).union(_same_document(of_class))))
     labels = _verified_between(labels, pairs.join(first, ["a", "b"], "left_anti"), held)
+    release(spark)
     large = members.where("key != 0")
     large = cut(large.select("key", "doc_id").union(large.select("key", F.col("leader").alias("doc_id"))).distinct())
     done = pairs
@@ -179,6 +182,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             done = done.union(pairs)
             labels = _verified_between(labels, pairs, held)
+        release(spark)
     return _with_components(sizes, of_class, labels)
 
 
