@@ -194,7 +194,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
       QUALIFY row_number() OVER (PARTITION BY tenant_id, platform_id ORDER BY created_at DESC, incident_id DESC) <= 5) n USING (tenant_id, platform_id)
     WHERE i.incident_id <> n.incident_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return inc.related_incidents(views.incidents(spark, d))
+    return inc.related_incidents(views.incidents(spark, d), shared_dir(spark, "newest"))
 
 
 @query("chronological", "T5", """

@@ -13,7 +13,7 @@ from tallylake.plans import gold, medallion
 from tallylake.plans.silver import silver_valid
 from tallylake.operators.cleanse import dedup_items, normalize_categoricals
 from tallylake.session import shared_dir
-from tallylake.sources import views
+from tallylake.sources import listing, views
 from tallylake.sources.lake import lake_table, tenant_parquet_scan
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
 from tallylake.specs import KEYS, spec
@@ -328,6 +328,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retail.page(retail.entity_ordering(views.sales(spark, d), "sales"), 5000, 250)
 
 
+@query("deep_page", "T1", f"SELECT {columns_of('sales')} FROM v_sales ORDER BY order_date DESC, tenant_id, order_id LIMIT 1000 OFFSET (SELECT 2 * count(*) // 3 FROM v_sales)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A page two thirds down the list, from the ranges that it covers."""
+    sales, place = views.sales(spark, d), shared_dir(spark, "list")
+    listing.write_list(sales, "sales", place)
+    return listing.read_page(spark, place, "sales", sales.schema, 1000, 2 * sales.count() // 3)
+
+
 @query("page_info", "T1", """
     SELECT count(*) AS total_count, 1000 AS page_limit, 250 AS page_offset, greatest(0, least(1000, count(*) - 250)) AS record_count,
       1250 < count(*) AS has_more FROM v_sales""")
@@ -339,11 +347,11 @@ _ORDERED = [(n, c, "DESC" if w == "desc" else "ASC") for n, (c, w) in retail.ENT
 
 
 @query("entity_orderings", "T2", " UNION ALL ".join(
-    f"(SELECT '{n}' AS entity, tenant_id, {KEYS[n][1]} AS id, {c} AS sorted_by FROM v_{n} ORDER BY {c} {w} NULLS LAST, tenant_id, {KEYS[n][1]} LIMIT 100)"
+    f"(SELECT '{n}' AS entity, tenant_id, {KEYS[n][1]} AS id, {c} AS sorted_by FROM v_{n} ORDER BY {c} {w} NULLS LAST, tenant_id, {KEYS[n][1]})"
     for n, c, w in _ORDERED))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return views.union_all([
-        retail.page(retail.entity_ordering(RETAIL[n](spark, d), n), 100, 0).select(
+        retail.entity_ordering(RETAIL[n](spark, d), n).select(
             F.lit(n).alias("entity"), "tenant_id", F.col(KEYS[n][1]).alias("id"), F.col(c).cast("timestamp_ntz").alias("sorted_by")
         )
         for n, c, _ in _ORDERED

@@ -205,15 +205,19 @@ def recent_incidents(incidents: DataFrame, limit: int = RECENT_LIMIT, offset: in
     return incidents.orderBy(F.col("created_at").desc(), F.col("incident_id").desc()).offset(max(offset, 0)).limit(limit)
 
 
-def related_incidents(incidents: DataFrame, limit: int = RELATED_LIMIT) -> DataFrame:
+def related_incidents(incidents: DataFrame, place: str, limit: int = RELATED_LIMIT) -> DataFrame:
     """For every incident the newest ``limit`` of its scope, itself removed *after* the limit (so 4 or 5 rows).
 
-    The newest rows of all scopes are a table of at most ``limit`` rows per scope; joining it back never pairs up a scope.
+    The newest rows are an array per scope, written to ``place`` first: Spark then knows that they are few and sends them to the
+    incidents, which stay where they are. Joining a row per scope back never pairs up a scope.
     """
     scope = ["tenant_id", "platform_id"]
     newest = first_per_key(incidents, scope, [F.col("created_at").desc(), F.col("incident_id").desc()], limit)
-    newest = newest.select(*scope, F.col("incident_id").alias("related_id"), F.col("problem").alias("summary"), F.col("created_at").alias("detected_at"))
-    return incidents.select(*scope, "incident_id").join(newest, scope).filter("incident_id <> related_id")
+    entry = F.struct(F.col("incident_id").alias("related_id"), F.col("problem").alias("summary"), F.col("created_at").alias("detected_at"))
+    newest = newest.groupBy(*scope).agg(F.collect_list(entry).alias("_newest"))  # ``limit`` at most
+    newest.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(place)
+    stored = incidents.sparkSession.read.schema(newest.schema).parquet(place)
+    return incidents.select(*scope, "incident_id").join(stored, scope).select(*scope, "incident_id", F.inline("_newest")).filter("incident_id <> related_id")
 
 
 def chronological(entries: DataFrame, time_text: str, position: str, *lead: str) -> DataFrame:

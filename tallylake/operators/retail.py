@@ -143,7 +143,7 @@ def inventory_of_location(inventory: DataFrame, location_id: str) -> DataFrame:
     return where_given(inventory, location_id=location_id)
 
 
-def _list_order(entity: str) -> list[Column]:
+def list_order(entity: str) -> list[Column]:
     column, direction = ENTITY_ORDER[entity]
     main = F.col(column).desc_nulls_last() if direction == "desc" else F.col(column).asc_nulls_last()
     return [main, *[F.col(c).asc() for c in KEYS.get(entity, ("tenant_id",))]]
@@ -151,14 +151,14 @@ def _list_order(entity: str) -> list[Column]:
 
 def entity_ordering(df: DataFrame, entity: str) -> DataFrame:
     """Rows in the order of that entity's list, ties by business key."""
-    return df.orderBy(*_list_order(entity))
+    return df.orderBy(*list_order(entity))
 
 
 def entity_ranks(df: DataFrame, entity: str) -> DataFrame:
     """All rows with ``rank``, their place from 1 in that entity's list. Rows are sorted in range partitions, which are stored so that
     they stay, and each partition starts where the counts of those before it end; only the counts meet in one task."""
     shared_root(df.sparkSession)
-    order = _list_order(entity)
+    order = list_order(entity)
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_at", 33)
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylake.operators.cleanse import first_per_key
-from tallylake.operators.sizing import broadcast_if_small
 
 # --- fixed values: result size, and the failure signatures of the two adapters ---------------------------------------
 
@@ -105,7 +104,6 @@ def similar_incidents(
         return df.groupBy("tenant_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
     blocks = block_count(queries, query_block, "q_blocks").join(block_count(memory, memory_block, "m_blocks"), "tenant_id")
-    blocks = broadcast_if_small(blocks)
 
     def spread(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
         """Each row in its own block, once for every block of the other side."""

@@ -111,9 +111,9 @@ def test_log_tail_limits_before_dropping_blanks(spark):
     assert inc.log_tail(df.filter("message = ''"), ["k"]).first()["error_message"] == ""
 
 
-def test_related_removes_itself_after_the_limit(spark):
+def test_related_removes_itself_after_the_limit(spark, tmp_path):
     df = spark.createDataFrame([(f"i{n}", "t", "p", "x", n) for n in range(7)], "incident_id string, tenant_id string, platform_id string, problem string, created_at int")
-    counts = {r.incident_id: r["count"] for r in inc.related_incidents(df).groupBy("incident_id").count().collect()}
+    counts = {r.incident_id: r["count"] for r in inc.related_incidents(df, str(tmp_path)).groupBy("incident_id").count().collect()}
     assert counts == {"i0": 5, "i1": 5, **{f"i{n}": 4 for n in range(2, 7)}}
 
 

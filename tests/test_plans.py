@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__  # noqa: F401 - registers the queries
 from tallylake.catalog.registry import QUERIES
 from tallylake.operators import retail
-from tallylake.sources import lake, views
+from tallylake.sources import lake, listing, views
 
 
 def plan(df):
@@ -60,7 +60,7 @@ def test_pages_are_top_k(spark, sf, name):
     assert "TakeOrderedAndProject" in plan(QUERIES[name](spark, sf))
 
 
-SLOW_TO_BUILD = ("stream_", "lakehouse_run", "ingest_all")
+SLOW_TO_BUILD = ("stream_", "lakehouse_run", "run_telemetry", "ingest_all")
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if not n.startswith(SLOW_TO_BUILD)])
@@ -82,3 +82,26 @@ def test_gold_joins_share_one_partitioning(spark, sf):
     # links distinct, links and promotions for their join, best promotion; inventory; items and orders for theirs,
     # item de-duplication, totals; products
     assert text.count("Exchange hashpartitioning") == 10
+
+
+def test_related_incidents_stay_where_they_are(spark, sf):
+    """The newest rows per scope go to the incidents: the one exchange is that of the few."""
+    text = plan(QUERIES["related_incidents"](spark, sf))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_entity_orderings_are_whole(spark, sf):
+    text = plan(QUERIES["entity_orderings"](spark, sf))
+    assert "TakeOrderedAndProject" not in text and "GlobalLimit" not in text
+
+
+@pytest.mark.parametrize("offset", [0, 1, 99, 700, 1399, 1495, 1500, 5000])
+def test_a_deep_page_opens_the_ranges_it_covers(spark, tmp_path, offset):
+    orders = spark.range(1500).selectExpr("concat('o', lpad(id, 5, '0')) AS order_id", "'t' AS tenant_id", "timestamp_seconds(id % 40) AS order_date")
+    listing.write_list(orders, "sales", str(tmp_path), ranges=15)
+    got = listing.read_page(spark, str(tmp_path), "sales", orders.schema, 100, offset)
+    want = retail.page(retail.entity_ordering(orders, "sales"), 100, offset).collect()
+    assert [r.order_id for r in got.collect()] == [r.order_id for r in want]
+    several = re.search(r"_range#\d+ IN \(([\d,]+)\)", plan(got))
+    opened = several.group(1).split(",") if several else set(re.findall(r"\(_range#\d+ = (\d+)\)", plan(got)))
+    assert len(opened) <= 3 and bool(opened) == (offset < 1500)
