@@ -12,7 +12,7 @@ from tallylake.functions import nested_json, text
 from tallylake.operators import incidents as inc
 from tallylake.operators import similarity as sim
 from tallylake.session import shared_dir
-from tallylake.sources import views
+from tallylake.sources import trigrams, views
 from tallylake.sources.keyed import KeyedTable, merge_both
 
 from tallylake.streaming import jobs
@@ -47,6 +47,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return inc.incident_search(views.incidents(spark, d), " FLOW_3 Tenant_00 ", severity="MEDIUM")
 
 
+@query("incident_search_indexed", "F13", f"""
+    SELECT {INCIDENT} FROM v_incidents WHERE severity = 'MEDIUM' AND contains(lower(concat_ws(' ', incident_id, pipeline, tenant_id, platform_id)), '7 flow_3 ten')""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A search by the trigram postings of all incidents."""
+    rows, place = views.incidents(spark, d), shared_dir(spark, "trigrams")
+    trigrams.write_index(rows, "incident_id", inc.searched_text(), place)
+    return inc.incident_filter(trigrams.search(rows, "incident_id", inc.searched_text(), place, " 7 FLOW_3 Ten"), severity="MEDIUM")
+
+
 @query("incomplete_runs", "F14", "SELECT * FROM v_runs WHERE completed_at IS NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return inc.incomplete_runs(views.workflow_runs(spark, d))

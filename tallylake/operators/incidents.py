@@ -74,8 +74,12 @@ def incident_search(incidents: DataFrame, query: str, status: str = "ALL", sever
     wanted = query.strip().lower()
     if not wanted:
         return found
-    haystack = F.lower(F.concat_ws(" ", "incident_id", "pipeline", "tenant_id", "platform_id"))
-    return found.filter(F.contains(haystack, F.lit(wanted)))
+    return found.filter(F.contains(searched_text(), F.lit(wanted)))
+
+
+def searched_text() -> Column:
+    """What :func:`incident_search` looks into."""
+    return F.lower(F.concat_ws(" ", "incident_id", "pipeline", "tenant_id", "platform_id"))
 
 
 def incomplete_runs(runs: DataFrame) -> DataFrame:
