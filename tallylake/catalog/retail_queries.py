@@ -220,6 +220,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tenant_id", "order_id", "net_amount", F.array_join(shown, "|").alias("items"))
 
 
+@query("transactions_chunked", "J9", """
+    SELECT o.tenant_id, o.order_id, greatest(1, (count(i.order_id) + 2) // 3) AS n_chunks, least(3, count(i.order_id)) AS largest, count(i.order_id) AS n_items,
+      coalesce(sum(i.quantity), 0)::BIGINT AS quantity
+    FROM v_sales o LEFT JOIN v_sales_items i ON o.tenant_id = i.tenant_id AND o.order_id = i.order_id GROUP BY 1, 2""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in chunks of three items, put together again."""
+    chunks = retail.transactions_chunked(views.sales(spark, d).select("tenant_id", "order_id"), views.sales_items(spark, d), 3)
+    quantity = F.aggregate("items", F.lit(0).cast("bigint"), lambda total, i: total + F.coalesce(i["quantity"], F.lit(0)))
+    return chunks.groupBy("tenant_id", "order_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.max("n_items").cast("bigint").alias("largest"), F.sum("n_items").alias("n_items"), F.sum(quantity).alias("quantity"))
+
+
 @query("items_of_order", "J10", f"""
     SELECT {columns_of('sales_items')} FROM v_sales_items SEMI JOIN (SELECT * FROM v_sales WHERE order_status = 'CANCELLED') USING (tenant_id, order_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:

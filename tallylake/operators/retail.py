@@ -129,6 +129,29 @@ def transactions_nested(orders: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("items", F.coalesce("items", F.array().cast(nested.schema["items"].dataType)))
 
 
+def transactions_chunked(orders: DataFrame, items: DataFrame, chunk_items: int = 1000, buckets: int = 4096) -> DataFrame:
+    """Orders with their items in chunks of at most ``chunk_items``: (order columns, chunk from 0, n_items, items).
+
+    For orders of any size: items are numbered in hash buckets, so an order that holds a third of all items is spread over ``buckets``
+    groups, and a bucket starts where the counts of the ones before it end (``buckets`` rows per order at most). An order without items
+    has one empty chunk.
+    """
+    key = ["tenant_id", "order_id"]
+    own = [c for c in items.columns if c not in key]
+    placed = items.withColumn("_bucket", F.pmod(F.xxhash64(*own), F.lit(buckets)).cast("int"))
+    counts = placed.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("order_id", "tenant_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("order_id", "_bucket", "tenant_id").orderBy(*own)) - 1
+    numbered = placed.withColumn("_within", within).join(starts, ["order_id", "_bucket", "tenant_id"])
+    chunked = numbered.withColumn("chunk", F.floor((F.col("_start") + F.col("_within")) / chunk_items).cast("int")).groupBy(*key, "chunk").agg(
+        F.sort_array(F.collect_list(F.struct(*own))).alias("items"))  # ``chunk_items`` at most
+    joined = orders.join(chunked, key, "left")
+    return joined.select(
+        *orders.columns, F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+        F.coalesce("items", F.array().cast(chunked.schema["items"].dataType)).alias("items"))
+
+
 def items_of_orders(items: DataFrame, orders: DataFrame, wanted_orders: DataFrame) -> DataFrame:
     """Items of the wanted orders, provided the order exists in that tenant."""
     existing = lookup(wanted_orders, orders, ["tenant_id", "order_id"])

@@ -81,3 +81,15 @@ def test_category_average_ignores_missing_prices(spark):
                                "category_name string, product_id string, unit_price decimal(18,4), cost_price decimal(18,4)")
     row = retail.category_summary(df).first()
     assert (row.product_count, row.avg_price, row.total_cost) == (3, Decimal("1.5"), Decimal(4))
+
+
+def test_an_order_of_very_many_items_is_cut_into_chunks(spark):
+    items = spark.range(20_000).selectExpr("'t' AS tenant_id", "CASE WHEN id < 19000 THEN 'huge' ELSE concat('o', id % 300) END AS order_id", "id AS order_item_id", "1 AS quantity")
+    items = items.unionByName(items.where("order_item_id < 10"))  # rows repeated in full
+    orders = items.select("tenant_id", "order_id").distinct().unionByName(spark.createDataFrame([("t", "empty")], "tenant_id string, order_id string"))
+    chunks = retail.transactions_chunked(orders, items, 500, 16).toPandas()
+    assert chunks["n_items"].max() == 500 and (chunks["items"].map(len) == chunks["n_items"]).all()
+    huge = chunks[chunks["order_id"] == "huge"]
+    assert sorted(huge["chunk"]) == list(range(39)) and sorted(i["order_item_id"] for part in huge["items"] for i in part) == sorted([*range(19_000), *range(10)])
+    assert chunks[chunks["order_id"] == "empty"][["chunk", "n_items"]].values.tolist() == [[0, 0]]
+    assert chunks["n_items"].sum() == 20_010
