@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallylake.catalog.registry import query
 from tallylake.catalog.views_sql import FOREIGN_KEYS, columns_of, errors_sql
 from tallylake.operators import cleanse, quality, retail
-from tallylake.plans import silver
+from tallylake.plans import medallion, silver
 from tallylake.session import shared_dir
 from tallylake.sources import lake, paged, views
 from tallylake.sources.views import BUSINESS_DATE, PIPELINE_ID, RETAIL, RUN_ID, STAMP
@@ -362,7 +362,14 @@ _QUALITY_SQL = " UNION ALL ".join([
 def all_metrics(spark: SparkSession, d: str) -> DataFrame:
     sources = {n: views.raw_products(spark, d) if n == "products" else RETAIL[n](spark, d)
                for n in ("products", "sales", "sales_items", "inventory", "promotions", "suppliers")}
-    checked = {n: silver.silver_checked(rows, n, "source_copies") for n, rows in sources.items()}
+    place = shared_dir(spark, "checked")
+
+    def once(name: str) -> DataFrame:
+        """Checked rows, stored with what the counts need: children and parents are both read from there."""
+        columns = dict.fromkeys(["tenant_id", "source_copies", "validation_errors", *spec(name).keys, *[c for c, _, _ in spec(name).foreign_keys]])
+        return medallion.stored(spark, silver.silver_checked(sources[name], name, "source_copies").select(*columns), f"{place}/{name}")
+
+    checked = dict(zip(sources, lake.side_by_side(spark, once, list(sources)), strict=True))
     valid = {n: quality.valid_rows(rows) for n, rows in checked.items()}
     return views.union_all([
         quality.quality_metrics(rows, spec(n), quality.orphan_counts(valid[n], spec(n), valid) if n in FOREIGN_KEYS else None)
