@@ -100,7 +100,8 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> str:
         length = self.raw_length[ids]
         end = np.cumsum(length)
-        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.raw_start[ids] - end + length, length)
+        at = np.repeat((self.raw_start[ids] - end + length).astype(np.int32), length)
+        at += np.arange(len(at), dtype=np.int32)
         return self.raw[at].tobytes().decode("utf-8", "replace")[1:]
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ class Lattices:
         letters[ends] = 0
         self.is_end = np.zeros(n + 1, dtype=bool)
         self.is_end[ends] = True
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         at = np.flatnonzero(~self.is_end[:n])
         states = np.zeros(len(at), dtype=np.int32)
         for length in range(v.longest):
@@ -144,10 +145,10 @@ class Lattices:
             at, states = at[alive], states[alive]
             if not len(at):
                 break
-            ids = np.full(n, -1, dtype=np.int32)
-            ids[at] = v.piece_at[states]
-            found.append(ids)
-        self.ids = np.stack(found, axis=1) if found else np.full((n, 1), -1, dtype=np.int32)
+            found.append((at, v.piece_at[states]))
+        self.ids = np.full((n, max(1, len(found))), -1, dtype=np.int32)
+        for slot, (at, ids) in enumerate(found):
+            self.ids[at, slot] = ids
         unknown = np.flatnonzero((self.ids[:, 0] < 0) & ~self.is_end[:n])
         self.ids[unknown, 0] = np.where(codes[unknown] < 0x80, v.byte_id[codes[unknown] & 0x7F], v.size + codes[unknown])
         self._weigh(v, codes, ends, sizes)
@@ -157,32 +158,32 @@ class Lattices:
         # sums over a chunk stay small, so single precision does, unless a chunk is very long
         kind = np.float32 if not n or sizes.max() < 100 else np.float64
         priced = np.append(v.logp, -np.inf).astype(kind)
-        logp = priced[np.where((self.ids >= 0) & (self.ids < v.size), self.ids, v.size)]
-        odd = np.flatnonzero(self.ids[:, 0] >= v.size)
-        if len(odd):
-            code = codes[odd]
-            logp[odd, 0] = v.byte_logp * (2 + (code > 0x7FF) + (code > 0xFFFF))
         beta = np.zeros(n + width + 1, dtype=kind)
         left = np.repeat(ends, sizes + 1)[:n] - np.arange(n)  # characters to the chunk's end
         order = np.argsort(left.astype(np.int32), kind="stable")
         bounds = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        ahead = np.arange(1, width + 1)
         self.logq = np.full((n, width), -np.inf, dtype=np.float32)
         self.cumulative = np.full((n, width), 2.0, dtype=np.float32)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for length, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
             nodes = order[a:b]
-            weight = logp[nodes]
-            weight += beta[nodes[:, None] + ahead]
+            used = min(length, width)  # no piece crosses the chunk's end
+            ids = self.ids[nodes, :used]
+            weight = priced[np.minimum(ids, v.size)]  # -1, no piece, takes the last as well
+            odd = np.flatnonzero(ids[:, 0] >= v.size)
+            if len(odd):
+                code = codes[nodes[odd]]
+                weight[odd, 0] = v.byte_logp * (2 + (code > 0x7FF) + (code > 0xFFFF))
+            weight += beta[nodes[:, None] + np.arange(1, used + 1)]
             top = weight.max(axis=1, keepdims=True)
             weight -= top
             run = np.cumsum(np.exp(weight), axis=1, dtype=np.float32)
             total = run[:, -1:].copy()
             gained = np.log(total)
             beta[nodes] = (top + gained)[:, 0]
-            self.logq[nodes] = weight - gained
+            self.logq[nodes, :used] = weight - gained
             run /= total
             run[run >= 1.0] = 2.0  # from the last edge on
-            self.cumulative[nodes] = run
+            self.cumulative[nodes, :used] = run
 
     def walk(self, starts: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One random way to the end from each start node: (nodes, slots, number of edges per start).

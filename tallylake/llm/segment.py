@@ -21,7 +21,9 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,10 +143,9 @@ class Segmenter:
     def __call__(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Per text the samples (ids, log-probability, number, inclusion), best number first."""
         split = [self.vocabulary.chunks(text) for text in texts]
-        names = list(set().union(*split))
-        number = dict(zip(names, range(len(names)), strict=True)).__getitem__
-        places = [np.fromiter(map(number, chunks), dtype=np.int64, count=len(chunks)) for chunks in split]
-        lattices = Lattices(self.vocabulary, names)
+        number = defaultdict(itertools.count().__next__)  # in order of appearance
+        places = [np.fromiter(map(number.__getitem__, chunks), dtype=np.int64, count=len(chunks)) for chunks in split]
+        lattices = Lattices(self.vocabulary, list(number))
         rows = [Row(key, lattices.root[place] if len(place) else place, self.seed) for key, place in zip(keys, places, strict=True)]
         begun = [(row, None, 0, 0, -np.log(-np.log(row.number()))) for row in rows]
         self._extend(lattices, begun, 0)
