@@ -9,15 +9,11 @@ from tallylake.llm.common import cut
 
 
 def absorb(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (id, component) after more links (a, b): only links between different components are looked at, as links of these."""
-    ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
-    named = links.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").select(
-        "a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
-    between = cut(named.where("_a <> _b"))
-    if between.isEmpty():
+    """``labels`` (id, component) after links between components (_a, _b); an id that has no label yet is a component of its own."""
+    if links.isEmpty():
         return labels
-    roots = components(between.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("_root"), F.col("component").alias("_to"))
-    fresh = between.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component"))
+    roots = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("_root"), F.col("component").alias("_to"))
+    fresh = roots.join(labels, F.col("_root") == F.col("id"), "left_anti").select(F.col("_root").alias("id"), F.col("_root").alias("component"))
     joined = labels.unionByName(fresh).join(roots, F.col("component") == F.col("_root"), "left")
     return cut(joined.select("id", F.coalesce("_to", "component").alias("component")))
 

@@ -123,7 +123,9 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link."""
+    """The rows of ``pairs`` whose sets of a and b link, more often where a document has several texts."""
+    names = pairs.columns
+
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[int, tuple[str, np.ndarray]] = {}
 
@@ -137,11 +139,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in frames:
             keep = [linked(set_of(a, ta), set_of(b, tb)) for a, ta, b, tb in zip(batch["a"], batch["text_a"], batch["b"], batch["text_b"], strict=True)]
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.loc[keep, names]
 
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").mapInPandas(verify, "a long, b long").distinct()
+    return pairs.join(first, "a").join(second, "b").mapInPandas(verify, pairs.schema)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -174,15 +176,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     large = members.where("key != 0")
     large = cut(large.select("key", "doc_id").union(large.select("key", F.col("leader").alias("doc_id"))).distinct())
     done = pairs
-    for turn in range(STARS + 1):
+    stars = STARS
+    while True:
         open_runs = cut(_open_runs(large, labels))
         if open_runs.isEmpty():
             break
-        pairs = _possible(_star(open_runs) if turn < STARS else _across(open_runs, sketches), sketches, done)
-        if not pairs.isEmpty():
+        pairs = _possible(_star(open_runs) if stars else _across(open_runs, sketches), sketches, done)
+        fresh = not pairs.isEmpty()
+        if fresh:
             done = done.union(pairs)
             labels = _verified_between(labels, pairs, held)
         release(spark)
+        if not stars:
+            break
+        stars = stars - 1 if fresh else 0  # without a new pair, the next star would be this one again
     return _with_components(sizes, of_class, labels)
 
 
@@ -190,8 +197,8 @@ def _verified_between(labels: DataFrame, pairs: DataFrame, held: _Texts) -> Data
     """``labels`` after those of ``pairs`` that link; a pair within one component can't change it and isn't compared."""
     ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
     apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    apart = cut(apart.select("a", "b"))
-    return labels if apart.isEmpty() else absorb(labels, cut(held.verified(apart)))
+    apart = cut(apart.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")))
+    return labels if apart.isEmpty() else absorb(labels, cut(held.verified(apart).select("_a", "_b").distinct()))
 
 
 def _same_document(of_class: DataFrame) -> DataFrame:
@@ -209,7 +216,7 @@ def _by_class(runs: DataFrame, of_class: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Pairs in a fixed order, not ``done`` yet, that sizes and sketches don't rule out."""
+    """Pairs in a fixed order, not ``done`` yet, that sizes and sketches don't rule out; more often where a document has several texts."""
     def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in frames:
             keep = [
@@ -223,7 +230,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, done: DataFrame | None = No
     first = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     second = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     fitting = ordered.join(first, "a").join(second, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    return cut(fitting.mapInPandas(possible, "a long, b long").distinct())
+    return cut(fitting.mapInPandas(possible, "a long, b long"))
 
 
 class _Texts:
