@@ -74,3 +74,25 @@ def test_empty_table_and_clashing_columns(spark):
     docs = documents(spark, ["a"]).withColumn("length", F.lit("x")).withColumn("sequence_id", F.lit(1))
     assert pack_documents(docs, tokenizer_path(WORD_BPE)).count() == 1
     assert pack_documents(docs.limit(0), tokenizer_path(WORD_BPE)).count() == 0
+
+
+def test_kept_chunks_outlive_a_full_table_and_words_skip_the_tokenizer(tokenizer, monkeypatch):
+    from tallylake.llm import tokens
+
+    rng = random.Random(4)
+    letters = "aabcdeeflnorstuyzABÉéèçßøŁžÿµªŉǅȺ"
+    marks = ["", ",", ".", "&&&", "'s", "'", "!?)", "###.", "_", "<|endoftext|>", "|>", "2", "́", "-x"]
+    often = ["the", "And,", "naïve", "ÉTÉ;"]
+    texts = [" ".join(
+        rng.choice(often) if rng.random() < 0.3 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(marks)
+        for _ in range(40)) for _ in range(200)]
+    monkeypatch.setattr(tokens, "MOST_KEPT", 1 << 16)
+    coder = tokens.WordIds(tokenizer_path(WORD_BPE))
+    made, make = Counter(), coder.chunks.make
+    coder.chunks.make = lambda chunk: (made.update([chunk]), make(chunk))[1]
+    for at in range(0, len(texts), 10):
+        part = texts[at:at + 10]
+        for text, ids in zip(part, coder.encode_batch(part), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(coder.chunks) + len(coder.chunks.rest) < len(made)
+    assert all(made[chunk] == 1 for chunk in often)
