@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallylake.session import shared_root
+from tallylake.session import shared_dir, shared_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from files below the shared folder, whose size Spark knows when it picks a join: a small table is
+    broadcast without a shuffle of either side. The files stay, so this is for tables that are small beside the input."""
+    place = shared_dir(df.sparkSession, label)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark's context cleaner remove shuffles and checkpoints that nothing refers to any more.
 

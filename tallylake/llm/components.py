@@ -1,26 +1,43 @@
-"""Connected components of a link table, by least labels and pointer jumps; labels never leave the executors."""
+"""Connected components of a link table: by rounds of least labels and pointer jumps, and at once where a task's block holds all links.
+
+Labels never leave the executors.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylake.llm.common import cut
+from tallylake.llm.common import cut, stored
 
+BLOCK = 1 << 18  # links that one task joins in its memory
 
-def absorb(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (id, component) after links between components (_a, _b); an id that has no label yet is a component of its own."""
-    if links.isEmpty():
-        return labels
-    roots = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("_root"), F.col("component").alias("_to"))
-    fresh = roots.join(labels, F.col("_root") == F.col("id"), "left_anti").select(F.col("_root").alias("id"), F.col("_root").alias("component"))
-    joined = labels.unionByName(fresh).join(roots, F.col("component") == F.col("_root"), "left")
-    return cut(joined.select("id", F.coalesce("_to", "component").alias("component")))
+
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links -> (id, component)."""
+    above: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for batch in frames:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            lo, hi = sorted((least(above.setdefault(a, a)), least(above.setdefault(b, b))))
+            above[hi] = lo
+    yield pd.DataFrame({"id": list(above), "component": [least(x) for x in above]}, dtype="int64")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (id, component): each id of a link with the smallest id that links reach."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = stored(links.select("a", "b"), "links")
+    if links.count() <= BLOCK:
+        return stored(links.coalesce(1).mapInPandas(_joined, "id long, component long"), "components")
+    both = cut(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).select(F.col("a").alias("id"), "component"))
     while True:
         near = (
@@ -32,4 +49,9 @@ def components(links: DataFrame) -> DataFrame:
         moved = cut(hooked.join(jump, "_to").select("id", "_was", F.least("_to", "_further").alias("component")))
         labels = moved.select("id", "component")
         if moved.where(F.col("_was") != F.col("component")).isEmpty():
-            return labels
+            return stored(labels, "components")
+
+
+def absorb(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after more ``links`` (a, b); an id that has no label yet is a component of its own."""
+    return components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))

@@ -10,7 +10,7 @@ Hamming distance of whole sketches rule a link out; the others are verified on t
 Copies and skew: equal sets are one class, linked without a comparison. The rows of one key are read as a sorted run and give pairs with the
 run's first document only, so a key that n documents share costs n rows, not n squared. A link within a run whose ends both
 miss the first one is found afterwards: components are formed, and runs that still hold several are searched again from
-another document (``STARS`` times) and at last between all their different components. No pair of a run is left out unless its
+``STARS`` other documents and at last between all their different components. No pair of a run is left out unless its
 ends are connected already, so components are exact. Pairs are verified in two rounds, each document's pair with its smallest partner
 first: most others then lie within one component, and their texts need not move. Components are carried on: more links are links of
 components.
@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallylake.llm.common import cut, release
+from tallylake.llm.common import cut, release, stored
 from tallylake.llm.components import absorb, components
 from tallylake.llm.shingles import Bands, block_keys, least_level, linked, may_link, mix, shingle_set, sketch
-from tallylake.session import shared_dir
 
 MOST_FREQUENT = 1 << 18
 COUNTED_AT_ONCE, LEAST_COUNT = 4_000_000, 8
@@ -169,27 +168,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = _possible(members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sketches)
     held = _Texts(texts)
     # each document's pair with the smallest partner first; of the others only those that could join different components
-    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    labels = components(cut(held.verified(first).union(_same_document(of_class))))
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+    labels = components(held.verified(first).union(_same_document(of_class)))
     labels = _verified_between(labels, pairs.join(first, ["a", "b"], "left_anti"), held)
     release(spark)
     large = members.where("key != 0")
     large = cut(large.select("key", "doc_id").union(large.select("key", F.col("leader").alias("doc_id"))).distinct())
     done = pairs
-    stars = STARS
-    while True:
-        open_runs = cut(_open_runs(large, labels))
+    for search in (_star, lambda open_runs: _across(open_runs, sketches)):
+        open_runs = stored(_open_runs(large, labels), "jaccard-runs")
         if open_runs.isEmpty():
             break
-        pairs = _possible(_star(open_runs) if stars else _across(open_runs, sketches), sketches, done)
-        fresh = not pairs.isEmpty()
-        if fresh:
-            done = done.union(pairs)
-            labels = _verified_between(labels, pairs, held)
+        pairs = _possible(search(open_runs), sketches, done)
+        done = done.union(pairs)
+        labels = _verified_between(labels, pairs, held)
         release(spark)
-        if not stars:
-            break
-        stars = stars - 1 if fresh else 0  # without a new pair, the next star would be this one again
     return _with_components(sizes, of_class, labels)
 
 
@@ -197,8 +190,8 @@ def _verified_between(labels: DataFrame, pairs: DataFrame, held: _Texts) -> Data
     """``labels`` after those of ``pairs`` that link; a pair within one component can't change it and isn't compared."""
     ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b")]
     apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    apart = cut(apart.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")))
-    return labels if apart.isEmpty() else absorb(labels, cut(held.verified(apart).select("_a", "_b").distinct()))
+    apart = stored(apart.select("a", "b"), "jaccard-apart")
+    return labels if apart.isEmpty() else absorb(labels, held.verified(apart))
 
 
 def _same_document(of_class: DataFrame) -> DataFrame:
@@ -230,7 +223,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, done: DataFrame | None = No
     first = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     second = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     fitting = ordered.join(first, "a").join(second, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    return cut(fitting.mapInPandas(possible, "a long, b long"))
+    return stored(fitting.mapInPandas(possible, "a long, b long"), "jaccard-pairs")
 
 
 class _Texts:
@@ -239,19 +232,15 @@ class _Texts:
     def __init__(self, texts: DataFrame) -> None:
         self.texts, self.spark = texts, texts.sparkSession
         self.held: DataFrame | None = None
+        self.ids: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        if self.held is not None:
-            ids = ids.join(self.held.select("doc_id"), "doc_id", "left_anti")
-        place = shared_dir(self.spark, "jaccard-ids")
-        ids.write.parquet(place)  # a file, so that Spark knows its size when it picks the join
-        new = self.spark.read.schema("doc_id long").parquet(place)
+        new = stored(ids if self.ids is None else ids.join(self.ids, "doc_id", "left_anti"), "jaccard-ids")
         if not new.isEmpty():
-            place = shared_dir(self.spark, "jaccard-texts")
-            self.texts.join(new, "doc_id", "left_semi").write.parquet(place)
-            more = self.spark.read.schema(self.texts.schema).parquet(place)
+            more = stored(self.texts.join(new, "doc_id", "left_semi"), "jaccard-texts")
             self.held = more if self.held is None else self.held.union(more)
+            self.ids = new if self.ids is None else self.ids.union(new)
         if self.held is None:
             return pairs
         return _verified(pairs, self.held)
@@ -266,9 +255,11 @@ def _open_runs(large: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _star(open_runs: DataFrame) -> DataFrame:
-    """Each run's first document outside its first component, against all documents of other components."""
-    centres = open_runs.where("component != main").groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("c"))
-    return open_runs.join(centres, "key").where("component != c.component").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    """The first documents of each run's first ``STARS`` components but the main one, against all documents of other components."""
+    firsts = open_runs.where("component != main").groupBy("key", "component").agg(F.min("doc_id").alias("centre"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("centre"))
+    centres = firsts.withColumn("_nth", nth).where(F.col("_nth") <= STARS).select("key", "centre", F.col("component").alias("_own"))
+    return open_runs.join(centres, "key").where("component != _own").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
 
 
 def _across(open_runs: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -102,3 +102,25 @@ def test_defined_cases(spark):
     assert got == sorted([(True, None, 1, None), (False, 1, 0, 1), (False, 2, 0, 2), (False, 3, 0, 3), (False, 4, 1, 4), (False, 5, 1, 4),
                           (False, 6, 2, 6), (False, 7, 2, 6), (False, 7, 1, 6), (False, 9, 1, 6)], key=str)
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_components_join_links_in_blocks_and_in_rounds_alike(spark, monkeypatch):
+    from tallylake.llm import components as module
+
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    at_once = sorted(tuple(r) for r in components(frame).collect())
+    monkeypatch.setattr(module, "BLOCK", 0)
+    assert sorted(tuple(r) for r in components(frame).collect()) == at_once
+    more = spark.createDataFrame([(301, 5), (302, 303), (7, 9)], "a long, b long")
+    want = sorted(tuple(r) for r in components(frame.union(more)).collect())
+    assert sorted(tuple(r) for r in module.absorb(components(frame), more).collect()) == want
+
+
+def test_components_are_found_in_few_shuffles(spark):
+    """Each shuffle and broadcast costs the driver a thread; a chain of links took dozens."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    assert {r["component"] for r in components(links).collect()} == {0}
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before <= 6
