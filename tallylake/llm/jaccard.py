@@ -264,21 +264,23 @@ def _star(open_runs: DataFrame) -> DataFrame:
 
 def _across(open_runs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of a run from different components that sizes and sketches don't rule out; others leave the join at once."""
-    half = F.transform(F.sequence(F.lit(0), F.floor(F.size("sketch") / 2).cast("int") - 1), lambda i: F.get("sketch", i).bitwiseXOR(F.get("sketch", i + F.floor(F.size("sketch") / 2).cast("int"))))
-    folded = sketches.withColumn("half", F.when(F.size("sketch") > 1, half).otherwise(F.col("sketch")))
-    rows = open_runs.select("key", "doc_id", "component").join(folded, "doc_id")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "component", "n_shingles", "sketch", "half")])
+    def folded(words):
+        half = F.floor(F.size(words) / 2).cast("int")
+        by_word = F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.get(words, i).bitwiseXOR(F.get(words, i + half)))
+        return F.when(F.size(words) > 1, by_word).otherwise(words)
 
-    def apart(x: str, y: str):
+    def apart(x, y):
         return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, n: total + n)
 
-    words, words_2 = F.size("sketch"), F.size("sketch_2")
-    distance = F.when(words == words_2, apart("sketch", "sketch_2")).when(words > words_2, apart("half", "sketch_2")).otherwise(apart("sketch", "half_2"))
-    fits = (4 * F.col("n_shingles") >= 3 * F.col("n_shingles_2")) & (4 * F.col("n_shingles_2") >= 3 * F.col("n_shingles"))
-    fits = (F.col("doc_id") < F.col("doc_id_2")) & (F.col("component") != F.col("component_2")) & fits
-    near = F.when(fits, 7 * distance <= F.col("n_shingles") + F.col("n_shingles_2")).otherwise(F.lit(False))
-    keyed = rows.withColumnRenamed("key", "_key")
-    return keyed.join(other, (F.col("_key") == F.col("key")) & near).select(F.col("doc_id").alias("a"), F.col("doc_id_2").alias("b"))
+    rows = open_runs.select("key", "doc_id", "component").join(sketches, "doc_id")
+    # both sides alike, so that one shuffle serves both
+    one, two = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "doc_id", "component", "n_shingles", "sketch")]) for side in (1, 2))
+    x, y = F.col("sketch_1"), F.col("sketch_2")
+    distance = F.when(F.size(x) == F.size(y), apart(x, y)).when(F.size(x) > F.size(y), apart(folded(x), y)).otherwise(apart(x, folded(y)))
+    fits = (4 * F.col("n_shingles_1") >= 3 * F.col("n_shingles_2")) & (4 * F.col("n_shingles_2") >= 3 * F.col("n_shingles_1"))
+    fits = (F.col("doc_id_1") < F.col("doc_id_2")) & (F.col("component_1") != F.col("component_2")) & fits
+    near = F.when(fits, 7 * distance <= F.col("n_shingles_1") + F.col("n_shingles_2")).otherwise(F.lit(False))
+    return one.join(two, (F.col("key_1") == F.col("key_2")) & near).select(F.col("doc_id_1").alias("a"), F.col("doc_id_2").alias("b"))
 
 
 def _with_components(sizes: DataFrame, of_class: DataFrame, labels: DataFrame) -> DataFrame:

@@ -86,9 +86,8 @@ def block_keys(shingles: np.ndarray, scheme: int, level: int, difference: int, f
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity sketch in 64-bit words: every shingle toggles one bit; as many bits as the power of two above twice the shingles, at
-    least a word."""
-    bits = max(64, 1 << (2 * len(shingles)).bit_length())
+    """Parity sketch in 64-bit words: every shingle toggles one bit; as many bits as the power of two above the shingles, at least a word."""
+    bits = max(64, 1 << len(shingles).bit_length())
     return np.packbits(np.bincount((shingles >> np.uint64(20)) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
 
