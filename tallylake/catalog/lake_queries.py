@@ -102,7 +102,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     target = shared_dir(spark, "logs")
     records = views.quality_logs(spark, d)
     lake.log_record_sink(records, target, "quality")
-    return spark.read.schema(records.schema).json(f"{target}/quality").select(*records.columns)
+    return lake.log_records(spark, target, "quality", records.schema)
 
 
 @query("latest_run_status", "S9", """

@@ -40,6 +40,7 @@ from tallylake.sources.lake import (
     ingest_all,
     lake_table,
     log_record_sink,
+    log_records,
     partition_overwrite_sink,
     side_by_side,
 )
@@ -270,7 +271,7 @@ def run_all(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[str,
     partition_overwrite_sink(events, f"{run.root}/telemetry/events", ("run_id", "tenant_id"))
     partition_overwrite_sink(measured.withColumns(tags), f"{run.root}/telemetry/metrics", ("run_id", "tenant_id"))
     # the tenants' columns are declared, so text stays text
-    return spark.read.schema(status.schema).json(f"{logs}/status").filter(F.col("run_id") == run.run_id)
+    return log_records(spark, logs, "status", status.schema).filter(F.col("run_id") == run.run_id)
 
 
 def bronze_rows_by_tenant(spark: SparkSession, run: Run, dataset: str) -> DataFrame:

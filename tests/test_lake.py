@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallylake.operators import retail
 from tallylake.operators import telemetry as tel
@@ -289,3 +291,23 @@ def test_one_tenants_failing_source_and_the_telemetry_of_the_run(spark, sf, tmp_
     assert (overview.total_runs, overview.success_runs, overview.failed_runs) == (3, 2, 1) and overview.avg_duration > 0
     assert {"pipeline_failure", "api_errors"} <= {r.alert for r in tel.alert_conditions(events, metrics).collect()}
     assert {r.check: r.state for r in tel.monitoring_checks(events, metrics, "tallylake", "p", "tenant_001", now).collect()}["metrics_arriving"] == "OK"
+
+
+def test_logs_of_many_runs_share_files_and_retries_leave_others_alone(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("concat('t', id % 2) AS tenant_id", "IF(id = 7, NULL, concat('r+', id % 3000)) AS run_id", "id AS n", "'first' AS status")
+    lake.log_record_sink(rows, str(tmp_path / "a+b"), "status")
+    lake.log_record_sink(rows.where("n < 2").selectExpr("tenant_id", "'new' AS run_id", "n", "'second' AS status"), str(tmp_path / "a+b"), "status")
+
+    def files():
+        return {f"{folder}/{name}" for folder, _, names in os.walk(tmp_path) for name in names if name.startswith("part-")}
+
+    first = files()
+    assert len(first) < 6000 / 20
+    again = rows.where("n % 3000 IN (5, 7) AND tenant_id = 't1'").withColumns({"status": F.lit("third"), "extra": F.lit("x")})
+    lake.log_record_sink(again, str(tmp_path / "a+b"), "status")
+    lake.log_record_sink(again, str(tmp_path / "a+b"), "status")
+    got = lake.log_records(spark, str(tmp_path / "a+b"), "status", again.schema)
+    tried = {tuple(r) for r in again.collect()}
+    want = {(*r, None) for r in rows.collect() if not any(r[:2] == t[:2] for t in tried)} | tried | {("t0", "new", 0, "second", None), ("t1", "new", 1, "second", None)}
+    assert sorted(map(str, got.collect())) == sorted(str(T.Row(*got.columns)(*r)) for r in want)
+    assert len(first - files()) <= 4
