@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from decimal import Decimal
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,3 +312,19 @@ def test_logs_of_many_runs_share_files_and_retries_leave_others_alone(spark, tmp
     want = {(*r, None) for r in rows.collect() if not any(r[:2] == t[:2] for t in tried)} | tried | {("t0", "new", 0, "second", None), ("t1", "new", 1, "second", None)}
     assert sorted(map(str, got.collect())) == sorted(str(T.Row(*got.columns)(*r)) for r in want)
     assert len(first - files()) <= 4
+
+
+def test_nested_records_are_kept_compressed(spark, tmp_path):
+    spark.range(2000).selectExpr("IF(id = 3, NULL, id) AS o_orderkey", "7L AS o_custkey", "'O' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+                                 "TIMESTAMP'1998-01-01' AS o_orderdate", "'5-LOW' AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(9000).selectExpr("id % 1500 AS l_orderkey", "IF(id = 5, NULL, id) AS l_partkey", "1L AS l_suppkey", "CAST(id % 7 AS INT) AS l_linenumber", "CAST(id % 50 AS DOUBLE) AS l_quantity",
+                                 "CAST(id AS DOUBLE) AS l_extendedprice", "0.01D AS l_discount", "0.02D AS l_tax").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = entry.queries()["records_to_frame"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.groupBy("n_items").count().collect()} == {(6, 1499), (0, 501)} and got.where("order_id IS NULL").count() == 1
+    plain = str(tmp_path / "plain")
+    retail.transactions_nested(views.sales(spark, str(tmp_path)), views.sales_items(spark, str(tmp_path))).write.json(plain)
+
+    def size(files):
+        return sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files)
+
+    assert size(got.inputFiles()) < size(spark.read.text(plain).inputFiles()) / 3
