@@ -68,15 +68,17 @@ def first_per_key(df: DataFrame, keys: list[str] | tuple[str, ...], order: list[
 
 
 def one_per_key(
-    df: DataFrame, keys: list[str] | tuple[str, ...], order: list[Column], copies: str | None = None, weight: Column | None = None
+    df: DataFrame, keys: list[str] | tuple[str, ...], order: list[Column], copies: str | None = None, weight: Column | None = None,
+    place: tuple[str, ...] = (),
 ) -> DataFrame:
     """The first row of every key, for keys that are nearly unique: one shuffle and one sort.
 
     An early cut would sort the whole table before the shuffle and remove next to nothing; the count of a key's rows, kept in the same
     window, rules it out and is there for ``copies``. Keys that may be hot take :func:`first_per_key`. With ``weight`` rows stand for
-    that many, and their sum is kept.
+    that many, and their sum is kept. ``place`` names columns that follow from the key: rows that were dealt by some of them and the key
+    are not shuffled again.
     """
-    by_key = Window.partitionBy(*reversed(keys)).orderBy(*order)
+    by_key = Window.partitionBy(*place, *reversed(keys)).orderBy(*order)
     whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.withColumns({"_rank": F.row_number().over(by_key), copies or "_copies": total.over(whole)})
@@ -105,13 +107,13 @@ def _ingested_last(df: DataFrame, spec: DatasetSpec) -> list[Column]:
     return ingested + [F.col(c).asc_nulls_last() for c in rest if c != "ingestion_timestamp"]
 
 
-def latest_of_weighted(df: DataFrame, spec: DatasetSpec, copies: str) -> DataFrame:
+def latest_of_weighted(df: DataFrame, spec: DatasetSpec, copies: str, place: tuple[str, ...] = ()) -> DataFrame:
     """Latest row per business key of rows that stand for ``copies`` source rows each, which add up; the winners are those that
     :func:`dedup_latest` has among the source rows."""
-    plain = df.drop(copies)
+    plain = df.drop(copies, *place)
     order = _ingested_last(plain, spec) if spec.order_column is None else _newest_first(plain, spec.keys, spec.order_column)
     weighted = df.withColumnRenamed(copies, "_weight")
-    return one_per_key(weighted, spec.keys, order, copies, F.col("_weight")).drop("_weight")
+    return one_per_key(weighted, spec.keys, order, copies, F.col("_weight"), place).drop("_weight")
 
 
 def explode_order_items(orders: DataFrame) -> DataFrame:

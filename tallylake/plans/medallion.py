@@ -32,6 +32,7 @@ from tallylake.plans.gold import gold_pricing, gold_product_sales
 from tallylake.plans.run_telemetry import Clock, run_events, run_metrics
 from tallylake.plans.silver import silver_cast
 from tallylake.plans.snapshots import Snapshots
+from tallylake.session import release
 from tallylake.sources.lake import (
     ALL_TENANTS,
     SourceName,
@@ -50,6 +51,10 @@ from tallylake.specs import FOREIGN_KEYS, INVALID_RATE_LIMIT, spec
 SILVER_DATASETS = (
     "products", "sales", "sales_items", "inventory", "promotions", "promotion_products", "suppliers", "customers", "stores", "categories",
 )
+# those of a lane are brought up one after the other, lanes side by side: what the largest have shuffled is never on disk together
+SILVER_LANES = (
+    ("sales_items", "sales", "promotion_products"), ("inventory", "promotions"), ("products", "suppliers", "categories"), ("customers", "stores"),
+)
 BRONZE_DATASETS = tuple(d for d in SILVER_DATASETS if d != "sales_items")
 
 
@@ -90,7 +95,7 @@ def run_bronze(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[st
             df = df.filter(F.col("tenant_id").isNull() | (F.col("tenant_id") == tenant))
         tagged = bronze_metadata(df, run.pipeline_id, run.run_id, systems[name], run.stamp, tenant)
         tagged = tagged.withColumn("run", F.lit(run.run_id))
-        partition_overwrite_sink(tagged, run.path("bronze", dataset), ("tenant_id", "ingestion_date", "run"))
+        partition_overwrite_sink(tagged, run.path("bronze", dataset), ("tenant_id", "ingestion_date", "run"), codec="zstd")
 
     return ingest_all(spark, sources, write)
 
@@ -141,11 +146,13 @@ def run_silver(spark: SparkSession, run: Run, tenants: DataFrame) -> DataFrame:
     written (``snapshots.py``); good and quarantined rows are written side by side. Rows know how many source rows they stand for, so
     measuring reads the snapshot only.
     """
-    def bring_up(name: str) -> None:
-        snapshots(run, name).write(
-            spark, run.run_id, lambda after: silver_cast(bronze_rows(spark, run, name, after), name), run.rebalance)
+    def bring_up(lane: tuple[str, ...]) -> None:
+        for name in lane:
+            snapshots(run, name).write(
+                spark, run.run_id, lambda after, name=name: silver_cast(bronze_rows(spark, run, name, after), name), run.rebalance)
+            release(spark)
 
-    side_by_side(spark, bring_up, list(SILVER_DATASETS))
+    side_by_side(spark, bring_up, list(SILVER_LANES))
     written = cache(lambda name: silver_written(spark, run, name))
     return reduce(DataFrame.unionByName, [_measure(name, written, tenants) for name in SILVER_DATASETS])
 
@@ -169,17 +176,20 @@ def run_gold(spark: SparkSession, run: Run, failed_tenants: DataFrame) -> DataFr
     """
     silver = cache(lambda name: without_tenants(silver_table(spark, run, name), failed_tenants))
     totals = stored(spark, sales_by_product(silver("sales_items"), silver("sales")), run.work("totals"))
+    release(spark)
     stamp = (run.pipeline_id, run.run_id, run.stamp)
     pricing = gold_pricing(
         silver("products"), silver("promotion_products"), silver("promotions"), silver("inventory"), totals, run.business_date, *stamp
     )
     staged = stored(spark, pricing, run.work("pricing"))
+    release(spark)
     checks = stored(spark, gold_checks(staged, "tenant_id"), run.work("gold_checks"))
     failed = stored(spark, failing(checks).select("tenant_id"), run.work("gold_failed"))
     sales = gold_product_sales(silver("products"), silver("inventory"), totals, *stamp)
     for name, table in (("pricing", staged), ("product_sales", sales)):
         dated = publish_gate(table, failed).withColumn("business_date", F.lit(run.business_date))
         partition_overwrite_sink(dated, run.path("gold", name), ("tenant_id", "business_date"), run.rebalance)
+        release(spark)
     return checks
 
 
@@ -216,6 +226,7 @@ def run_all(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[str,
     logs, clock = f"{run.root}/logs", Clock(run.stamp)
     with clock.stage("bronze"):
         ingested = stored(spark, run_bronze(spark, run, sources), run.work("ingested"))
+        release(spark)
         tenants = _tenants(spark, run)
         # a few rows per source
         landed = stored(spark, tenants.crossJoin(ingested.withColumnRenamed("tenant_id", "_source_tenant")).filter(
@@ -233,6 +244,7 @@ def run_all(spark: SparkSession, run: Run, sources: dict[SourceName, tuple[str,
     if not going.isEmpty():
         with clock.stage("silver"):
             metrics, silver_error = _tried(lambda: stored(spark, run_silver(spark, run, tenants), run.work("quality")))
+        release(spark)
         if metrics is None:
             statuses += [all_of(going, "silver", "FAILED", silver_error), all_of(going, "gold", "SKIPPED", "silver failed")]
         else:

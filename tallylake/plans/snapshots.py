@@ -81,8 +81,12 @@ class Snapshots:
     def unit(self) -> list:
         return ["tenant_id", F.pmod(F.xxhash64(*self.spec.keys), F.lit(self.buckets)).cast("int").alias("bucket")]
 
-    def merged(self, spark: SparkSession, base: str | None, landed: Callable[[str | None], DataFrame]) -> DataFrame:
-        """The rows of all parts that a run has to write. ``landed(base)`` gives typed bronze rows of the runs after ``base``, or of all."""
+    def merged(self, spark: SparkSession, base: str | None, landed: Callable[[str | None], DataFrame], dealt: bool = False) -> DataFrame:
+        """The rows of all parts that a run has to write. ``landed(base)`` gives typed bronze rows of the runs after ``base``, or of all.
+
+        With ``dealt`` they are shuffled once, for ranking and for writing: by pieces of their part, whose ``bucket`` they keep. A task then
+        holds rows of the few parts that its pieces belong to.
+        """
         new = landed(base)
         stored = snapshot_schema(self.spec)
         filled = new.select(*[
@@ -94,21 +98,26 @@ class Snapshots:
             units = self._manifest(spark, base).join(
                 touched, F.col("tenant_id").eqNullSafe(F.col("_tenant")) & (F.col("bucket") == F.col("_bucket")), "left_semi")
             rows = filled.unionByName(self._read(spark, units).select(*filled.columns))
-        return latest_of_weighted(rows, self.spec, COPIES)
+        if not dealt:
+            return latest_of_weighted(rows, self.spec, COPIES)
+        # of each tenant twice as many pieces as there are tasks, so that tasks are even and yet write few files
+        pieces = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        piece = F.pmod(F.shiftright(F.xxhash64(*self.spec.keys), 32), F.lit(pieces)).cast("int")
+        placed = rows.withColumns({"bucket": self.unit()[1], "_piece": piece}).repartition("tenant_id", "bucket", "_piece")
+        return latest_of_weighted(placed, self.spec, COPIES, ("bucket", "_piece")).drop("_piece")
 
     def write(self, spark: SparkSession, run_id: str, landed: Callable[[str | None], DataFrame], rebalance: bool = True) -> None:
         """Write the version of a run, then its manifest, then its head. A repeated run replaces all three."""
         base = self.base(spark, run_id)
-        rows = self.merged(spark, base, landed)
+        rows = self.merged(spark, base, landed, rebalance)
         lost = rows.select("*", F.col(LOST).alias("_lost"))
         checked = validation_errors(lost, self.spec).withColumnRenamed("_lost", LOST)
         bad = F.size("validation_errors") > 0
         checked = checked.withColumns({
             "quality": F.when(bad, "quarantined").otherwise("valid"),
-            "validation_error": F.when(bad, F.array_join("validation_errors", "; ")), "bucket": self.unit()[1]})
-        out = checked.select(*snapshot_schema(self.spec).fieldNames(), "bucket")
-        out = out.hint("rebalance", "tenant_id", "bucket") if rebalance else out
-        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tenant_id", "bucket").parquet(self._version(run_id))
+            "validation_error": F.when(bad, F.array_join("validation_errors", "; "))})
+        out = checked.select(*snapshot_schema(self.spec).fieldNames(), "bucket" if rebalance else self.unit()[1])
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("tenant_id", "bucket").parquet(self._version(run_id), compression="zstd")
         written = lake_table(spark, self._version(run_id), T.StructType([f for f in UNIT if f.name != "folder"]))
         name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # as it stands on the store, partition values escaped
         own = written.select("tenant_id", F.col("bucket").cast("int").alias("bucket"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -51,6 +53,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's context cleaner remove shuffles that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with room to spare may put off until the disks are full. Called
+    between the steps of jobs with many of them. Python tells the driver once a second what it has let go of.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    spark._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the shared root; nothing is created until Spark writes there."""
     return f"{shared_root(spark)}/tallylake/{label}-{uuid.uuid4().hex[:12]}"

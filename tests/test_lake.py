@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from decimal import Decimal
 
 import __spark_entry__ as entry
@@ -14,6 +15,7 @@ from tallylake.operators import retail
 from tallylake.operators import telemetry as tel
 from tallylake.operators.cleanse import dedup_latest
 from tallylake.plans import medallion
+from tallylake.session import release
 from tallylake.sources import lake, views
 from tallylake.sources.views import BUSINESS_DATE, RETAIL
 from tallylake.specs import spec
@@ -328,3 +330,33 @@ def test_nested_records_are_kept_compressed(spark, tmp_path):
         return sum(os.path.getsize(f.removeprefix("file://").removeprefix("file:")) for f in files)
 
     assert size(got.inputFiles()) < size(spark.read.text(plain).inputFiles()) / 3
+
+
+def test_silver_is_shuffled_once_for_ranking_and_writing(spark, sf, tmp_path):
+    run = make(str(tmp_path / "lake"), 51)
+    medallion.run_bronze(spark, run, {"products": ("s", lambda: raw_products(spark, sf))})
+    table = medallion.snapshots(run, "products")
+    dealt = table.merged(spark, None, cast_rows(spark, run), dealt=True)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    plain = table.merged(spark, None, cast_rows(spark, run))
+    assert as_sets(dealt.select(*plain.columns)) == as_sets(plain)
+    table.write(spark, run.run_id, cast_rows(spark, run))
+    assert as_sets(table.read(spark, run.run_id).select(*plain.columns)) == as_sets(plain)
+
+
+def test_shuffles_go_between_the_steps_of_a_run(spark, tmp_path):
+    def shuffled():
+        return sum(".data" in str(f) and "shuffle_" in str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+
+    release(spark)
+    time.sleep(2)
+    before = shuffled()
+    spark.range(1000).repartition(4, "id").write.parquet(str(tmp_path / "t"))
+    assert shuffled() > before
+    release(spark)
+    until = time.time() + 20
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert sorted(n for lane in medallion.SILVER_LANES for n in lane) == sorted(medallion.SILVER_DATASETS)
